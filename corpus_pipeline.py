@@ -1,16 +1,18 @@
-"""Training-corpus pipeline: toxicity, near duplicates (in work: decontamination, mixing, token output)."""
+"""Training-corpus pipeline: toxicity, near duplicates, benchmark decontamination, mixing to target weights, token files."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.llm import simhash, toxicity
+from codelode.llm import decontamination, mixing, simhash, token_files, toxicity
+from codelode.llm.common import drop_materialized, materialize
+from codelode.llm.queries import KEPT_SHARE, TARGETS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go."""
-    whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return toxicity.keep_clean(docs, toxicity.fit(whole, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Documents scored as toxic go. The model is fitted on this stage's own input, the documents of the run."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +20,39 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_representatives(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_duplicates)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled so that the tokens kept have the target shares by source, language and topic."""
+    return mixing.sample(docs, TARGETS, KEPT_SHARE)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in doc_id order, and what reading them back gives."""
+    return token_files.token_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_files", write_token_files),
+]
+#: A trained model, pairs within a Hamming radius and a tokenizer can't be said in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each result written as Parquet and read again, as the next one's documents."""
+    from codelode.llm.common import drop_materialized, materialize
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        drop_materialized(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
