@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codelode.llm import decontamination, mixing, simhash, token_files, toxicity
+from codelode.llm import decontamination, line_dedup, mixing, simhash, token_counts, token_files, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,38 @@ TARGETS = {
 KEPT_SHARE = 0.6
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS i FROM d),
+h AS (SELECT doc_id, i, md5(array_to_string(list_slice(lines, i + 1, i + 3), chr(10))) AS h FROM w),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM h),
+c AS (SELECT DISTINCT doc_id, i + k.k AS line FROM r CROSS JOIN (VALUES (0), (1), (2)) k(k) WHERE n > 1),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS i FROM d),
+x AS (SELECT l.doc_id, l.line, l.i, c.line IS NOT NULL AS gone FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.line = l.i)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM x GROUP BY doc_id
+"""
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), TARGETS, KEPT_SHARE)
 
@@ -43,5 +76,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mixing, op4_token_files, op5_toxicity, op6_decontamination, op9_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache that is new, so each call counts everything."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.new_cache(spark), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_line_dedup, op3_mixing, op4_token_files, op5_toxicity, op6_decontamination, op7_token_counts, op9_simhash)}
+ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL}
