@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import decontamination, line_dedup, mixing, simhash, token_counts, token_files, topk, toxicity
+from codelode.llm import decontamination, line_dedup, mixing, simhash, substring_dedup, token_counts, token_files, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,5 +81,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.new_cache(spark), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_line_dedup, op3_mixing, op4_token_files, op5_toxicity, op6_decontamination, op7_token_counts, op9_simhash)}
-ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(0, len(w) - 12)) AS i FROM d),
+h AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i + 1, i + 13), ' ')) AS h FROM s),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS least FROM h),
+c AS (SELECT DISTINCT doc_id, i + k.k AS i FROM m CROSS JOIN range(13) k(k) WHERE least < doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+g AS (SELECT x.doc_id, count(*) AS n, count(c.i) AS gone, string_agg(x.word, ' ' ORDER BY x.i) FILTER (WHERE c.i IS NULL) AS kept
+  FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_line_dedup, op3_mixing, op4_token_files, op5_toxicity, op6_decontamination, op7_token_counts, op8_substring_dedup, op9_simhash)}
+ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_substring_dedup": OP8_SQL}
