@@ -18,9 +18,9 @@ DIMENSIONS = 8
 #: Words whose vectors are averaged together; a text is as toxic as its worst such passage, so length doesn't dilute it.
 PASSAGE = 8
 #: Bounds of the training sample: documents of either class, and bytes of text altogether.
-CLASS_DOCS = 3000
+CLASS_DOCS = 2000
 SAMPLE_BYTES = 32 << 20
-WEAK_EPOCHS, EPOCHS = 3, 12
+WEAK_EPOCHS, EPOCHS = 2, 7
 #: Words whose values a task remembers at most.
 REMEMBERED = 400_000
 _MULTIPLIER = np.uint32(0x9E3779B1)
