@@ -186,7 +186,7 @@ def _score(docs: DataFrame, known: DataFrame, shard_rows: int) -> DataFrame:
 def perplexities(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, lang, calibrates, perplexity) of every row of docs; calibrates: labelled with quality 1, and not counted. Written to the shared folder."""
     good = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").cast("long").alias("__good")).distinct()
-    aside = F.pmod(F.xxhash64("__good"), F.lit(CALIBRATION)) == 0
+    aside = F.when(F.col("__good").isNotNull(), F.pmod(F.xxhash64("__good"), F.lit(CALIBRATION)) == 0)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     rows = ids.join(good, F.col("doc_id") == F.col("__good"), "left").select("text", F.coalesce(~aside, F.lit(False)).alias("trusted"))
     grams = rows.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
