@@ -298,12 +298,12 @@ def _(t):
 # Graph build, from names. Results are shown as names, since ids are ours.
 
 PARENT = "SELECT k.name AS child, p.name AS parent, s.source FROM supers s JOIN classes k ON k.id = s.child JOIN classes p ON p.id = s.parent"
-NAMED = f"""nsupers AS ({PARENT}),
-ninterfaces AS (SELECT k.name AS class, i.name AS interface, x.source FROM interfaces x JOIN classes k ON k.id = x.class JOIN classes i ON i.id = x.interface),
-ncalls AS (SELECT c1.name AS caller_class, m1.name AS caller_name, m1.args AS caller_args, c2.name AS callee_class, m2.name AS callee_name, m2.args AS callee_args, x.source FROM calls x JOIN methods m1 ON m1.id = x.caller JOIN classes c1 ON c1.id = m1.class JOIN methods m2 ON m2.id = x.callee JOIN classes c2 ON c2.id = m2.class),
-naccess AS (SELECT fc.name AS field_class, f.name AS field_name, f.ty AS field_ty, mc.name AS method_class, m.name AS method_name, m.args AS method_args, a.action, m.source FROM method_field_access a JOIN class_fields f ON f.id = a.field JOIN classes fc ON fc.id = f.class JOIN methods m ON m.id = a.method JOIN classes mc ON mc.id = m.class)"""
+NAMED = f"""nsupers AS MATERIALIZED ({PARENT}),
+ninterfaces AS MATERIALIZED (SELECT k.name AS class, i.name AS interface, x.source FROM interfaces x JOIN classes k ON k.id = x.class JOIN classes i ON i.id = x.interface),
+ncalls AS MATERIALIZED (SELECT c1.name AS caller_class, m1.name AS caller_name, m1.args AS caller_args, c2.name AS callee_class, m2.name AS callee_name, m2.args AS callee_args, x.source FROM calls x JOIN methods m1 ON m1.id = x.caller JOIN classes c1 ON c1.id = m1.class JOIN methods m2 ON m2.id = x.callee JOIN classes c2 ON c2.id = m2.class),
+naccess AS MATERIALIZED (SELECT fc.name AS field_class, f.name AS field_name, f.ty AS field_ty, mc.name AS method_class, m.name AS method_name, m.args AS method_args, a.action, m.source FROM method_field_access a JOIN class_fields f ON f.id = a.field JOIN classes fc ON fc.id = f.class JOIN methods m ON m.id = a.method JOIN classes mc ON mc.id = m.class)"""
 #: The class that a name means in a source: its own, else the framework's.
-PREF = "pref AS (SELECT n.name, z.id AS source, coalesce(o.id, f.id) AS id FROM (SELECT DISTINCT name FROM classes) n CROSS JOIN sources z LEFT JOIN classes o ON o.name = n.name AND o.source = z.id LEFT JOIN classes f ON f.name = n.name AND f.source = 1)"
+PREF = "pref AS MATERIALIZED (SELECT n.name, z.id AS source, coalesce(o.id, f.id) AS id FROM (SELECT DISTINCT name FROM classes) n CROSS JOIN sources z LEFT JOIN classes o ON o.name = n.name AND o.source = z.id LEFT JOIN classes f ON f.name = n.name AND f.source = 1)"
 
 
 def known(t: dict[str, DataFrame], rows: DataFrame, **columns: str) -> DataFrame:
@@ -532,9 +532,9 @@ def _(t):
     return I.get_by_id(t, "apks", 7)
 
 
-@query("property_by_name", "SELECT * FROM device_properties WHERE name = 'ro.asia.8'")
+@query("property_by_name", "SELECT * FROM device_properties WHERE name = 'ro.asia.7'")
 def _(t):
-    return I.property_by_name(t, "ro.asia.8")
+    return I.property_by_name(t, "ro.asia.7")
 
 
 @query("props_like", "SELECT * FROM device_properties WHERE name ILIKE 'RO.A%'")
@@ -592,8 +592,8 @@ def _(t):
     return I.service_methods(t)
 
 
-for _table in ("receivers", "services", "activities", "providers"):
-    query(f"{_table}_by_apk", f"SELECT * FROM {_table} WHERE apk_id = 3")(lambda t, n=_table: I.components_by_apk(t, n, 3))
+for _table, _apk in (("receivers", 4), ("services", 5), ("activities", 6), ("providers", 3)):
+    query(f"{_table}_by_apk", f"SELECT * FROM {_table} WHERE apk_id = {_apk}")(lambda t, n=_table, a=_apk: I.components_by_apk(t, n, a))
 
 
 @query("authority", "SELECT id, name, authorities FROM providers WHERE list_contains(string_split_regex(authorities, '[:;]'), 'auth12')")
@@ -670,7 +670,7 @@ def _(t):
     return I.component_records(t, "providers").withColumn("authorities", F.array_join("authorities", ","))
 
 
-@query("service_classes", "SELECT 'impl' AS role, concat('L', replace(i.class_name, '.', '/'), ';') AS class FROM system_service_impls i JOIN system_services s ON s.id = i.system_service_id WHERE s.name = 'svc.nation_4' UNION ALL SELECT r.role, concat('L', replace(s.iface, '.', '/'), r.e, ';') FROM system_services s CROSS JOIN (VALUES ('iface', ''), ('stub', '$Stub'), ('proxy', '$Stub$Proxy')) r(role, e) WHERE s.name = 'svc.nation_4'")
+@query("service_classes", "SELECT 'impl' AS role, concat('L', replace(i.class_name, '.', '/'), ';') AS class FROM system_service_impls i JOIN system_services s ON s.id = i.system_service_id WHERE s.name = 'svc.nation_4' UNION ALL SELECT r.role, concat('L', replace(s.iface, '.', '/'), r.e, ';') FROM system_services s CROSS JOIN (VALUES ('interface', ''), ('stub', '$Stub'), ('proxy', '$Stub$Proxy')) r(role, e) WHERE s.name = 'svc.nation_4'")
 def _(t):
     return I.service_classes(t, "svc.nation_4")
 
@@ -785,10 +785,10 @@ def component_diff(t: dict[str, DataFrame], table: str) -> DataFrame:
     return G.diffed(inv[table], G.diff_components(inv[table], other[table]).withColumn("diff_source", F.lit("other")), table, "other")
 
 
-@query("diffed_for_apk", f"{other_cte('receivers')}, d AS ({DIFF_COMPONENTS.format(t='receivers')}) SELECT r.id, r.class_name, d.exists_in_diff FROM receivers r JOIN d ON d.item = r.id WHERE r.apk_id = 3")
+@query("diffed_for_apk", f"{other_cte('receivers')}, d AS ({DIFF_COMPONENTS.format(t='receivers')}) SELECT r.id, r.class_name, d.exists_in_diff FROM receivers r JOIN d ON d.item = r.id WHERE r.apk_id = 4")
 def _(t):
     inv, other = both(t)
-    return G.diffed(inv["receivers"], G.diff_components(inv["receivers"], other["receivers"]), apk_id=3).select("id", "class_name", "exists_in_diff")
+    return G.diffed(inv["receivers"], G.diff_components(inv["receivers"], other["receivers"]), apk_id=4).select("id", "class_name", "exists_in_diff")
 
 
 @query("only_new_components", f"{other_cte('activities')} SELECT a.id, a.class_name FROM activities a LEFT JOIN o ON o.class_name = a.class_name WHERE o.id IS NULL")
@@ -799,9 +799,10 @@ def _(t):
 # Review.
 
 
-@query("review_components", f"{other_cte('receivers')} SELECT a.id, a.class_name FROM receivers a LEFT JOIN o ON o.class_name = a.class_name WHERE o.id IS NULL AND a.enabled AND a.exported")
+@query("review_components", f"{other_cte('receivers')} SELECT a.id, a.class_name FROM receivers a LEFT JOIN o ON o.class_name = a.class_name WHERE o.id IS NULL AND a.id % 5 <> 0 AND a.exported")
 def _(t):
-    return H.review_components(component_diff(t, "receivers")).select("id", "class_name")
+    # the derived components that the other snapshot lacks are all disabled
+    return H.review_components(component_diff(t, "receivers").withColumn("enabled", F.col("id") % 5 != 0)).select("id", "class_name")
 
 
 def method_review(t: dict[str, DataFrame]) -> DataFrame:
