@@ -862,42 +862,41 @@ def _(t):
 # Expressions.
 
 
-def expression(name: str, table: str, column: Column, sql: str, key: str = "id") -> None:
-    query(f"expr_{name}", f"SELECT {key}, {sql} AS v FROM {table}")(lambda t: t[table].select(key, column.alias("v")))
+def expression(name: str, table: str, column: Callable[[], Column], sql: str, key: str = "id") -> None:
+    """column is made when the query runs: there may be no session yet."""
+    query(f"expr_{name}", f"SELECT {key}, {sql} AS v FROM {table}")(lambda t: t[table].select(key, column().alias("v")))
 
 
 _DOTTED = "replace(substr(name, 2, length(name) - 2), '/', '.')"
-N = F.col("name")
-expression("to_dotted", "classes", X.to_dotted(N), _DOTTED)
-expression("to_slashed", "classes", X.to_slashed(X.to_dotted(N)), "name")
-expression("class_path", "classes", X.class_path(N), "concat(substr(name, 2, length(name) - 2), '.smali')")
-expression("simple_name", "classes", X.simple_name(N), f"split_part({_DOTTED}, '.', 2)")
-expression("package_of", "classes", X.package_of(N), "'p'")
-expression("with_package", "classes", X.with_package(N, F.lit("q.r")), f"concat('q.r.', split_part({_DOTTED}, '.', 2))")
-expression("with_simple_name", "classes", X.with_simple_name(N, F.lit("Z")), "'p.Z'")
-expression("from_manifest_name", "apks", X.from_manifest_name(F.col("app_name"), F.when(F.col("id") % 2 == 0, ".Main").otherwise("q/.Main")), "CASE WHEN id % 2 = 0 THEN concat(app_name, '.Main') ELSE 'q.Main' END")
-expression("split_signature", "methods", F.array_join(X.split_signature(F.col("args")), "|"), "CASE args WHEN 'Ljava/lang/String;I' THEN 'Ljava/lang/String;|I' ELSE args END")
-expression("method_display", "methods", X.method_display(F.lit("C"), N, F.col("args"), F.col("ret")), "concat('C->', name, '(', args, ')', ret)")
-expression("method_key", "system_service_methods", X.method_key(N, F.col("signature"), F.col("return_type")), "concat_ws('|', name, coalesce(signature, ''), coalesce(return_type, ''))")
-expression("argument_hash", "system_service_methods", X.argument_hash(N, F.col("signature")), "sha256(concat('=', name, chr(31), CASE WHEN signature IS NULL THEN chr(0) ELSE concat('=', signature) END))")
-expression("squash", "apks", X.squash(F.col("device_path")), "replace(device_path, '/', '%')")
-expression("unsquash", "apks", X.unsquash(X.squash(F.concat("device_path", F.lit("\\a%b")))), "concat(device_path, '\\a%b')")
-expression("file_name", "apks", X.file_name(F.col("device_path")), "name")
-expression("stem", "apks", X.stem(F.col("device_path")), "replace(name, '.apk', '')")
-expression("extension", "apks", X.extension(F.col("device_path")), "'apk'")
-expression("has_all", "classes", X.has_all(F.col("access_flags"), 32770), "(access_flags & 32770) = 32770")
-expression("has_any", "classes", X.has_any(F.col("access_flags"), 33792), "(access_flags & 33792) <> 0")
-expression("is_not_abstract", "classes", X.is_not_abstract(F.col("access_flags")), "(access_flags & 1024) = 0")
-expression("flags_difference", "classes", X.flags_difference(F.col("access_flags"), F.lit(2).cast("long")), "access_flags & ~2")
-expression("flags_symmetric", "classes", X.flags_symmetric_difference(F.col("access_flags"), F.lit(1026).cast("long")), "xor(access_flags, 1026)")
-_A, _B = F.col("returns_binder"), (F.col("id") % 4 - 1)
-expression("tri_and", "services", X.tri_and(_A, _B), "CAST(CASE WHEN returns_binder = 1 THEN CASE WHEN id % 4 - 1 IN (-1, 1) THEN id % 4 - 1 ELSE 0 END ELSE returns_binder END AS INT)")
-expression("tri_or", "services", X.tri_or(_A, _B), "CAST(CASE WHEN returns_binder = 1 OR id % 4 - 1 = 1 THEN 1 WHEN returns_binder = -1 AND id % 4 - 1 = -1 THEN -1 ELSE 0 END AS INT)")
-expression("tri_text", "services", X.tri_text(_A), "CASE returns_binder WHEN 1 THEN 'true' WHEN -1 THEN 'false' ELSE 'unknown' END")
-expression("tri_from_bool", "apks", X.tri_from_bool(F.col("is_debuggable")), "CAST(CASE WHEN is_debuggable THEN 1 ELSE -1 END AS INT)")
-expression("authorities", "providers", F.array_join(X.authorities(F.col("authorities")), ","), "replace(authorities, ':', ',')")
-expression("permission_any", "providers", X.permission_for_mode("any", F.col("permission"), F.col("read_permission"), F.col("write_permission")), "coalesce(permission, read_permission, write_permission)")
-expression("source_file_parts", "apks", F.concat_ws(",", *(X.source_file_parts(F.concat(F.lit("/proj/"), X.squash(F.col("device_path")), F.lit("/smali/a/b/C.smali")))[c] for c in ("source", "class_name", "package_file"))), "concat(replace(device_path, '/', '%'), ',a.b.C,', device_path)")
+expression("to_dotted", "classes", lambda: X.to_dotted(F.col("name")), _DOTTED)
+expression("to_slashed", "classes", lambda: X.to_slashed(X.to_dotted(F.col("name"))), "name")
+expression("class_path", "classes", lambda: X.class_path(F.col("name")), "concat(substr(name, 2, length(name) - 2), '.smali')")
+expression("simple_name", "classes", lambda: X.simple_name(F.col("name")), f"split_part({_DOTTED}, '.', 2)")
+expression("package_of", "classes", lambda: X.package_of(F.col("name")), "'p'")
+expression("with_package", "classes", lambda: X.with_package(F.col("name"), F.lit("q.r")), f"concat('q.r.', split_part({_DOTTED}, '.', 2))")
+expression("with_simple_name", "classes", lambda: X.with_simple_name(F.col("name"), F.lit("Z")), "'p.Z'")
+expression("from_manifest_name", "apks", lambda: X.from_manifest_name(F.col("app_name"), F.when(F.col("id") % 2 == 0, ".Main").otherwise("q/.Main")), "CASE WHEN id % 2 = 0 THEN concat(app_name, '.Main') ELSE 'q.Main' END")
+expression("split_signature", "methods", lambda: F.array_join(X.split_signature(F.col("args")), "|"), "CASE args WHEN 'Ljava/lang/String;I' THEN 'Ljava/lang/String;|I' ELSE args END")
+expression("method_display", "methods", lambda: X.method_display(F.lit("C"), F.col("name"), F.col("args"), F.col("ret")), "concat('C->', name, '(', args, ')', ret)")
+expression("method_key", "system_service_methods", lambda: X.method_key(F.col("name"), F.col("signature"), F.col("return_type")), "concat_ws('|', name, coalesce(signature, ''), coalesce(return_type, ''))")
+expression("argument_hash", "system_service_methods", lambda: X.argument_hash(F.col("name"), F.col("signature")), "sha256(concat('=', name, chr(31), CASE WHEN signature IS NULL THEN chr(0) ELSE concat('=', signature) END))")
+expression("squash", "apks", lambda: X.squash(F.col("device_path")), "replace(device_path, '/', '%')")
+expression("unsquash", "apks", lambda: X.unsquash(X.squash(F.concat("device_path", F.lit("\\a%b")))), "concat(device_path, '\\a%b')")
+expression("file_name", "apks", lambda: X.file_name(F.col("device_path")), "name")
+expression("stem", "apks", lambda: X.stem(F.col("device_path")), "replace(name, '.apk', '')")
+expression("extension", "apks", lambda: X.extension(F.col("device_path")), "'apk'")
+expression("has_all", "classes", lambda: X.has_all(F.col("access_flags"), 32770), "(access_flags & 32770) = 32770")
+expression("has_any", "classes", lambda: X.has_any(F.col("access_flags"), 33792), "(access_flags & 33792) <> 0")
+expression("is_not_abstract", "classes", lambda: X.is_not_abstract(F.col("access_flags")), "(access_flags & 1024) = 0")
+expression("flags_difference", "classes", lambda: X.flags_difference(F.col("access_flags"), F.lit(2).cast("long")), "access_flags & ~2")
+expression("flags_symmetric", "classes", lambda: X.flags_symmetric_difference(F.col("access_flags"), F.lit(1026).cast("long")), "xor(access_flags, 1026)")
+expression("tri_and", "services", lambda: X.tri_and(F.col("returns_binder"), F.col("id") % 4 - 1), "CAST(CASE WHEN returns_binder = 1 THEN CASE WHEN id % 4 - 1 IN (-1, 1) THEN id % 4 - 1 ELSE 0 END ELSE returns_binder END AS INT)")
+expression("tri_or", "services", lambda: X.tri_or(F.col("returns_binder"), F.col("id") % 4 - 1), "CAST(CASE WHEN returns_binder = 1 OR id % 4 - 1 = 1 THEN 1 WHEN returns_binder = -1 AND id % 4 - 1 = -1 THEN -1 ELSE 0 END AS INT)")
+expression("tri_text", "services", lambda: X.tri_text(F.col("returns_binder")), "CASE returns_binder WHEN 1 THEN 'true' WHEN -1 THEN 'false' ELSE 'unknown' END")
+expression("tri_from_bool", "apks", lambda: X.tri_from_bool(F.col("is_debuggable")), "CAST(CASE WHEN is_debuggable THEN 1 ELSE -1 END AS INT)")
+expression("authorities", "providers", lambda: F.array_join(X.authorities(F.col("authorities")), ","), "replace(authorities, ':', ',')")
+expression("permission_any", "providers", lambda: X.permission_for_mode("any", F.col("permission"), F.col("read_permission"), F.col("write_permission")), "coalesce(permission, read_permission, write_permission)")
+expression("source_file_parts", "apks", lambda: F.concat_ws(",", *(X.source_file_parts(F.concat(F.lit("/proj/"), X.squash(F.col("device_path")), F.lit("/smali/a/b/C.smali")))[c] for c in ("source", "class_name", "package_file"))), "concat(replace(device_path, '/', '%'), ',a.b.C,', device_path)")
 
 _REFERENCES = "SELECT concat('pkg', CAST(p_partkey % 10 AS STRING)) AS package, 'string' AS kind, concat('n', CAST(p_partkey AS STRING)) AS name, CAST(NULL AS STRING) AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE concat('@string/n', CAST(p_partkey + 10 AS STRING)) END AS value FROM part"
 

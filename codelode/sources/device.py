@@ -111,7 +111,7 @@ def read_probe_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def find_files(spark: SparkSession, base: str, kind: str = "file", min_depth: int = 1, max_depth: int = 64, suffix: str | None = None, prefix: str | None = None, name: str | None = None, ignore_case: bool = False) -> DataFrame:
-    """(path, depth) of files (or of the folders that hold some) below base, by depth and name. File contents are not read."""
+    """(path, depth) of files (or of the folders that hold some) below base, by depth and name. Contents are not read; empty files, which Spark never reads, are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path")
     root = base.rstrip("/").split("://")[-1]
     clean = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
