@@ -21,6 +21,8 @@ PASSAGE = 8
 CLASS_DOCS = 2000
 SAMPLE_BYTES = 32 << 20
 WEAK_EPOCHS, EPOCHS = 2, 7
+#: Few documents are gone through more often, until so many steps are made.
+STEPS, MOST_EPOCHS = 500, 60
 #: Words whose values a task remembers at most.
 REMEMBERED = 400_000
 _MULTIPLIER = np.uint32(0x9E3779B1)
@@ -146,7 +148,9 @@ def train(texts: list[bytes], labels: list[int], share: float, buckets: int = BU
         best = [worst_passage(values[d]) for d in docs]
         return np.array([b[0] for b in best]), np.array([b[1] for b in best])
 
-    for epoch in range(epochs):
+    for epoch in range(MOST_EPOCHS):
+        if epoch >= epochs and step >= STEPS:
+            break
         some = [(i, int(p)) for i, d in enumerate(docs) for p in random.integers(0, max(1, d.size - PASSAGE + 1), max(1, min(16, d.size // PASSAGE)) if epoch < weak_epochs else 2 * (1 - y[i]))]
         if epoch >= weak_epochs:
             some += list(enumerate(worst()[1].tolist()))
