@@ -18,7 +18,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("digest"), lines.alias("lines"))
     # repeated rows have the same key: each is the same document again
     starts = F.sequence(F.lit(0), F.size("lines") - window)
-    hashes = F.transform(starts, lambda i: F.unhex(F.md5(F.concat_ws("\n", F.slice("lines", i + 1, window)))))
+    hashes = F.transform(starts, lambda i: F.unhex(F.md5(F.concat_ws("\n", *(F.get("lines", i + k) for k in range(window))))))
     windows = keyed.where(F.size("lines") >= window).select("id", "digest", F.posexplode(hashes).alias("at", "h"))
     place = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("id"), "digest", "at")
     first = windows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("__h"), "first")
