@@ -143,7 +143,7 @@ def build_service_methods(services: DataFrame, constants: DataFrame, methods: Da
 
 def descendants_of_each(g: dict[str, DataFrame], seeds: DataFrame) -> DataFrame:
     """(root, id): every proper descendant of every seed class seeds(id), for all seeds at once; ends on cycles."""
-    edges = g["supers"].select(F.col("parent").alias("__at"), F.col("child").alias("id")).distinct()
+    edges = g["supers"].select(F.col("parent").alias("__at"), F.col("child").alias("id"))
     front, seen = seeds.select(F.col("id").alias("root"), F.col("id").alias("__at")).distinct(), None
     while True:
         new = front.join(edges, "__at").select("root", "id").distinct()

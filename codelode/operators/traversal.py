@@ -1,6 +1,6 @@
 """Graph traversals: bounded call walks, inheritance closures, and components that reach a method.
 
-Each level is one equi-join of the frontier's ids with the distinct edges; a level is written to the shared folder, so no lineage grows,
+Each level is one equi-join of the frontier's ids with the edges; a level is written to the shared folder, so no lineage grows,
 and names are joined once at the end.
 """
 
@@ -25,9 +25,10 @@ def expand(seeds: DataFrame, edges: DataFrame, tip: str, step: str, depth: int,
     """(path array<long>, length): all walks of 1 to depth edges from seeds(id), along edges from column `tip` to column `step`.
 
     A walk may come back to where it was (simple=True leaves such ones out); every prefix is a result too. Backward walks are listed
-    from the far end to the seed. Edges and seeds are made distinct first, so each walk is found once.
+    from the far end to the seed. Repeated edges are combined among a level's results, not in the edge table, which a small frontier
+    then joins without a shuffle of its own.
     """
-    edges = edges.select(F.col(tip).alias("__tip"), F.col(step).alias("__step")).distinct()
+    edges = edges.select(F.col(tip).alias("__tip"), F.col(step).alias("__step"))
     front = seeds.select(F.array("id").alias("path"), F.col("id").alias("__at")).distinct()
     levels, total = [], 0
     for level in range(1, depth + 1):
@@ -35,7 +36,7 @@ def expand(seeds: DataFrame, edges: DataFrame, tip: str, step: str, depth: int,
         if simple:
             rows = rows.where(~F.array_contains("path", F.col("__step")))
         path = F.array_prepend("path", F.col("__step")) if backward else F.array_append("path", F.col("__step"))
-        front = rows.select(path.alias("path"), F.col("__step").alias("__at"))
+        front = rows.select(path.alias("path"), F.col("__step").alias("__at")).distinct()
         if level < depth or max_paths is not None:
             front = checkpointed(front)
         if max_paths is not None:
@@ -80,7 +81,7 @@ def find_outgoing(g: Graph, name: str | None = None, cls: str | None = None, sig
 
 def closure(seeds: DataFrame, edges: DataFrame, tip: str, step: str) -> DataFrame:
     """(id): all that can be reached from seeds(id) in one or more edges; ends on cycles, as each id is expanded once."""
-    edges = edges.select(F.col(tip).alias("__tip"), F.col(step).alias("id")).distinct()
+    edges = edges.select(F.col(tip).alias("__tip"), F.col(step).alias("id"))
     front, seen = seeds.select("id").distinct(), None
     while True:
         new = front.withColumnRenamed("id", "__tip").join(edges, "__tip").select("id").distinct()
