@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.common import binary_column, drop_materialized, materialize, small_batches
-from codelode.llm.wordhash import BASES, run_hashes, word_hashes
+from codelode.llm.wordhash import BASES, mix, run_hashes, word_hashes
 
 WINDOW = 13
 #: Text that a task hashes together; equal runs in it are combined before the shuffle.
 BATCH_BYTES = 8 << 20
 #: Bytes of text whose hashes one bucket gets, which bounds what a task holds.
 BUCKET_BYTES = 16 << 20
-_HITS = "doc_id long, digest long, at binary"
+_HITS = "shard int, docs binary, counts binary, places binary"
 
 
 def block_size(window: int) -> int:
@@ -29,20 +29,8 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
 
 
-def _row_groups(doc: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of each document; doc ascends."""
-    if doc.size:
-        edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        for i, part in zip(doc[edge].tolist(), np.split(at, edge[1:]), strict=True):
-            yield i, part
-
-
-def _hit_rows(bucket: np.ndarray | None, names: np.ndarray, digests: np.ndarray, doc: np.ndarray, at: np.ndarray) -> list[dict]:
-    return [{"doc_id": int(names[i]), "digest": int(digests[i]), "at": np.sort(p).astype(np.uint32).tobytes()} for i, p in _row_groups(doc, at)]
-
-
 class _Out:
-    """Rows for the shuffle: hashes for a bucket, or places already known (bucket -1) that pass through it."""
+    """Rows for the shuffle: hashes for a bucket, or places already known that pass through it to the documents of shard -1 - bucket."""
 
     schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
     sql = "bucket int, hashes binary, more binary, docs binary, counts binary, places binary"
@@ -93,26 +81,49 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("digest").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _known(names: np.ndarray, digests: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[dict]:
+def _shard_of(names: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(names.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
+def _addressed(shards: int, names: np.ndarray, digests: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[dict]:
+    """Places by document, in one row for each shard of documents."""
+    if not doc.size:
+        return
+    shard = _shard_of(names[doc], shards)
+    order = np.lexsort((at, doc, shard))
+    shard, doc, at = shard[order], doc[order], at[order].astype("<u4")
+    edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), shard.size], strict=True):
+        own = np.flatnonzero(np.r_[True, doc[a + 1 : b] != doc[a : b - 1]])
+        pairs = np.stack([names[doc[a:b][own]], digests[doc[a:b][own]]], axis=1).astype("<i8")
+        yield {"shard": int(shard[a]), "docs": pairs.tobytes(), "counts": np.diff(np.r_[own, b - a]).astype("<u4").tobytes(), "places": at[a:b].tobytes()}
+
+
+def _known(shards: int, names: np.ndarray, digests: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[dict]:
     """Places that the sending task has already judged."""
-    if doc.size:
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        own = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        yield {"bucket": -1, "hashes": b"", "more": b"", "docs": np.stack([names[doc[own]], digests[doc[own]]], axis=1).astype("<i8").tobytes(), "counts": np.diff(np.r_[own, doc.size]).astype("<u4").tobytes(), "places": (at.astype("<u4") * np.uint32(2)).tobytes()}
+    for r in _addressed(shards, names, digests, doc, at):
+        yield {"bucket": -1 - r.pop("shard"), "hashes": b"", "more": b""} | r
+
+
+def _hits(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())]))
 
 
 def _passed(table: pa.Table) -> pa.Table:
-    rows = []
-    for r in table.to_pylist():
-        docs, counts = np.frombuffer(r["docs"], "<i8").reshape(-1, 2), np.frombuffer(r["counts"], "<u4")
-        parts = np.split(np.frombuffer(r["places"], "<u4") >> np.uint32(1), np.cumsum(counts)[:-1])
-        rows += [{"doc_id": int(d), "digest": int(g), "at": p.tobytes()} for (d, g), p in zip(docs, parts, strict=True)]
-    return _hits(rows)
+    return _hits([{"shard": -1 - r["bucket"], "docs": r["docs"], "counts": r["counts"], "places": r["places"]} for r in table.to_pylist()])
 
 
-def _hits(rows: list[dict]) -> pa.Table:
-    return pa.Table.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("at", pa.binary())]))
+def _gathered(table: pa.Table) -> pa.Table:
+    """All places of a shard's documents: a row for each document."""
+    rows = table.to_pylist()
+    docs = np.concatenate([np.frombuffer(r["docs"], "<i8").reshape(-1, 2) for r in rows])
+    counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]).astype(np.int64)
+    places = np.concatenate([np.frombuffer(r["places"], "<u4") for r in rows])
+    pairs, which = np.unique(docs, axis=0, return_inverse=True)
+    doc = np.repeat(which.ravel(), counts)
+    order = np.lexsort((places, doc))
+    parts = np.split(places[order], np.cumsum(np.bincount(doc, minlength=len(pairs)))[:-1])
+    return pa.table({"doc_id": pa.array(pairs[:, 0]), "digest": pa.array(pairs[:, 1]), "at": pa.array([x.tobytes() for x in parts], pa.binary())})
 
 
 def _probe(n_buckets: int, block: int):
@@ -134,7 +145,7 @@ def _probe(n_buckets: int, block: int):
             many = (lowest != highest)[group] if h.size else np.zeros(0, bool)
             block_of = np.logical_or.reduceat(at[order] % block == 0, first) if h.size else np.zeros(0, bool)
             shared = order[many]
-            yield from _batches(_known(names, digests, doc[shared], at[shared]))
+            yield from _batches(_known(n_buckets, names, digests, doc[shared], at[shared]))
             # of a run within one document all places go, of one in several the first
             send = ~many | new
             flag = np.where(many, block_of[group], at[order] % block == 0) if h.size else many
@@ -157,7 +168,7 @@ def _batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(held, schema=_Out.schema)
 
 
-def _anchors(table: pa.Table) -> pa.Table:
+def _anchors(table: pa.Table, shards: int) -> pa.Table:
     """Places in one bucket of runs that occur in two documents and are a block in one of them."""
     if table.column("bucket")[0].as_py() < 0:
         return _passed(table)
@@ -167,8 +178,7 @@ def _anchors(table: pa.Table) -> pa.Table:
     name = names[doc[order]]
     good = (np.minimum.reduceat(name, first) != np.maximum.reduceat(name, first)) & np.logical_or.reduceat(flag[order], first)
     hit = order[np.repeat(good, np.diff(np.r_[first, h.size]))]
-    hit = hit[np.lexsort((at[hit], doc[hit]))]
-    return _hits(_hit_rows(None, names, digests, doc[hit], at[hit]))
+    return _hits(list(_addressed(shards, names, digests, doc[hit], at[hit])))
 
 
 def _extend(n_buckets: int, block: int, window: int):
@@ -179,17 +189,16 @@ def _extend(n_buckets: int, block: int, window: int):
         for batch in small_batches(batches, "text", BATCH_BYTES):
             names, digests = _ids(batch)
             hs, seconds, docs, ats = [], [], [], []
-            for i, (t, lists) in enumerate(zip(binary_column(batch.column("text")), batch.column("lists").to_pylist(), strict=True)):
+            for i, (t, at) in enumerate(zip(binary_column(batch.column("text")), batch.column("at").to_pylist(), strict=True)):
                 text = t.as_py()
                 words = word_hashes(text)
                 n = words.size - window + 1
                 if n <= 0:
                     continue
                 anchor = np.zeros(words.size + 1, np.int64)
-                for x in lists:
-                    places = np.frombuffer(x, "<u4")
-                    np.add.at(anchor, np.maximum(0, places.astype(np.int64) - (window - block)), 1)
-                    np.add.at(anchor, places.astype(np.int64) + 1, -1)
+                places = np.frombuffer(at, "<u4").astype(np.int64)
+                np.add.at(anchor, np.maximum(0, places - (window - block)), 1)
+                np.add.at(anchor, places + 1, -1)
                 windows = np.flatnonzero(np.cumsum(anchor)[:n] > 0)
                 hs.append(run_hashes(words, window)[windows])
                 seconds.append(run_hashes(word_hashes(text, BASES[1]), window, 1)[windows])
@@ -205,13 +214,13 @@ def _extend(n_buckets: int, block: int, window: int):
             least = names[doc[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
             later = names[doc[order]] > least
             known, picked = order[later], order[~later]
-            yield from _batches(_known(names, digests, doc[known], at[known]))
+            yield from _batches(_known(n_buckets, names, digests, doc[known], at[known]))
             yield from _batches(_shipped(n_buckets, h[picked], 5, second[picked], names, digests, doc[picked], at[picked], np.zeros(picked.size, bool)))
 
     return run
 
 
-def _repeats(table: pa.Table) -> pa.Table:
+def _repeats(table: pa.Table, shards: int) -> pa.Table:
     """Windows in one bucket whose words also start in a document with a smaller doc_id."""
     if table.column("bucket")[0].as_py() < 0:
         return _passed(table)
@@ -221,14 +230,13 @@ def _repeats(table: pa.Table) -> pa.Table:
     new = np.r_[True, (h[order][1:] != h[order][:-1]) | (second[order][1:] != second[order][:-1])]
     least = name[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     hit = order[name[order] > least]
-    hit = hit[np.lexsort((at[hit], doc[hit]))]
-    return _hits(_hit_rows(None, names, digests, doc[hit], at[hit]))
+    return _hits(list(_addressed(shards, names, digests, doc[hit], at[hit])))
 
 
-def _exchange(rows: DataFrame, judge) -> DataFrame:
-    """Buckets meet; rows with places already known are dealt out by their documents."""
-    rows = rows.withColumn("__deal", F.when(F.col("bucket") < 0, F.xxhash64("docs", "places")).otherwise(F.lit(0).cast("long")))
-    return rows.groupBy("bucket", "__deal").applyInArrow(lambda t: judge(t), _HITS)
+def _exchange(rows: DataFrame, judge: Callable[[pa.Table, int], pa.Table], shards: int) -> DataFrame:
+    """Hashes meet in their buckets; what is found there goes, packed, to shards of documents: (doc_id, digest, at)."""
+    found = rows.groupBy("bucket").applyInArrow(lambda t: judge(t, shards), _HITS)
+    return found.groupBy("shard").applyInArrow(_gathered, "doc_id long, digest long, at binary")
 
 
 def _cut(window: int):
@@ -237,15 +245,13 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
             out = []
-            for t, lists in zip(binary_column(batch.column("text")), batch.column("lists").to_pylist(), strict=True):
+            for t, at in zip(binary_column(batch.column("text")), batch.column("at").to_pylist(), strict=True):
                 words = t.as_py().split()
                 n = len(words)
-                if lists:
-                    edge = np.zeros(n + 1, np.int64)
-                    for x in lists:
-                        places = np.frombuffer(x, "<u4").astype(np.int64)
-                        np.add.at(edge, places, 1)
-                        np.add.at(edge, places + window, -1)
+                if at:
+                    edge, places = np.zeros(n + 1, np.int64), np.frombuffer(at, "<u4").astype(np.int64)
+                    np.add.at(edge, places, 1)
+                    np.add.at(edge, places + window, -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 out.append((n, n - len(words), b" ".join(words)))
             n, removed, kept = zip(*out, strict=True)
@@ -280,14 +286,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, bucket_bytes: int =
     n = max(1, -(-size // bucket_bytes))
 
     def joined(hits: DataFrame, how: str) -> DataFrame:
-        lists = hits.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.collect_list("at").alias("lists"))
-        return rows.join(lists, (F.col("doc_id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), how)
+        found = hits.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "at")
+        return rows.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), how)
 
-    anchors = materialize(_exchange(rows.select("doc_id", "digest", "text").mapInArrow(_probe(n, block), _Out.sql), _anchors), "anchors")
-    around = joined(anchors, "inner").dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", "text", "lists")
-    repeats = materialize(_exchange(around.mapInArrow(_extend(n, block, window), _Out.sql), _repeats), "repeats")
+    anchors = materialize(_exchange(rows.select("doc_id", "digest", "text").mapInArrow(_probe(n, block), _Out.sql), _anchors, n), "anchors")
+    around = joined(anchors, "inner").dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", "text", "at")
+    repeats = materialize(_exchange(around.mapInArrow(_extend(n, block, window), _Out.sql), _repeats, n), "repeats")
     drop_materialized(anchors)
-    return joined(repeats, "left").select("name", "text", "lists").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    return joined(repeats, "left").select("name", "text", "at").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(kept: DataFrame) -> DataFrame:
