@@ -18,10 +18,10 @@ from importlib.metadata import version
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words a task remembers at most; then it starts anew.
-REMEMBERED = 1_000_000
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_OTHER_TEXT = re.compile(f"[^ -~\\n\\r\\t{_LETTERS}]|<\\|")
+#: Words in each of two generations that a task remembers; when one is full, the words met since are the other.
+REMEMBERED = 750_000
+#: Plain text in Latin-1: printable ASCII, tab, the line ends, and the letters from À on.
+_PLAIN = bytes([9, 10, 13, *range(32, 127), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
 #: White space that the byte-level pattern joins or splits by its neighbours.
 _UNEVEN_BLANKS = re.compile("[\\t\\r]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\Z")
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -39,6 +39,14 @@ def _library(path: str) -> str:
     return "sentencepiece" if path.endswith(".model") else "tokenizers"
 
 
+def _is_plain(text: str) -> bool:
+    try:
+        code = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not code.translate(None, _PLAIN) and b"<|" not in code
+
+
 def _cut_with_blanks(text: str) -> list[str] | None:
     if not text or _UNEVEN_BLANKS.search(text):
         return None
@@ -73,7 +81,7 @@ class Encoder:
     """pieces(texts): for each text what `of_ids` makes of the library's result for its parts, in order; `of_ids` of joined parts is the sum."""
 
     def __init__(self, path: str, of_ids: Callable) -> None:
-        self.of_ids, self.known = of_ids, {}
+        self.of_ids, self.known, self.before = of_ids, {}, {}
         self.cut, self.text_of = _cutter(path) or (None, None)
         if _library(path) == "sentencepiece":
             import sentencepiece
@@ -88,8 +96,13 @@ class Encoder:
             tokenizer.no_padding()
             self.ids = lambda texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _learn(self, keys: list[str]) -> None:
+    def _learn(self, keys: set[str]) -> None:
         """A letter and a comma or full stop after it are never one piece, so such words are put together from their parts."""
+        if len(self.known) + len(keys) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        again = keys & self.before.keys()
+        self.known.update((k, self.before[k]) for k in again)
+        keys = keys - again
         known, marked, plain = self.known, [], set()
         for k in keys:
             if len(k) > 1 and k[-1] in ",." and k[-2].isalpha():
@@ -107,15 +120,26 @@ class Encoder:
             known.update((k, known[k[:-1]] + mark[k[-1]]) for k in marked)
 
     def pieces(self, texts: list[str]) -> list[list]:
-        cut = [None if self.cut is None or _OTHER_TEXT.search(t) else self.cut(t) for t in texts]
-        words = set().union(*(c for c in cut if c is not None))
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        self._learn(new)
-        value = self.known.__getitem__
-        return [[self.of_ids(self.ids([t])[0])] if c is None else list(map(value, c)) for t, c in zip(texts, cut, strict=True)]
+        out: list = []
+        late, new = [], set()
+        for t in texts:
+            cut = self.cut(t) if self.cut is not None and _is_plain(t) else None
+            if cut is None:
+                out.append([self.of_ids(self.ids([t])[0])])
+                continue
+            values = list(map(self.known.get, cut))
+            out.append(values)
+            if None in values:
+                holes = [i for i, v in enumerate(values) if v is None]
+                missing = [cut[i] for i in holes]
+                late.append((values, holes, missing))
+                new.update(missing)
+        if new:
+            self._learn(new)
+            for values, holes, missing in late:
+                for i, v in zip(holes, map(self.known.__getitem__, missing), strict=True):
+                    values[i] = v
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
