@@ -188,7 +188,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROW
     good = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").cast("long").alias("__good")).distinct()
     aside = F.when(F.col("__good").isNotNull(), F.pmod(F.xxhash64("__good"), F.lit(CALIBRATION)) == 0)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = ids.join(good, F.col("doc_id") == F.col("__good"), "left").select("text", F.coalesce(~aside, F.lit(False)).alias("trusted"))
+    # merged at every size: texts are dealt out by doc_id once, and no list of trusted documents is ever broadcast
+    rows = ids.join(good.hint("merge"), F.col("doc_id") == F.col("__good"), "left").select("text", F.coalesce(~aside, F.lit(False)).alias("trusted"))
     grams = rows.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     grams = materialize(grams, "grams")
     known = model(grams)
