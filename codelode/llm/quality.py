@@ -18,7 +18,9 @@ _BEFORE = "\x02" * (ORDER - 1)
 SHARD_ROWS = 1_500_000
 #: Characters that are counted or scored together in a task.
 BATCH_CHARS = 2_000_000
-QUANTILE, SLACK = 0.999, 1.2
+QUANTILE = 0.98
+#: Units at the language's median that every text is scored together with: a short text must lie further above the median to be rejected.
+UNITS = 100
 #: One trusted document in so many sets the thresholds and is not counted: what a model has counted it finds too likely.
 CALIBRATION = 10
 
@@ -184,7 +186,7 @@ def _score(docs: DataFrame, known: DataFrame, shard_rows: int) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, lang, calibrates, perplexity) of every row of docs; calibrates: labelled with quality 1, and not counted. Written to the shared folder."""
+    """(doc_id, lang, calibrates, perplexity, n: its units) of every row of docs; calibrates: labelled with quality 1, and not counted. Written to the shared folder."""
     good = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").cast("long").alias("__good")).distinct()
     aside = F.when(F.col("__good").isNotNull(), F.pmod(F.xxhash64("__good"), F.lit(CALIBRATION)) == 0)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
@@ -196,28 +198,38 @@ def perplexities(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROW
     drop_materialized(grams)
     scored = _score(ids.withColumn("digest", F.xxhash64("text")), known, shard_rows).join(good, F.col("doc_id") == F.col("__good"), "left")
     perplexity = F.when(F.col("n") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n")))
-    return materialize(scored.select("doc_id", "lang", F.coalesce(aside, F.lit(False)).alias("calibrates"), perplexity.alias("perplexity")), "perplexities")
+    return materialize(scored.select("doc_id", "lang", F.coalesce(aside, F.lit(False)).alias("calibrates"), perplexity.alias("perplexity"), "n"), "perplexities")
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, units: int = UNITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, perplexity, threshold, keep) of every row of docs(doc_id, text, lang, ...).
 
     The model (order 4 over UTF-16 code units, interpolated modified Kneser-Ney) is counted on the whole of all texts labelled with
     quality 1, but for one in CALIBRATION, by a hash of doc_id, that sets the thresholds; every n-gram of every text gets its probability
-    by joins with those counts. A document is kept if its perplexity is at most `slack` times the `quantile` of the calibrating
-    documents' perplexities in its language (an approximate quantile, to one in ten thousand); a language without such documents takes
-    the threshold of all.
-
-    Defined cases: an empty or null text has no perplexity and isn't kept; a null lang is a language of its own; rows with a null doc_id
-    are not trusted; repeated rows are counted and scored each; without trusted documents the threshold is null and every text with a
-    perplexity is kept; an empty table gives no rows; other columns are ignored.
+    by joins with those counts. A text's excess is by how many bits a unit it lies above the median of its language's calibrating
+    documents, were it followed by `units` more units at that median. A document is kept if its excess is at most the `quantile` of the
+    calibrating documents' in its language; a language with so few of them that fewer than two would lie above takes the quantile of all
+    languages' excesses (and from ten documents on one at least lies above it), so that no single document sets a threshold. `threshold`
+    is the perplexity which that excess means at the text's length. Quantiles are approximate, to one in ten thousand; a language without
+    calibrating documents takes the median of all.
+
+    Defined cases: an empty or null text has no perplexity and no threshold and isn't kept; a null lang is a language of its own; rows
+    with a null doc_id are not trusted; repeated rows are counted and scored each; without trusted documents the threshold is null and
+    every text with a perplexity is kept; an empty table gives no rows; other columns are ignored.
     """
     scored = perplexities(docs, labels, shard_rows)
+    bits, weight = F.log2("perplexity"), F.col("n") / (F.col("n") + units)
     trusted = scored.where("calibrates and perplexity is not null")
-    cut = F.percentile_approx("perplexity", quantile, 10_000) * slack
-    whole = trusted.agg(cut.alias("__whole"))
-    by_lang = trusted.groupBy(F.col("lang").alias("__lang")).agg(cut.alias("__own"))
+    middle = F.percentile_approx(bits, 0.5, 10_000)
+    medians = trusted.groupBy(F.col("lang").alias("__lang")).agg(middle.alias("__median"))
+    above = trusted.join(medians, F.col("lang").eqNullSafe(F.col("__lang"))).select("__lang", ((bits - F.col("__median")) * weight).alias("__excess"))
+    own = F.when(F.count("*") * (1 - quantile) >= 2, F.percentile_approx("__excess", quantile, 10_000))
+    by_lang = medians.join(above.groupBy(F.col("__lang").alias("__of")).agg(own.alias("__own")), F.col("__lang").eqNullSafe(F.col("__of")))
+    n = trusted.count()
+    whole = above.agg(F.percentile_approx("__excess", min(quantile, 1 - 1.5 / n) if n >= 10 else quantile, 10_000).alias("__whole"))
+    whole = whole.crossJoin(F.broadcast(trusted.agg(middle.alias("__middle"))))
     out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left").crossJoin(F.broadcast(whole))
-    threshold = F.coalesce("__own", "__whole")
+    limit = F.coalesce("__median", "__middle") + F.coalesce("__own", "__whole") / weight
+    threshold = F.when(F.col("n") > 0, F.pow(F.lit(2.0), limit))
     keep = F.coalesce(F.col("perplexity") <= F.coalesce(threshold, F.lit(float("inf"))), F.lit(False))
     return out.select("doc_id", "perplexity", threshold.alias("threshold"), keep.alias("keep"))

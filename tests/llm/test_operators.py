@@ -454,3 +454,20 @@ def test_quality(spark, shard_rows):
     free = quality.quality(table(spark, docs), labels.limit(0)).collect()
     assert all(x.keep == (x.perplexity is not None) and x.threshold is None for x in free)
     assert quality.quality(table(spark, []), labels).count() == 0
+
+
+def test_quality_threshold_is_no_single_documents(spark):
+    r = random.Random(8)
+    syllables = ["an", "the", "re", "ing", "on", "ti"]
+    prose = lambda n: " ".join("".join(r.choices(syllables, k=r.randint(1, 3))) for _ in range(n))
+    odd = lambda: "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(60))
+    aside = {x.id for x in spark.range(400).where("pmod(xxhash64(id), 10) = 0").collect()}
+    one, short = sorted(aside)[:2]
+    docs = [(i, prose(r.randint(20, 60)), "de" if i % 8 == 0 else "en") for i in range(400) if i not in (one, short)]
+    docs += [(one, odd(), "en"), (short, "zq.", "en")] + [(500 + i, f"{prose(15)} {odd()}", ("en", "de")[i % 2]) for i in range(10)]
+    labels = spark.createDataFrame([(i, int(i < 400), 0) for i, *_ in docs], "doc_id long, quality int, toxic int")
+    out = {x.doc_id: x for x in quality.quality(table(spark, docs), labels).collect()}
+    assert 30 < len(aside) < 50 and not out[one].keep and not any(out[500 + i].keep for i in range(10))
+    assert sum(out[i].keep for i in range(400)) > 380
+    # the same excess is a higher perplexity in a shorter text
+    assert out[short].threshold > max(out[i].threshold for i in range(400) if i not in (one, short))
