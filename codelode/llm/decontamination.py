@@ -1,7 +1,8 @@
-"""Operator 6: documents that hold benchmark items, by SimHash windows, multi-index Hamming blocks and exact shingle similarity."""
+"""Operator 6: documents that hold benchmark items, by SimHash windows, multi-index Hamming blocks, counts of shared shingles and exact shingle similarity."""
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from codelode.llm.wordhash import mix, run_hashes, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Largest Hamming distance of a window's and an item's SimHash at which they are compared; a similarity of 0.8 gives about ten differing bits.
+#: Hamming distance of a window's and an item's SimHash up to which the index finds them; pairs further apart are found by their shared shingles.
 RADIUS = 15
 BLOCKS = 4
 #: Bytes of benchmark text that are broadcast at once; more items take more passes over the documents.
@@ -78,20 +79,37 @@ class Items:
         at = np.searchsorted(self.seeds, hashes[maybe])
         return maybe[self.seeds[np.minimum(at, self.seeds.size - 1)] == hashes[maybe]]
 
+    @staticmethod
+    def _needed(a: int, b: int, least: float) -> int:
+        """How many of a and b shingles must be common for a similarity of `least` (one at least)."""
+        return max(1, math.ceil(least * (a + b) / (1 + least) - 1e-9))
+
     def matches(self, text: bytes, least: float) -> list[tuple[int, int, int, int, float]]:
         """(item_id, start, n_words, hamming, similarity) of each item's best window in the text.
 
         A window of an item's length that shares no shingle with it has similarity 0, so only windows around shared shingles are
-        fingerprinted; of those, the pairs within the radius are found through the index and verified."""
+        fingerprinted; of those, the pairs within the radius are found through the index. A similarity of `least` needs a number of shared
+        shingles, and every window that has so many is found by them too, at any Hamming distance. All pairs found are verified."""
         if not self.ids:
             return []
         words = word_hashes(text, lower=True)
         full = run_hashes(words, self.shingle)
         windows: set[tuple[int, int]] = set()
+        places: dict[int, list[int]] = {}
         for p in self._seeded(full).tolist() if full.size else []:
+            for k in self.of_shingle[int(full[p])]:
+                places.setdefault(k, []).append(p)
             for n in {self.sizes[k] for k in self.of_shingle[int(full[p])]}:
                 if n >= self.shingle:
                     windows.update((n, s) for s in range(max(0, p - (n - self.shingle)), min(p, words.size - n) + 1))
+        shared: dict[tuple[int, int], set[int]] = {}
+        for k, at in places.items():
+            n = self.sizes[k]
+            span = n - self.shingle
+            need = self._needed(span + 1, span + 1, least)
+            for first, last in zip(at, at[need - 1 :], strict=False):  # so many places, within one window
+                for s in range(max(0, last - span), min(first, words.size - n) + 1):
+                    shared.setdefault((n, s), set()).add(k)
         if self.short:
             for n in {n for n in self.sizes if n < self.shingle}:
                 runs = run_hashes(words, n)
@@ -101,11 +119,11 @@ class Items:
         for n, s in sorted(windows):
             shingles = shingle_hashes(words[s : s + n], self.shingle)
             fp = simhash(shingles)
-            near = set().union(*(self.index[b].get(fp >> 16 * b & 0xFFFF, ()) for b in range(BLOCKS)))
+            near = shared.get((n, s), set()).union(*(self.index[b].get(fp >> 16 * b & 0xFFFF, ()) for b in range(BLOCKS)))
             counted = None
             for k in near:
                 distance = (fp ^ self.prints[k]).bit_count()
-                if self.sizes[k] != n or distance > self.radius:
+                if self.sizes[k] != n:
                     continue
                 counted = counted or Counter(shingles.tolist())
                 both = (counted & self.weights[k]).total()
@@ -133,8 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """(doc_id, item_id, start, n_words, hamming, similarity): each benchmark item found in each document, with its best window.
 
     Texts are cut to words at ASCII white space, A-Z lower-cased. An item matches a document if a window of as many words as the item
-    has a SimHash within `radius` of the item's and a weighted Jaccard similarity of their word shingles (weight: how often one occurs)
-    of `similarity` at least. The best window is the most similar, the first of equals; it starts at word `start`, from 0.
+    has a weighted Jaccard similarity of their word shingles (weight: how often one occurs) of `similarity` at least; `hamming` says how
+    far their SimHashes are apart, and rejects nothing. The best window is the most similar, the first of equals; it starts at word `start`, from 0.
 
     Defined cases: null and blank items match nothing; null and blank documents hold nothing; an item shorter than a shingle is one
     shingle and must occur whole; rows with equal ids are compared each; null ids are returned as they are; an empty benchmark or

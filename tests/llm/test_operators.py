@@ -398,6 +398,31 @@ def test_index_holds_all_within_radius():
         assert any(0 in items.index[b].get(fp >> 16 * b & 0xFFFF, ()) for b in range(4))
 
 
+def test_similar_windows_are_found_at_any_distance():
+    r = random.Random(12)
+    grams = lambda v: Counter(tuple(v[j : j + 5]) for j in range(len(v) - 4))
+    far = tried = 0
+    while tried < 400:
+        item = [f"u{r.randrange(10**6)}" for _ in range(r.choice((40, 57, 100, 200)))]
+        near = list(item)
+        for i in r.sample(range(len(item)), max(1, len(item) // 44)):
+            near[i] = "other"
+        near[len(near) - r.randrange(4) :] = []
+        near += ["end"] * (len(item) - len(near))
+        a, b = grams(item), grams(near)
+        both = (a & b).total()
+        similarity = both / (a.total() + b.total() - both)
+        if not 0.8 <= similarity <= 0.84:
+            continue
+        tried += 1
+        items = decontamination.Items([(4, " ".join(item).encode())], 5, 15)
+        text = " ".join(["w"] * 7 + near + ["w"] * 7).encode()
+        found = items.matches(text, 0.8)
+        assert [x[0] for x in found] == [4] and found[0][4] >= similarity
+        far += found[0][3] > 15
+    assert far > 0  # the index alone would lose these
+
+
 # 10. Quality
 
 
