@@ -89,7 +89,8 @@ class Items:
 
         A window of an item's length that shares no shingle with it has similarity 0, so only windows around shared shingles are
         fingerprinted; of those, the pairs within the radius are found through the index. A similarity of `least` needs a number of shared
-        shingles, and every window that has so many is found by them too, at any Hamming distance. All pairs found are verified."""
+        shingles, and every window that has so many is found by them too, at any Hamming distance. All pairs found are verified. The whole
+        text is the one window for items longer than it."""
         if not self.ids:
             return []
         words = word_hashes(text, lower=True)
@@ -99,14 +100,14 @@ class Items:
         for p in self._seeded(full).tolist() if full.size else []:
             for k in self.of_shingle[int(full[p])]:
                 places.setdefault(k, []).append(p)
-            for n in {self.sizes[k] for k in self.of_shingle[int(full[p])]}:
+            for n in {min(self.sizes[k], words.size) for k in self.of_shingle[int(full[p])]}:
                 if n >= self.shingle:
                     windows.update((n, s) for s in range(max(0, p - (n - self.shingle)), min(p, words.size - n) + 1))
         shared: dict[tuple[int, int], set[int]] = {}
         for k, at in places.items():
-            n = self.sizes[k]
+            n = min(self.sizes[k], words.size)
             span = n - self.shingle
-            need = self._needed(span + 1, span + 1, least)
+            need = self._needed(self.sizes[k] - self.shingle + 1, span + 1, least)
             for first, last in zip(at, at[need - 1 :], strict=False):  # so many places, within one window
                 for s in range(max(0, last - span), min(first, words.size - n) + 1):
                     shared.setdefault((n, s), set()).add(k)
@@ -123,7 +124,7 @@ class Items:
             counted = None
             for k in near:
                 distance = (fp ^ self.prints[k]).bit_count()
-                if self.sizes[k] != n:
+                if min(self.sizes[k], words.size) != n:
                     continue
                 counted = counted or Counter(shingles.tolist())
                 both = (counted & self.weights[k]).total()
@@ -151,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """(doc_id, item_id, start, n_words, hamming, similarity): each benchmark item found in each document, with its best window.
 
     Texts are cut to words at ASCII white space, A-Z lower-cased. An item matches a document if a window of as many words as the item
-    has a weighted Jaccard similarity of their word shingles (weight: how often one occurs) of `similarity` at least; `hamming` says how
+    (the whole document, where that is shorter) has a weighted Jaccard similarity of their word shingles (weight: how often one occurs) of `similarity` at least; `hamming` says how
     far their SimHashes are apart, and rejects nothing. The best window is the most similar, the first of equals; it starts at word `start`, from 0.
 
     Defined cases: null and blank items match nothing; null and blank documents hold nothing; an item shorter than a shingle is one

@@ -423,6 +423,16 @@ def test_similar_windows_are_found_at_any_distance():
     assert far > 0  # the index alone would lose these
 
 
+def test_documents_shorter_than_an_item(spark):
+    item = [f"u{i}" for i in range(40)]
+    docs = [(1, " ".join(item[:38])), (2, " ".join(item[:30])), (3, " ".join(item[2:])), (4, "u1 u2"), (5, " ".join(item[:5])), (6, " ".join(WORDS[:20]))]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "u1 u2 u3")], "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.start, x.n_words, round(x.similarity, 9)) for x in decontamination.contaminated(table(spark, docs), bench).collect()}
+    long = {(i, 7, 0, 38, round(34 / 36, 9)) for i in (1, 3)}
+    assert got == long | {(i, 8, s, 3, 1.0) for i, s in ((1, 1), (2, 1), (5, 1))}
+    assert sorted(r.doc_id for r in decontamination.keep_uncontaminated(table(spark, docs), bench.where("item_id = 7")).collect()) == [2, 4, 5, 6]
+
+
 # 10. Quality
 
 
