@@ -128,7 +128,7 @@ def _gathered(table: pa.Table) -> pa.Table:
 
 def _probe(n_buckets: int, block: int):
     """Every rolling run of `block` words; those at multiples of it are the index's blocks (flag). Runs that several documents of the batch
-    share are known to repeat: their places pass through, and one of them stands for the batch."""
+    share are known to repeat: their places pass through, and two of them stand for the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
@@ -146,8 +146,12 @@ def _probe(n_buckets: int, block: int):
             block_of = np.logical_or.reduceat(at[order] % block == 0, first) if h.size else np.zeros(0, bool)
             shared = order[many]
             yield from _batches(_known(n_buckets, names, digests, doc[shared], at[shared]))
-            # of a run within one document all places go, of one in several the first
-            send = ~many | new
+            # of a run within one document all places go, of one in several a place in the document of the least doc_id and one in that of the
+            # greatest, so that a bucket sees two documents, whatever other batches send
+            send, name, of = ~many, names[doc[shared]], group[many]
+            for end in (lowest, highest):
+                at_end = np.flatnonzero(many)[name == end[of]]
+                send[at_end[np.flatnonzero(np.r_[True, group[at_end][1:] != group[at_end][:-1]])] if at_end.size else at_end] = True
             flag = np.where(many, block_of[group], at[order] % block == 0) if h.size else many
             picked = order[send]
             yield from _batches(_shipped(n_buckets, h[picked], 5, None, names, digests, doc[picked], at[picked], flag[send]))
@@ -272,8 +276,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, bucket_bytes: int =
        document are the maximal repeats.
     3. Their words are removed.
 
-    Hashes travel packed, in buckets of about bucket_bytes of text. Runs that repeat within a task's batch are judged there and sent once,
-    so a passage shared by any number of documents is one entry a batch in its bucket, and no pairs are formed.
+    Hashes travel packed, in buckets of about bucket_bytes of text. Runs that repeat within a task's batch are judged there and sent twice,
+    so a passage shared by any number of documents is two entries a batch in its bucket, and no pairs are formed.
 
     Defined cases: null texts have no words; rows with equal doc_id are no earlier documents of each other (their own texts stay apart);
     a null doc_id is earlier than all others; documents shorter than a window lose nothing; an empty table gives no rows; other columns
