@@ -124,14 +124,14 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) of every row; null texts count as empty, whose fingerprint is 0."""
+    """(doc_id, digest long: of the text, fp long) of every row; null texts count as empty, whose fingerprint is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             prints = np.array([fingerprint(t.as_py(), shingle, seed) for t in binary_column(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("digest"), pa.array(prints.view(np.int64))], ["doc_id", "digest", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def link_fingerprints(prints: DataFrame) -> DataFrame:
@@ -147,13 +147,8 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     return prints.mapInArrow(_filed, "cell long, fp long").repartition(n, "cell").mapInArrow(_linked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """Fingerprint and component of every row of docs(doc_id, text, ...): doc_id, fp long, fingerprint string, component_id long.
-
-    Defined cases: a null or blank text has fingerprint 0 and is linked like any other; a text of fewer words than a shingle is one
-    shingle; rows with equal doc_id are each returned; a null doc_id gets its fingerprint, a null component_id and links nothing; an
-    empty table gives no rows; other columns of docs are ignored.
-    """
+def _near_duplicates(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """(doc_id, digest, fp, component_id) of every row, see near_duplicates."""
     prints = materialize(fingerprints(docs, shingle, seed), "fingerprints")
     groups = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
     roots = connected_components(link_fingerprints(groups))
@@ -164,12 +159,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     drop_materialized(groups)
     known = prints.where("doc_id is not null").join(component, "fp")
     lone = prints.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long"))
-    return known.unionByName(lone).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return known.unionByName(lone).select("doc_id", "digest", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """Fingerprint and component of every row of docs(doc_id, text, ...): doc_id, fp long, fingerprint string, component_id long.
+
+    Defined cases: a null or blank text has fingerprint 0 and is linked like any other; a text of fewer words than a shingle is one
+    shingle; rows with equal doc_id are each returned; a null doc_id gets its fingerprint, a null component_id and links nothing; an
+    empty table gives no rows; other columns of docs are ignored.
+    """
+    return _near_duplicates(docs, shingle, seed).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id. Of rows that share a doc_id one stays; rows without one stay all."""
-    found = near_duplicates(docs, shingle, seed)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    ids = docs.where("doc_id is not null")
-    return ids.join(kept, ids.doc_id == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """docs with one document of each component_id: that of the smallest doc_id. Rows without a doc_id stay all.
+
+    Of rows that share that doc_id, the one of the least fingerprint (then digest of the text) among those in the component stays; rows
+    of that doc_id whose texts are near a document with a smaller one go. Where texts of one doc_id lead several groups, these have one
+    component_id and one row stays for all of them.
+    """
+    found = _near_duplicates(docs, shingle, seed)
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct("fp", "digest")).alias("best"))
+    kept = kept.select(F.col("doc_id").alias("__kept"), F.col("best.digest").alias("__best"))
+    ids = docs.where("doc_id is not null").withColumn("__digest", F.xxhash64("text"))
+    ids = ids.join(kept, (ids.doc_id == F.col("__kept")) & (F.col("__digest") == F.col("__best")), "left_semi")
+    return ids.dropDuplicates(["doc_id", "__digest"]).drop("__digest").unionByName(docs.where("doc_id is null"))
