@@ -264,3 +264,8 @@ def path_is_empty(path: Column) -> Column:
 
 def without_last(path: Column) -> Column:
     return F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
+
+
+def file_path(uri: Column) -> Column:
+    """The text of a file's URI, as input_file_name gives it, with its escapes undone."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions.expr import method_key, tri_from_bool
+from codelode.plans.storage import delete, exists
 from codelode.schema import UNKNOWN
 
 EMULATOR = "emulator"
@@ -69,9 +70,9 @@ def diff_service_methods(inv: dict[str, DataFrame], other: dict[str, DataFrame])
         s = side["system_services"].select(F.col("id").alias("system_service_id"), F.col("name").alias("__service"))
         return side["system_service_methods"].join(s, "system_service_id").withColumn("__key", method_key(F.col("name"), F.col("signature"), F.col("return_type")))
 
-    theirs = keyed(other).groupBy("__service", "__key").agg(F.max_by(F.struct("smalisa_hash"), "id").alias("o"))
+    theirs = keyed(other).groupBy("__service", "__key").agg(F.max_by(F.struct("method_hash"), "id").alias("o"))
     rows = keyed(inv).join(theirs, ["__service", "__key"], "left")
-    same = F.when(_exists(), tri_from_bool(F.col("smalisa_hash") == F.col("o.smalisa_hash"))).otherwise(UNKNOWN)
+    same = F.when(_exists(), tri_from_bool(F.col("method_hash") == F.col("o.method_hash"))).otherwise(UNKNOWN)
     return rows.select(F.col("id").alias("method"), _exists().alias("exists_in_diff"), same.cast("int").alias("hash_matches_diff"))
 
 
@@ -104,27 +105,25 @@ def diff_all(inv: dict[str, DataFrame], other: dict[str, DataFrame], source: str
 
 
 def add_diff_source(base: str, diffs: dict[str, DataFrame], name: str) -> None:
-    """Write a source's diffs, a folder for each table and source. If one fails, those written are taken away again."""
-    written = []
+    """Write a source's diffs, a folder for each table and source. If one fails, all that this call has written is taken away again, half
+    written or whole; a source that is there is an error and stays."""
+    begun = []
     try:
         for table, df in diffs.items():
             path = f"{base}/{table}/diff_source={name}"
-            written.append((df.sparkSession, path))
-            df.drop("diff_source").write.mode("errorifexists").parquet(path)
-    except Exception:
-        for spark, path in written[:-1]:
-            _delete(spark, path)
+            if exists(df.sparkSession, path):
+                raise FileExistsError(f"{path} already exists")
+            begun.append((df.sparkSession, path))
+            df.drop("diff_source").write.parquet(path)
+    except BaseException:
+        for spark, path in begun:
+            delete(spark, path)
         raise
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def remove_diff_source(spark: SparkSession, base: str, name: str, tables: tuple[str, ...] = (*TABLES, "unprotected_broadcasts")) -> None:
     for table in tables:
-        _delete(spark, f"{base}/{table}/diff_source={name}")
+        delete(spark, f"{base}/{table}/diff_source={name}")
 
 
 def list_diff_sources(spark: SparkSession, base: str, table: str = "apks") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from codelode.functions.expr import extension, file_name, from_manifest_name, is_not_abstract, to_dotted, to_slashed
 from codelode.operators.build import stable_id
-from codelode.plans.storage import checkpointed
+from codelode.operators.traversal import reached
+from codelode.plans.storage import written
 from codelode.schema import FALSE, INVENTORY, TRUE, UNKNOWN
 from codelode.sources.device import attribute, manifest_components, manifest_named, manifest_packages, open_snapshot, save_snapshot
 
@@ -131,27 +132,19 @@ def build_service_methods(services: DataFrame, constants: DataFrame, methods: Da
     """Methods of services: constants(class, name, value) named TRANSACTION_* of <iface>$Stub, with signature and return type from
     methods(class, name, args, ret) of the interface if every one is found there, else none has them."""
     s = services.where("iface is not null").select(F.col("id").alias("system_service_id"), to_slashed(F.col("iface")).alias("iface"), to_slashed(F.concat(F.col("iface"), F.lit("$Stub"))).alias("class"))
-    c = constants.where(F.col("name").startswith(TRANSACTION)).select("class", F.substring("name", len(TRANSACTION) + 1, 1_000).alias("name"), F.col("value").cast("long").alias("transaction_id"))
+    c = constants.where(F.col("name").startswith(TRANSACTION)).select("class", F.expr(f"substring(name, {len(TRANSACTION) + 1})").alias("name"), F.col("value").cast("long").alias("transaction_id"))
     m = methods.select(F.col("class").alias("iface"), "name", F.col("args").alias("signature"), F.col("ret").alias("return_type")).groupBy("iface", "name").agg(F.min(F.struct("signature", "return_type")).alias("m"))
     rows = s.join(c, "class").join(m, ["iface", "name"], "left")
     whole = rows.groupBy("system_service_id").agg((F.count("m") == F.count("*")).alias("whole"))
     rows = rows.join(whole, "system_service_id")
     signature, ret = F.when(F.col("whole"), F.col("m.signature")), F.when(F.col("whole"), F.col("m.return_type"))
     rows = rows.select("system_service_id", "transaction_id", "name", signature.alias("signature"), ret.alias("return_type"))
-    return rows.select(stable_id(F.col("system_service_id"), F.col("transaction_id"), F.col("name")).alias("id"), "system_service_id", "transaction_id", "name", "signature", "return_type", F.lit(None).cast("string").alias("smalisa_hash"))
+    return rows.select(stable_id(F.col("system_service_id"), F.col("transaction_id"), F.col("name")).alias("id"), "system_service_id", "transaction_id", "name", "signature", "return_type", F.lit(None).cast("string").alias("method_hash"))
 
 
 def descendants_of_each(g: dict[str, DataFrame], seeds: DataFrame) -> DataFrame:
     """(root, id): every proper descendant of every seed class seeds(id), for all seeds at once; ends on cycles."""
-    edges = g["supers"].select(F.col("parent").alias("__at"), F.col("child").alias("id"))
-    front, seen = seeds.select(F.col("id").alias("root"), F.col("id").alias("__at")).distinct(), None
-    while True:
-        new = front.join(edges, "__at").select("root", "id").distinct()
-        new = checkpointed(new if seen is None else new.join(seen, ["root", "id"], "left_anti"))
-        if new.isEmpty():
-            return new if seen is None else seen
-        seen = new if seen is None else checkpointed(seen.unionByName(new))
-        front = new.select("root", F.col("id").alias("__at"))
+    return reached(seeds.select(F.col("id").alias("root"), "id").distinct(), g["supers"], "parent", "child", "root")
 
 
 def build_service_impls(g: dict[str, DataFrame], services: DataFrame) -> DataFrame:
@@ -178,8 +171,8 @@ def with_method_hashes(methods: DataFrame, impls: DataFrame, hashes: DataFrame)
     """Service methods with the hash of the first implementation's (the smallest by id) method of that name and signature."""
     first = impls.groupBy("system_service_id").agg(F.min_by(F.struct("source", "class_name"), "id").alias("i")).select("system_service_id", F.col("i.source").alias("source"), to_slashed(F.col("i.class_name")).alias("class"))
     h = hashes.join(first, ["source", "class"]).groupBy("system_service_id", "name", "signature").agg(F.min("hash").alias("__hash"))
-    rows = methods.drop("smalisa_hash").join(h, ["system_service_id", "name", "signature"], "left")
-    return rows.withColumn("smalisa_hash", F.col("__hash")).select(*INVENTORY["system_service_methods"].names)
+    rows = methods.drop("method_hash").join(h, ["system_service_id", "name", "signature"], "left")
+    return rows.withColumn("method_hash", F.col("__hash")).select(*INVENTORY["system_service_methods"].names)
 
 
 def update_binder_availability(services: DataFrame, listed: DataFrame) -> DataFrame:
@@ -267,27 +260,25 @@ def select_policy_files(files: DataFrame) -> DataFrame:
     return files.where(path.endswith(".cil") & ~path.endswith(".compat.cil") & ~path.rlike("[0-9]+\\.[0-9]\\.cil"))
 
 
-def resolve_references(values: DataFrame, resources: DataFrame, rounds: int = 16) -> DataFrame:
+def resolve_references(values: DataFrame, resources: DataFrame) -> DataFrame:
     """values(package, value) with `resolved`: @kind/name and @0x... are looked up in the package's resources(package, kind, name, id, value),
-    again and again until nothing changes; on a cycle, an unknown name or another package's, the text as it was. Arrays give a row each."""
+    again and again until nothing is left to look up; on a cycle, an unknown name or another package's, the text as it was. Arrays give a
+    row each. A round follows every open reference by one step and ends, as no reference is followed twice on its way."""
     r = resources.select(F.col("package").alias("__p"), F.col("kind").alias("__k"), F.col("name").alias("__n"), F.lower("id").alias("__id"), F.col("value").alias("__v"))
-    rows = values.select("package", "value", F.col("value").alias("resolved"), F.array().cast("array<string>").alias("__seen"))
-    done = None
-    for _ in range(rounds):
-        open_ = rows.where(F.col("resolved").rlike("^@[^@]"))
-        closed = rows.where(~F.coalesce(F.col("resolved").rlike("^@[^@]"), F.lit(False)))
-        done = closed if done is None else done.unionByName(closed)
-        kind, name = F.regexp_extract("resolved", "^@([^/]+)/", 1), F.regexp_extract("resolved", "/(.+)$", 1)
-        by_name = (F.col("package") == F.col("__p")) & (kind == F.col("__k")) & (name == F.col("__n"))
-        by_id = (F.col("package") == F.col("__p")) & (F.lower(F.substring("resolved", 2, 1_000)) == F.col("__id"))
-        named = open_.where(~F.col("resolved").rlike("^@0x")).join(r, by_name, "left")
-        coded = open_.where(F.col("resolved").rlike("^@0x")).join(r, by_id, "left")
-        found = named.unionByName(coded)
+    columns = ["package", "value", "resolved"]
+    is_reference = F.coalesce(F.col("resolved").rlike("^@[^@]"), F.lit(False))
+    rows = values.select("package", "value", F.col("value").alias("resolved"))
+    done, left = rows.where(~is_reference), 1
+    rows = rows.where(is_reference).withColumn("__seen", F.array().cast("array<string>"))
+    while left:
+        by_name = (F.col("package") == F.col("__p")) & (F.regexp_extract("resolved", "^@([^/]+)/", 1) == F.col("__k")) & (F.regexp_extract("resolved", "/(.+)$", 1) == F.col("__n"))
+        by_id = (F.col("package") == F.col("__p")) & (F.lower(F.expr("substring(resolved, 2)")) == F.col("__id"))
+        coded = F.col("resolved").rlike("^@0x")
+        found = rows.where(~coded).join(r, by_name, "left").unionByName(rows.where(coded).join(r, by_id, "left"))
         lost = F.col("__v").isNull() | F.array_contains("__seen", F.col("__v"))
-        stuck = found.where(lost).select("package", "value", F.col("value").alias("resolved"), "__seen")
-        done = done.unionByName(stuck)
-        rows = checkpointed(found.where(~lost).select("package", "value", F.col("__v").alias("resolved"), F.array_append("__seen", F.col("resolved")).alias("__seen")))
-        if rows.isEmpty():
-            break
-    rest = rows.select("package", "value", F.col("value").alias("resolved"), "__seen")
-    return done.unionByName(rest).select("package", "value", "resolved")
+        found, _, _ = written(found.select("package", "value", F.when(lost, F.col("value")).otherwise(F.col("__v")).alias("resolved"), F.array_append("__seen", F.col("resolved")).alias("__seen"), lost.alias("__lost")), "references")
+        open_ = is_reference & ~F.col("__lost")
+        done = done.unionByName(found.where(~open_).select(*columns))
+        rows = found.where(open_).drop("__lost")
+        left = rows.count()
+    return done.select(*columns)

@@ -1,7 +1,8 @@
 """Graph traversals: bounded call walks, inheritance closures, and components that reach a method.
 
-Each level is one equi-join of the frontier's ids with the edges; a level is written to the shared folder, so no lineage grows,
-and names are joined once at the end.
+Each level is one equi-join of the frontier's ids with the edges; a level is written to the shared folder as Parquet and read back with
+its schema, so no plan grows, no level is written twice, and names are joined once at the end. Edges are read at every level: give
+tables that are files, not plans that derive them (plans.storage.stored writes them).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions.expr import squash, to_dotted, to_slashed
 from codelode.operators.lookups import Graph, class_specs, get_method_ids, method_specs
-from codelode.plans.storage import checkpointed
+from codelode.plans.storage import written
 from codelode.schema import FRAMEWORK
 
 
@@ -38,10 +39,9 @@ def expand(seeds: DataFrame, edges: DataFrame, tip: str, step: str, depth: int,
         path = F.array_prepend("path", F.col("__step")) if backward else F.array_append("path", F.col("__step"))
         front = rows.select(path.alias("path"), F.col("__step").alias("__at")).distinct()
         if level < depth or max_paths is not None:
-            front = checkpointed(front)
-        if max_paths is not None:
-            total += front.count()
-            if total > max_paths:
+            front, found, _ = written(front, "walks")
+            total += found
+            if max_paths is not None and total > max_paths:
                 raise TooManyPaths(f"more than {max_paths} paths within {level} steps")
         levels.append(front.select("path", F.lit(level).alias("length")))
     return reduce(DataFrame.unionByName, levels) if levels else front.select("path", F.lit(0).alias("length")).limit(0)
@@ -79,17 +79,27 @@ def find_outgoing(g: Graph, name: str | None = None, cls: str | None = None, sig
     return _with_end(g, paths, -1, into_source)
 
 
-def closure(seeds: DataFrame, edges: DataFrame, tip: str, step: str) -> DataFrame:
-    """(id): all that can be reached from seeds(id) in one or more edges; ends on cycles, as each id is expanded once."""
+def reached(seeds: DataFrame, edges: DataFrame, tip: str, step: str, *keys: str) -> DataFrame:
+    """(*keys, id): all that can be reached from seeds(*keys, id) in one or more edges, for each combination of keys.
+
+    A level takes the ids of the level before it over one edge and leaves out those that any level has, so each is expanded once and
+    cycles end. Levels are files of their own: what has been reached is read at each level, never written again."""
+    spark, columns = seeds.sparkSession, [*keys, "id"]
     edges = edges.select(F.col(tip).alias("__tip"), F.col(step).alias("id"))
-    front, seen = seeds.select("id").distinct(), None
+    front, paths = seeds.select(*columns).distinct(), []
     while True:
-        new = front.withColumnRenamed("id", "__tip").join(edges, "__tip").select("id").distinct()
-        new = checkpointed(new if seen is None else new.join(seen, "id", "left_anti"))
-        if new.isEmpty():
-            return new if seen is None else seen
-        seen = new if seen is None else checkpointed(seen.unionByName(new))
-        front = new
+        new = front.withColumnRenamed("id", "__tip").join(edges, "__tip").select(*columns).distinct()
+        if paths:
+            new = new.join(spark.read.schema(front.schema).parquet(*paths), columns, "left_anti")
+        front, found, path = written(new, "reached")
+        if not found:
+            return spark.read.schema(front.schema).parquet(*paths) if paths else front
+        paths.append(path)
+
+
+def closure(seeds: DataFrame, edges: DataFrame, tip: str, step: str) -> DataFrame:
+    """(id): all that can be reached from seeds(id) in one or more edges."""
+    return reached(seeds, edges, tip, step)
 
 
 def _classes(g: Graph, name: str, source: str | None) -> DataFrame:

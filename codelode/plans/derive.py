@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ VIEWS = {
     "apk_permissions": "SELECT DISTINCT concat('perm.N', CAST(l_partkey % 25 AS STRING)) AS name, l_suppkey AS apk_id FROM lineitem WHERE l_suppkey % 10 <> 9",
     "system_services": "SELECT CAST(n_nationkey AS BIGINT) AS id, concat('svc.', lower(n_name)) AS name, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE concat('p.I', CAST(n_nationkey AS STRING)) END AS iface, CAST(n_nationkey % 3 - 1 AS INT) AS can_get_binder FROM nation",
     "system_service_impls": "SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS system_service_id, CASE WHEN s_suppkey % 2 = 0 THEN 'framework' ELSE concat('%system%app%S', CAST(s_suppkey AS STRING), '.apk') END AS source, concat('p.C', CAST(s_suppkey AS STRING)) AS class_name FROM supplier WHERE s_nationkey % 2 = 0",
-    "system_service_methods": "SELECT p_partkey AS id, p_partkey % 25 AS system_service_id, CAST(floor(p_partkey / 25.0) AS BIGINT) + 1 AS transaction_id, replace(p_name, ' ', '_') AS name, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 3 = 0 THEN 'ILjava/lang/String;' WHEN p_size % 3 = 1 THEN 'Lp/ICallback;Z' ELSE '' END AS signature, CASE WHEN p_size % 7 = 0 THEN NULL ELSE 'V' END AS return_type, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_brand END AS smalisa_hash FROM part",
+    "system_service_methods": "SELECT p_partkey AS id, p_partkey % 25 AS system_service_id, CAST(floor(p_partkey / 25.0) AS BIGINT) + 1 AS transaction_id, replace(p_name, ' ', '_') AS name, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 3 = 0 THEN 'ILjava/lang/String;' WHEN p_size % 3 = 1 THEN 'Lp/ICallback;Z' ELSE '' END AS signature, CASE WHEN p_size % 7 = 0 THEN NULL ELSE 'V' END AS return_type, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_brand END AS method_hash FROM part",
     "device_properties": "SELECT CAST(n_nationkey AS BIGINT) AS id, concat('ro.', lower(r_name), '.', CAST(n_nationkey AS STRING)) AS name, n_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey",
     "protected_broadcasts": "SELECT min(p_partkey) AS id, concat('action.', p_type, '.', p_brand) AS name FROM part GROUP BY p_type, p_brand",
     "fuzz_results": "SELECT event_id AS id, event_type AS service_name, concat('m', CAST(user_id % 20 AS STRING)) AS method_name, event_type = 'error' OR value < 10 AS exception_thrown, event_type = 'error' AS security_exception_thrown FROM events",
@@ -40,7 +43,7 @@ INVENTORY = ("apks", "receivers", "activities", "services", "providers", "permis
 
 #: Columns of the other snapshot that differ in every eleventh row it has.
 _FLIPPED = ("exported", "enabled", "is_debuggable", "is_priv")
-_CHANGED = ("permission", "read_permission", "write_permission", "protection_level", "smalisa_hash")
+_CHANGED = ("permission", "read_permission", "write_permission", "protection_level", "method_hash")
 
 
 def with_views(body: str) -> str:
@@ -75,16 +78,33 @@ def other_snapshot(df: DataFrame) -> DataFrame:
     return df.where("id % 7 <> 0").select(*map(one, df.columns))
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All base tables and views; each is read or derived when something uses it."""
-    out = {}
-    for name in BASE:
-        out[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        out[name].createOrReplaceTempView(name)
-    for name, sql in VIEWS.items():
-        out[name] = spark.sql(sql)
-        out[name].createOrReplaceTempView(name)
-    return out
+_USED = re.compile(r"\b(FROM|JOIN)\s+([a-z]\w*)")
+
+
+class Tables(Mapping):
+    """All base tables and views by name; each is read or derived when it is first used, and leaves no view in the session."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            if name in BASE:
+                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            else:
+                used = {n for _, n in _USED.findall(VIEWS[name])}
+                self._made[name] = self.spark.sql(_USED.sub(r"\1 {\2}", VIEWS[name]), **{n: self[n] for n in used})
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter((*BASE, *VIEWS))
+
+    def __len__(self) -> int:
+        return len(BASE) + len(VIEWS)
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    return Tables(spark, sf_dir)
 
 
 def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

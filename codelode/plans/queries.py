@@ -17,6 +17,7 @@ from codelode.operators import review as H
 from codelode.operators import traversal as D
 from codelode.plans import derive
 from codelode.plans.derive import other_sql, with_views
+from codelode.plans.storage import stored
 from codelode.streaming.streams import Route, routed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,43 +66,43 @@ PATHS = "SELECT array_to_string(path, '>') AS path, CAST(length AS INT) AS lengt
 
 @query("callers_d3", f"{walks(SEED, 3)} {PATHS}")
 def _(t):
-    return paths(D.find_callers(t, cls=CLASS, depth=3))
+    return paths(D.find_callers(stored(t, "calls"), cls=CLASS, depth=3))
 
 
 for _depth in (1, 2):
-    query(f"callers_d{_depth}", f"{walks(SEED, _depth)} {PATHS}")(lambda t, d=_depth: paths(D.find_callers(t, cls=CLASS, depth=d)))
+    query(f"callers_d{_depth}", f"{walks(SEED, _depth)} {PATHS}")(lambda t, d=_depth: paths(D.find_callers(stored(t, "calls") if d > 1 else t, cls=CLASS, depth=d)))
 
 
 @query("callers_by_source", f"{walks(SEED, 3)} {PATHS} JOIN methods m ON m.id = w.path[1] JOIN sources s ON s.id = m.source WHERE s.name = 'asia'")
 def _(t):
-    return paths(D.find_callers(t, cls=CLASS, call_source="asia", depth=3))
+    return paths(D.find_callers(stored(t, "calls"), cls=CLASS, call_source="asia", depth=3))
 
 
 @query("callers_simple", f"{walks(SEED, 3)} {PATHS} WHERE len(list_distinct(path)) = len(path)")
 def _(t):
-    return paths(D.find_callers(t, cls=CLASS, depth=3, simple=True))
+    return paths(D.find_callers(stored(t, "calls"), cls=CLASS, depth=3, simple=True))
 
 
 @query("outgoing_d3", f"{walks(SEED, 3, False)} {PATHS}")
 def _(t):
-    return paths(D.find_outgoing(t, cls=CLASS, depth=3))
+    return paths(D.find_outgoing(stored(t, "calls"), cls=CLASS, depth=3))
 
 
 @query("outgoing_into_source", f"{walks(SEED, 3, False)} {PATHS} JOIN methods m ON m.id = w.path[-1] JOIN sources s ON s.id = m.source WHERE s.name = 'framework'")
 def _(t):
-    return paths(D.find_outgoing(t, cls=CLASS, into_source="framework", depth=3))
+    return paths(D.find_outgoing(stored(t, "calls"), cls=CLASS, into_source="framework", depth=3))
 
 
 @query("path_ends", f"{walks(SEED, 2)}, x AS ({SPEC}) SELECT array_to_string(path, '>') AS path, CAST(length AS INT) AS length, a.class AS src_class, a.source AS src_source, b.class AS dst_class, b.source AS dst_source, CAST(len(path) AS INT) AS n FROM w JOIN x a ON a.id = w.path[1] JOIN x b ON b.id = w.path[-1]")
 def _(t):
-    rows = D.assemble_paths(t, D.find_callers(t, cls=CLASS, depth=2))
+    rows = D.assemble_paths(t, D.find_callers(stored(t, "calls"), cls=CLASS, depth=2))
     a, b = X.path_src(F.col("methods")), X.path_dst(F.col("methods"))
     return rows.select(F.array_join("path", ">").alias("path"), "length", a["class"].alias("src_class"), a["source"].alias("src_source"), b["class"].alias("dst_class"), b["source"].alias("dst_source"), X.path_len(F.col("methods")).alias("n"))
 
 
 @query("path_display", f"{walks(SEED, 2)}, x AS ({SPEC}), h AS (SELECT path, unnest(path) AS id, unnest(range(1, len(path) + 1)) AS i FROM w) SELECT array_to_string(h.path, '>') AS path, string_agg(concat(replace(substr(x.class, 2, length(x.class) - 2), '/', '.'), '.', x.name, '(', x.signature, ')', ' @', x.source), ' > ' ORDER BY i) AS shown FROM h JOIN x ON x.id = h.id WHERE i < len(h.path) GROUP BY h.path")
 def _(t):
-    rows = D.assemble_paths(t, D.find_callers(t, cls=CLASS, depth=2))
+    rows = D.assemble_paths(t, D.find_callers(stored(t, "calls"), cls=CLASS, depth=2))
     return rows.select(F.array_join("path", ">").alias("path"), D.display_path(F.col("methods"), hide_last=True, show_source=True).alias("shown"))
 
 
@@ -118,17 +119,17 @@ def class_rows(ids: str, where: str = "") -> str:
 
 @query("parents_of", closure_sql("up", "SELECT c.id FROM classes c JOIN sources s ON s.id = c.source WHERE c.name = 'Lp/C75;' AND s.name = 'framework'", "supers", "child", "parent") + " " + class_rows("up"))
 def _(t):
-    return D.find_parents(t, "Lp/C75;", "framework")
+    return D.find_parents(stored(t, "supers"), "Lp/C75;", "framework")
 
 
 @query("children_of", closure_sql("down", "SELECT id FROM classes WHERE name = 'Lp/C1;'", "supers", "parent", "child") + " " + class_rows("down"))
 def _(t):
-    return D.find_children(t, "Lp/C1;")
+    return D.find_children(stored(t, "supers"), "Lp/C1;")
 
 
 @query("children_child_source", closure_sql("down", "SELECT c.id FROM classes c JOIN sources s ON s.id = c.source WHERE c.name = 'Lp/C1;' AND s.name = 'asia'", "supers", "parent", "child") + " " + class_rows("down", "WHERE x.source = 'europe'"))
 def _(t):
-    return D.find_children(t, "Lp/C1;", parent_source="asia", child_source="europe")
+    return D.find_children(stored(t, "supers"), "Lp/C1;", parent_source="asia", child_source="europe")
 
 
 IMPL = closure_sql("direct", f"SELECT id FROM classes WHERE name = '{CLASS}'", "interfaces", "interface", "class") + ", " + closure_sql("below", "SELECT id FROM direct", "supers", "parent", "child") + ", both_ AS (SELECT id FROM direct UNION SELECT id FROM below)"
@@ -136,19 +137,18 @@ IMPL = closure_sql("direct", f"SELECT id FROM classes WHERE name = '{CLASS}'", "
 
 @query("implementers", f"{IMPL} {class_rows('both_')}")
 def _(t):
-    return D.find_implementers(t, CLASS)
+    return D.find_implementers(stored(t, "supers", "interfaces"), CLASS)
 
 
 @query("implementers_in_source", f"{IMPL} {class_rows('both_', 'WHERE x.source = ' + chr(39) + 'framework' + chr(39))}")
 def _(t):
-    return D.find_implementers(t, CLASS, impl_source="framework")
+    return D.find_implementers(stored(t, "supers", "interfaces"), CLASS, impl_source="framework")
 
 
 @query("source_fallback", closure_sql("down", "SELECT id FROM classes WHERE id = 3", "supers", "parent", "child") + " " + class_rows("down"))
 def _(t):
     # the class is known outside the framework alone here, so the first try finds nothing
-    g = dict(t)
-    g["classes"] = t["classes"].where("id <> 2")
+    g = {"sources": t["sources"], "supers": stored(t, "supers")["supers"], "classes": t["classes"].where("id <> 2")}
     return D.with_source_fallback(lambda source: D.find_children(g, "Lp/C1;", parent_source=source))
 
 
@@ -500,7 +500,7 @@ def _(t):
     return E.update_binder_availability(t["system_services"], t["system_services"].where("id % 2 = 0").select("name", "iface"))
 
 
-@query("service_methods_replaced", "SELECT * FROM system_service_methods WHERE system_service_id <> 3 UNION ALL SELECT id + 1000000, system_service_id, transaction_id, name, signature, return_type, smalisa_hash FROM system_service_methods WHERE system_service_id = 3")
+@query("service_methods_replaced", "SELECT * FROM system_service_methods WHERE system_service_id <> 3 UNION ALL SELECT id + 1000000, system_service_id, transaction_id, name, signature, return_type, method_hash FROM system_service_methods WHERE system_service_id = 3")
 def _(t):
     return E.replace_service(t, 3, t["system_service_methods"].withColumn("id", F.col("id") + 1_000_000))["system_service_methods"]
 
@@ -514,11 +514,11 @@ def _(t):
 
 @query("service_impls_built", f"{closure_sql('below0', 'SELECT id FROM classes WHERE name = ' + chr(39) + 'Lp/C1;' + chr(39), 'supers', 'parent', 'child')} SELECT DISTINCT s.name AS source, concat('p.', substr(c.name, 4, length(c.name) - 4)) AS class_name FROM below0 b JOIN classes c ON c.id = b.id JOIN sources s ON s.id = c.source WHERE (c.access_flags & 1024) = 0")
 def _(t):
-    g = dict(t)
+    g = {k: t[k] for k in ("sources", "supers")}
     # the class of part 2 and 3 stands for the stub of one service
     g["classes"] = t["classes"].withColumn("name", F.when(F.col("name") == "Lp/C1;", "Lp/I1$Stub;").otherwise(F.col("name")))
     services = t["system_services"].where("iface = 'p.I1'")
-    return E.build_service_impls(g, services).select("source", "class_name")
+    return E.build_service_impls(stored(g, "supers"), services).select("source", "class_name")
 
 
 # Inventory lookups.
@@ -741,8 +741,8 @@ def _(t):
 
 
 _MKEY = "concat_ws('|', m.name, coalesce(m.signature, ''), coalesce(m.return_type, ''))"
-_OTHER_METHODS = other_sql("system_service_methods", "id system_service_id transaction_id name signature return_type smalisa_hash")
-METHOD_DIFF = f"theirs AS (SELECT s.name AS service, {_MKEY} AS k, arg_max(coalesce(m.smalisa_hash, chr(1)), m.id) AS h FROM ({_OTHER_METHODS}) m JOIN (SELECT * FROM system_services WHERE id % 7 <> 0) s ON s.id = m.system_service_id GROUP BY 1, 2), mdiff AS (SELECT m.id AS method, x.k IS NOT NULL AS exists_in_diff, CAST(CASE WHEN x.k IS NULL OR m.smalisa_hash IS NULL OR x.h = chr(1) THEN 0 WHEN m.smalisa_hash = x.h THEN 1 ELSE -1 END AS INT) AS hash_matches_diff FROM system_service_methods m JOIN system_services s ON s.id = m.system_service_id LEFT JOIN theirs x ON x.service = s.name AND x.k = {_MKEY})"
+_OTHER_METHODS = other_sql("system_service_methods", "id system_service_id transaction_id name signature return_type method_hash")
+METHOD_DIFF = f"theirs AS (SELECT s.name AS service, {_MKEY} AS k, arg_max(coalesce(m.method_hash, chr(1)), m.id) AS h FROM ({_OTHER_METHODS}) m JOIN (SELECT * FROM system_services WHERE id % 7 <> 0) s ON s.id = m.system_service_id GROUP BY 1, 2), mdiff AS (SELECT m.id AS method, x.k IS NOT NULL AS exists_in_diff, CAST(CASE WHEN x.k IS NULL OR m.method_hash IS NULL OR x.h = chr(1) THEN 0 WHEN m.method_hash = x.h THEN 1 ELSE -1 END AS INT) AS hash_matches_diff FROM system_service_methods m JOIN system_services s ON s.id = m.system_service_id LEFT JOIN theirs x ON x.service = s.name AND x.k = {_MKEY})"
 
 
 @query("diff_service_methods", f"{METHOD_DIFF} SELECT * FROM mdiff")

@@ -63,7 +63,7 @@ INVENTORY = {
     "protected_broadcasts": _struct("id:long name:string"),
     "system_services": _struct("id:long name:string iface:string can_get_binder:int"),
     "system_service_impls": _struct("id:long system_service_id:long source:string class_name:string"),
-    "system_service_methods": _struct("id:long system_service_id:long transaction_id:long name:string signature:string return_type:string smalisa_hash:string"),
+    "system_service_methods": _struct("id:long system_service_id:long transaction_id:long name:string signature:string return_type:string method_hash:string"),
     "device_properties": _struct("id:long name:string value:string"),
     "fuzz_results": _struct("id:long service_name:string method_name:string exception_thrown:bool security_exception_thrown:bool"),
 }

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelode.functions.expr import file_path
+from codelode.plans.storage import delete, exists, listed, rename
+
 _A = "_android:"
 
 
@@ -30,7 +34,13 @@ MANIFEST_SCHEMA = (
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """One row for each package manifest, with its file; a manifest that can't be read has only _corrupt_record."""
     rows = spark.read.format("xml").option("rowTag", "manifest").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", "true").schema(MANIFEST_SCHEMA).load(path)
-    return rows.withColumn("file", F.input_file_name())
+    return rows.withColumn("file", file_path(F.input_file_name()))
+
+
+def parse_manifests(text: DataFrame) -> DataFrame:
+    """The same of text(file, text), a manifest in each row."""
+    parsed = F.from_xml("text", MANIFEST_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return text.select(parsed.alias("m"), "file").select("m.*", "file")
 
 
 def attribute(struct: Column, name: str) -> Column:
@@ -73,7 +83,7 @@ def read_property_dump(text: DataFrame) -> DataFrame:
 
 def read_property_files(spark: SparkSession, path: str, max_depth: int = 5) -> DataFrame:
     """(name, value) of key=value lines of *.prop files at most max_depth folders down; of several the last by file and line wins."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.prop").text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.prop").text(path, wholetext=True).select(file_path(F.input_file_name()).alias("file"), "value")
     base = F.lit(path.rstrip("/").split("://")[-1])
     below = F.regexp_replace(F.regexp_replace("file", "^[a-z0-9]+:/+", "/"), F.concat(F.lit("^.*\\Q"), base, F.lit("\\E/")), "")
     lines = files.where(F.size(F.split(below, "/")) <= max_depth).select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
@@ -110,19 +120,13 @@ def read_probe_results(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("trim(value) <> ''").select(row.alias("r")).select(F.col("r.s").alias("service_name"), F.col("r.m").alias("method_name"), F.coalesce(F.trim("r.e") == "1", F.lit(False)).alias("exception_thrown"), F.coalesce(F.trim("r.x") == "1", F.lit(False)).alias("security_exception_thrown"))
 
 
-def find_files(spark: SparkSession, base: str, kind: str = "file", min_depth: int = 1, max_depth: int = 64, suffix: str | None = None, prefix: str | None = None, name: str | None = None, ignore_case: bool = False) -> DataFrame:
-    """(path, depth) of files (or of the folders that hold some) below base, by depth and name. Contents are not read; empty files, which Spark never reads, are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path")
+def find_files(spark: SparkSession, base: str, kind: str = "file", min_depth: int = 1, max_depth: int | None = None, suffix: str | None = None, prefix: str | None = None, name: str | None = None, ignore_case: bool = False) -> DataFrame:
+    """(path, depth) of files (or folders) below base, by depth and name; empty ones too, and at any depth unless max_depth is given. Contents are not read."""
     root = base.rstrip("/").split("://")[-1]
-    clean = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    rest = F.regexp_replace(clean, F.lit("^.*?\\Q" + root + "\\E/"), F.lit(""))
-    parts = F.split(rest, "/")
-    if kind == "dir":
-        ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-        rows = files.where(F.size(parts) > 1).select(F.explode(ups).alias("rest")).distinct()
-    else:
-        rows = files.select(rest.alias("rest"))
-    rows = rows.select(F.concat(F.lit(root + "/"), F.col("rest")).alias("path"), F.size(F.split("rest", "/")).alias("depth")).where(F.col("depth").between(min_depth, max_depth))
+    rows = [(path, path[len(root) :].strip("/").count("/") + 1) for path, folder in listed(spark, base) if folder == (kind == "dir")]
+    rows = spark.createDataFrame(rows, "path string, depth int").where(F.col("depth") >= min_depth)
+    if max_depth is not None:
+        rows = rows.where(F.col("depth") <= max_depth)
     last = F.substring_index("path", "/", -1)
     fold = F.lower if ignore_case else (lambda c: c)
     text = lambda t: F.lit(t.lower() if ignore_case else t)
@@ -169,8 +173,20 @@ def open_snapshot(spark: SparkSession, path: str, tables: list[str]) -> dict[str
 
 
 def save_snapshot(tables: dict[str, DataFrame], path: str, force: bool = False) -> None:
-    for name, df in tables.items():
-        df.write.mode("overwrite" if force else "errorifexists").parquet(f"{path}/{name}")
+    """Write all tables as one snapshot, or none: they are written beside it and get its name when all are there. One that is there is an
+    error, or, with force, replaced."""
+    spark = next(iter(tables.values())).sparkSession
+    if exists(spark, path) and not force:
+        raise FileExistsError(f"{path} already exists")
+    unfinished = f"{path.rstrip('/')}.unfinished-{uuid.uuid4().hex}"
+    try:
+        for name, df in tables.items():
+            df.write.parquet(f"{unfinished}/{name}")
+        delete(spark, path)
+        rename(spark, unfinished, path)
+    except BaseException:
+        delete(spark, unfinished)
+        raise
 
 
 def baseline_path(base: str, api_level: int) -> str:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codelode.functions.expr import any_of
+from codelode.functions.expr import any_of, file_path
+from codelode.plans.storage import written
 from codelode.schema import DISTINCT_FACTS, FACTS, FLAGS, READ, WRITE
 
 # Prefixes of classes, and parts of file paths, of bundled libraries.
@@ -57,7 +58,7 @@ def ignore_library_classes(facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def read_disassembly(spark: SparkSession, path: str, source: str) -> DataFrame:
     """(path, source, text): one row for each disassembly file, library files left out."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.smali").text(path, wholetext=True)
-    return files.select(F.input_file_name().alias("path"), F.lit(source).alias("source"), F.col("value").alias("text")).where(~is_library_file(F.col("path")))
+    return files.select(file_path(F.input_file_name()).alias("path"), F.lit(source).alias("source"), F.col("value").alias("text")).where(~is_library_file(F.col("path")))
 
 
 _DIRECTIVES = {
@@ -70,6 +71,7 @@ _DIRECTIVES = {
 _CALL = "^\\s*invoke-\\S+\\s+\\{[^}]*\\},\\s*(\\[*[^\\s;]+;?)->([^(\\s]+)\\(([^)]*)\\)"
 _FIELD = "^\\s*[is](get|put)\\S*\\s+[^\\s]+(?:,\\s*[vp]\\d+)?,\\s*([^\\s;]+;)->([^:\\s]+):(\\S+)"
 _STRING = '^\\s*const-string\\S*\\s+[vp]\\d+,\\s*"(.*)"\\s*$'
+_LITERAL = '"(?:[^"\\\\]|\\\\.)*"'
 _FIELD_STRING = '=\\s*"(.*)"\\s*$'
 
 
@@ -93,16 +95,26 @@ def _flags(words: Column) -> Column:
     return F.aggregate(known, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b.cast("long")))
 
 
+def tagged_lines(text: DataFrame) -> DataFrame:
+    """disassembly_lines that hold some fact, with `kind`: that of its directive, or call, access or string."""
+    test = {**_DIRECTIVES, "call": _CALL, "access": _FIELD, "string": _STRING}
+    kind = F.coalesce(*(F.when(F.col("value").rlike(pattern), F.lit(k)) for k, pattern in test.items()))
+    lines = disassembly_lines(text).where(~is_library_class(F.coalesce("class", F.lit("")))).withColumn("kind", kind)
+    return lines.where("kind is not null")
+
+
 def extract_code_facts(text: DataFrame) -> dict[str, DataFrame]:
-    """The nine kinds of facts of read_disassembly's rows, with their source. String constants keep their escapes."""
-    lines = disassembly_lines(text).where(~is_library_class(F.coalesce("class", F.lit(""))))
-    at = lambda kind: lines.where(F.col("value").rlike(_DIRECTIVES[kind]))
+    """The nine kinds of facts of read_disassembly's rows, with their source. String constants keep their escapes.
+
+    The text is gone through once: its tagged lines are written to the shared folder, and each kind of fact is read from there."""
+    lines = written(tagged_lines(text), "lines")[0]
+    at = lambda kind: lines.where(F.col("kind") == kind)
     get = lambda pattern, i: F.regexp_extract("value", pattern, i)
     field = "^\\s*\\.field\\s+(.*?)([^\\s:]+):([^\\s=]+)"
     method = "^\\s*\\.method\\s+(.*?)([^\\s(]+)\\("
-    calls = lines.where(F.col("value").rlike(_CALL)).select("source", F.col("class").alias("caller_class"), F.col("method").alias("caller_name"), F.col("args").alias("caller_args"), get(_CALL, 1).alias("callee_class"), get(_CALL, 2).alias("callee_name"), get(_CALL, 3).alias("callee_args"))
-    access = lines.where(F.col("value").rlike(_FIELD)).select("source", get(_FIELD, 2).alias("field_class"), get(_FIELD, 3).alias("field_name"), get(_FIELD, 4).alias("field_ty"), F.col("class").alias("method_class"), F.col("method").alias("method_name"), F.col("args").alias("method_args"), F.when(get(_FIELD, 1) == "put", WRITE).otherwise(READ).alias("action"))
-    literal = F.when(F.col("value").rlike(_STRING), get(_STRING, 1)).when(F.col("value").rlike(_DIRECTIVES["field"]) & F.col("value").rlike(_FIELD_STRING), get(_FIELD_STRING, 1))
+    calls = at("call").select("source", F.col("class").alias("caller_class"), F.col("method").alias("caller_name"), F.col("args").alias("caller_args"), get(_CALL, 1).alias("callee_class"), get(_CALL, 2).alias("callee_name"), get(_CALL, 3).alias("callee_args"))
+    access = at("access").select("source", get(_FIELD, 2).alias("field_class"), get(_FIELD, 3).alias("field_name"), get(_FIELD, 4).alias("field_ty"), F.col("class").alias("method_class"), F.col("method").alias("method_name"), F.col("args").alias("method_args"), F.when(get(_FIELD, 1) == "put", WRITE).otherwise(READ).alias("action"))
+    literal = F.when(F.col("kind") == "string", get(_STRING, 1)).when((F.col("kind") == "field") & F.col("value").rlike(_FIELD_STRING), get(_FIELD_STRING, 1))
     strings = lines.withColumn("string", literal).where("string is not null")
     facts = {
         "classes": at("class").select("source", "class", _flags(get(_DIRECTIVES["class"], 1)).alias("flags")),
@@ -119,9 +131,12 @@ def extract_code_facts(text: DataFrame) -> dict[str, DataFrame]:
 
 
 def instructions(text: DataFrame) -> DataFrame:
-    """(source, class, method, args, ret, line, opcode, operands): instruction lines within methods, without labels, directives, comments and registers."""
+    """(source, class, method, args, ret, line, opcode, operands): instruction lines within methods, without labels, directives, comments and registers.
+
+    A string literal is an operand as it stands: what looks like a register, a label or a comment inside it is text."""
     lines = disassembly_lines(text).where("method <> ''")
-    code = F.trim(F.regexp_replace("value", "\\s+#.*$", ""))
-    lines = lines.withColumn("code", code).where((F.col("code") != "") & ~F.col("code").rlike("^[.:#]"))
+    literal = F.regexp_extract("value", _LITERAL, 0)
+    lines = lines.withColumn("__literal", literal).withColumn("code", F.trim(F.regexp_replace(F.regexp_replace("value", _LITERAL, '""'), "(^|\\s+)#.*$", "")))
+    lines = lines.where((F.col("code") != "") & ~F.col("code").rlike("^[.:#]"))
     operands = F.trim(F.regexp_replace(F.regexp_replace("code", "^\\S+\\s*", ""), "\\{[^}]*\\},?|\\b[vp]\\d+\\b,?|:\\w+", ""))
-    return lines.select("source", "class", "method", "args", "ret", "line", F.regexp_extract("code", "^(\\S+)", 1).alias("opcode"), operands.alias("operands"), "code")
+    return lines.select("source", "class", "method", "args", "ret", "line", F.regexp_extract("code", "^(\\S+)", 1).alias("opcode"), F.replace(operands, F.lit('""'), F.col("__literal")).alias("operands"), F.replace("code", F.lit('""'), F.col("__literal")).alias("code"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from codelode.functions.expr import file_path
 from codelode.schema import FACTS
 
 # Log levels, from the least severe.
@@ -50,10 +51,12 @@ def routed(log: DataFrame, routes: list[Route], since=None) -> DataFrame:
     return rows.withColumn("route", F.explode(taken))
 
 
-def route_log_stream(stream: DataFrame, routes: list[Route], path: str, checkpoint: str, since=None) -> StreamingQuery:
-    """Write each route's records to a folder of its own, each record once: the file sink and the checkpoint see to that after a restart."""
+def route_log_stream(stream: DataFrame, routes: list[Route], path: str, checkpoint: str, since=None, every: str | None = None) -> StreamingQuery:
+    """Write each route's records to a folder of its own, each record once: the file sink and the checkpoint see to that after a restart.
+
+    every: how often the stream looks for new records ("10 seconds"), until it is stopped; without it, it takes what is there and ends."""
     out = routed(stream, routes, since)
-    return out.writeStream.format("parquet").partitionBy("route").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return out.writeStream.format("parquet").partitionBy("route").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**({"availableNow": True} if every is None else {"processingTime": every})).start()
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -71,15 +74,14 @@ def ingest_sources_stream(spark: SparkSession, path: str, kind: str, out: str, c
     A micro-batch writes each source to a folder of its own, over what an attempt that failed has left there, and records it only then;
     a source that the ledger has is skipped."""
     stream = spark.readStream.schema(FACTS[kind]).options(header=False, quote='"', escape='"', multiLine=True, mode="FAILFAST", nullValue="\x00", emptyValue="").option("pathGlobFilter", f"{kind}.csv").option("recursiveFileLookup", "true").csv(path)
-    stream = stream.withColumn("source", F.regexp_extract(F.input_file_name(), "/([^/]+)/[^/]+$", 1))
+    stream = stream.withColumn("source", file_path(F.regexp_extract(F.input_file_name(), "/([^/]+)/[^/]+$", 1)))
 
     def load(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
         ledger = read_ledger(session, f"{out}/_ledger").where(F.col("kind") == kind)
         new = batch.join(ledger, "source", "left_anti").persist()
         try:
-            session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-            new.write.mode("overwrite").partitionBy("source").parquet(f"{out}/{kind}")
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{out}/{kind}")
             new.select("source").distinct().select("source", F.lit(kind).alias("kind")).write.mode("append").parquet(f"{out}/_ledger")
         finally:
             new.unpersist()

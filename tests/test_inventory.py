@@ -49,6 +49,13 @@ def test_files(spark, tmp_path):
     assert [Path(r.path).name for r in S.package_files(spark, str(tmp_path)).collect()] == ["Framework.APK"]
     assert S.find_files(spark, str(tmp_path), suffix=".prop", max_depth=2).count() == 2
     assert sorted(Path(r.path).name for r in S.find_files(spark, str(tmp_path), kind="dir", min_depth=2, max_depth=3).collect()) == ["b", "c"]
+    (tmp_path / "empty/hollow").mkdir(parents=True)
+    (tmp_path / "empty/nothing.prop").write_text("")
+    assert {Path(r.path).name for r in S.find_files(spark, str(tmp_path / "empty")).collect()} == {"nothing.prop"}
+    assert {Path(r.path).name for r in S.find_files(spark, str(tmp_path), kind="dir", prefix="hol").collect()} == {"hollow"}
+    (tmp_path / "/".join(["deep", *"x" * 80])).mkdir(parents=True)
+    (tmp_path / "/".join(["deep", *"x" * 80, "far.txt"])).write_text("x")
+    assert [r.depth for r in S.find_files(spark, str(tmp_path), name="far.txt").collect()] == [82]
     (tmp_path / "probe.csv").write_text('s,m,1,0,7,"x"\ns2,m2,0,1\n')
     assert tuples(S.read_probe_results(spark, str(tmp_path / "probe.csv"))) == [("s", "m", True, False), ("s2", "m2", False, True)]
 
@@ -128,6 +135,44 @@ def test_references(spark):
     assert sorted((str(r.value), str(r.resolved)) for r in got.collect()) == [("@0x7f02", "true"), ("@android:bool/z", "@android:bool/z"), ("@array/l", "one"), ("@array/l", "two"), ("@bool/a", "true"), ("@x/c1", "@x/c1"), ("None", "None"), ("plain", "plain")]
 
 
+def test_long_chains_of_references(spark):
+    chain = [("p", "string", f"s{i}", None, f"@string/s{i + 1}") for i in range(50)] + [("p", "string", "s50", None, "found"), ("p", "id", "n", "0x" + "7" * 1200, "long")]
+    resources = spark.createDataFrame(chain, "package string, kind string, name string, id string, value string")
+    values = spark.createDataFrame([("p", "@string/s0"), ("p", "@0x" + "7" * 1200)], "package string, value string")
+    assert sorted(r.resolved for r in E.resolve_references(values, resources).collect()) == ["found", "long"]
+
+
+def test_hashes_tell_literals_apart(spark):
+    def of(body):
+        text = spark.createDataFrame([("/a", "s", ".class public LA;\n.method public m()V\n" + body + "\n.end method\n")], "path string, source string, text string")
+        return E.method_hashes(A.instructions(text)).first().hash
+
+    assert of('const-string v0, "pay v1 :now"') != of('const-string v0, "pay v2 :later"')
+    assert of('const-string v0, "a # b"') != of('const-string v0, "a # c"')
+    assert of('const-string v0, "a"  # said "b"') == of('    const-string p3, "a"')
+    assert of('invoke-virtual {v0, v1}, LA;->b()V') == of('invoke-virtual {v4, v5}, LA;->b()V # note')
+    assert of('const-string v0, "say \\"v1\\" # x"') != of('const-string v0, "say \\"v2\\" # x"')
+    assert of(':a\ngoto :a\nconst/4 v0, 0x1') != of(':a\ngoto :a\nconst/4 v0, 0x2')
+
+
+def test_diff_sources_and_snapshots_are_whole_or_absent(spark, tmp_path):
+    good, bad = spark.range(3), spark.range(3).withColumn("x", F.raise_error(F.lit("broken")).cast("string"))
+    base = str(tmp_path / "d")
+    with pytest.raises(Exception, match="broken"):
+        G.add_diff_source(base, {"apks": good, "services": bad}, "one")
+    assert not any(p.name.startswith("diff_source") for p in (tmp_path / "d").rglob("*"))
+    G.add_diff_source(base, {"apks": good, "services": good}, "one")  # the failure left nothing behind
+    with pytest.raises(FileExistsError):
+        G.add_diff_source(base, {"apks": good}, "one")
+    assert spark.read.parquet(f"{base}/apks").count() == 3
+    S.save_snapshot({"a": good}, str(tmp_path / "s"))
+    with pytest.raises(Exception, match="broken"):
+        S.save_snapshot({"a": spark.range(9), "b": bad}, str(tmp_path / "s"), force=True)
+    assert S.open_snapshot(spark, str(tmp_path / "s"), ["a"])["a"].count() == 3 and len(list(tmp_path.iterdir())) == 2
+    S.save_snapshot({"a": spark.range(9)}, str(tmp_path / "s"), force=True)
+    assert S.open_snapshot(spark, str(tmp_path / "s"), ["a"])["a"].count() == 9
+
+
 def test_framework_files(spark):
     files = spark.createDataFrame([(p, b, x) for p, b, x in (
         ("/s/framework/arm/boot-foo.jar", "/s/framework", True), ("/s/framework/foo.dex", "/s/framework", False), ("/s/framework/foo.vdex", "/s/framework", False), ("/p/framework/foo.jar", "/p/framework", False),
