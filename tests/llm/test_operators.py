@@ -91,16 +91,36 @@ def test_links_join_what_belongs_together():
     two = one[:100] ^ (np.uint64(1) << r.integers(0, 64, 100).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 100).astype(np.uint64))
     cluster = x[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))
     fp = np.unique(np.concatenate([x, one, two, cluster]))
-    own = simhash.row_number_of(simhash.pivot_table(fp))
-    bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    cells = np.concatenate([own[:, None], np.where((fp[:, None] & bit) == 0, own[:, None] + simhash.STEP, own[:, None] - simhash.STEP)], axis=1)
-    b = 17
-    assert (simhash.row_number_of(simhash.pivot_table(fp ^ (np.uint64(1) << np.uint64(b)))) == cells[:, b + 1]).all()
-    got = _components(*simhash.near_in_cells(cells.ravel(), np.repeat(fp, 65)), fp)
     pairs = [(a, c) for i, a in enumerate(fp) for c in fp[i + 1 :][np.bitwise_count(fp[i + 1 :] ^ a) <= 2]]
-    assert got == _components([p[0] for p in pairs], [p[1] for p in pairs], fp)
-    # members that share a cell by chance are told apart
-    assert {tuple(map(int, p)) for p in zip(*simhash.near_in_cells(np.zeros(3, np.uint64), np.array([0, 1, 2**40 - 1], np.uint64)), strict=True)} == {(0, 1)}
+    want = _components([p[0] for p in pairs], [p[1] for p in pairs], fp)
+    cells = simhash.cells_of(simhash.pivot_table(fp))
+    place = {int(v): i for i, v in enumerate(fp)}
+    assert all((cells[place[int(a)]] == cells[place[int(c)]]).any() for a, c in pairs)
+    assert all((cells[i] == cells[i]).all() and len(set(cells[i])) == 6 for i in range(5))
+    seen = Counter()
+    assert _components(*simhash.near_in_cells(cells.ravel(), np.repeat(fp, 6), seen=seen), fp) == want
+    assert seen["met"] > seen["discarded"] > 0 and seen["verified"] > 0 and seen["met"] < fp.size * (fp.size - 1) / 20  # distances to pivots do the discarding
+    # distances to pivots differ by no more than the fingerprints do
+    t = simhash.pivot_table(fp).astype(int)
+    assert all(np.abs(t[place[int(a)]] - t[place[int(c)]]).max() <= 2 for a, c in pairs)
+
+
+def test_hot_cells_lose_no_link(spark):
+    r = np.random.default_rng(2)
+    fp = [int(x) for x in r.integers(0, 2**64, 60, dtype=np.uint64)]
+    for _ in range(900):  # near copies of one text: chains of few bits around it
+        v = fp[0]
+        for b in r.choice(64, int(r.integers(0, 4)), replace=False):
+            v ^= 1 << int(b)
+        fp.append(v)
+    fp = np.unique(np.array(fp, np.uint64))
+    pairs = [(a, c) for i, a in enumerate(fp) for c in fp[i + 1 :][np.bitwise_count(fp[i + 1 :] ^ a) <= 2]]
+    want = _components([p[0] for p in pairs], [p[1] for p in pairs], fp)
+    rows = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    for cell_rows in (4, 100_000):
+        links = simhash.link_fingerprints(rows, cell_rows).collect()
+        ends = np.array([(x.a, x.b) for x in links], np.int64).view(np.uint64)
+        assert _components(ends[:, 0], ends[:, 1], fp) == want and len(links) <= 70 * fp.size
 
 
 def _components(a, b, nodes):
@@ -307,7 +327,7 @@ def test_encoding_is_the_librarys(name, texts):
 def test_encoding_forgets_within_bounds(monkeypatch):
     monkeypatch.setattr(encoding, "REMEMBERED", 20)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    e = encoding.Encoder(path, len)
+    e = encoding.Encoder(path, "count")
     many = [" ".join(WORDS[i : i + 9]) + ", end." for i in range(0, 300, 3)]
     want = [len(x.ids) for x in Tokenizer.from_file(path).encode_batch(many, add_special_tokens=False)]
     assert [sum(x) for i in range(0, 100, 5) for x in e.pieces(many[i : i + 5])] == want
@@ -390,15 +410,19 @@ def test_decontamination(spark):
 
 def test_index_holds_all_within_radius():
     r = random.Random(5)
-    items = decontamination.Items([(0, " ".join(WORDS[:30]).encode())], 5, 15)
+    items = decontamination.Items([(i, " ".join(WORDS[i : i + 30]).encode()) for i in range(9)])
+    prints = []
     for _ in range(300):
-        fp = items.prints[0]
-        for b in r.sample(range(64), r.randint(0, 15)):
+        fp = int(items.prints[4])
+        for b in r.sample(range(64), r.randint(0, decontamination.RADIUS + 6)):
             fp ^= 1 << b
-        assert any(0 in items.index[b].get(fp >> 16 * b & 0xFFFF, ()) for b in range(4))
+        prints.append(fp)
+    row, item = items.within(np.array(prints, np.uint64), np.ones(9, bool))
+    want = {(i, k) for i, fp in enumerate(prints) for k in range(9) if (fp ^ int(items.prints[k])).bit_count() <= decontamination.RADIUS}
+    assert set(zip(row.tolist(), item.tolist(), strict=True)) == want and len(want) > 200
 
 
-def test_similar_windows_are_found_at_any_distance():
+def test_the_radius_loses_no_similar_window():
     r = random.Random(12)
     grams = lambda v: Counter(tuple(v[j : j + 5]) for j in range(len(v) - 4))
     far = tried = 0
@@ -415,12 +439,12 @@ def test_similar_windows_are_found_at_any_distance():
         if not 0.8 <= similarity <= 0.84:
             continue
         tried += 1
-        items = decontamination.Items([(4, " ".join(item).encode())], 5, 15)
+        items = decontamination.Items([(4, " ".join(item).encode())])
         text = " ".join(["w"] * 7 + near + ["w"] * 7).encode()
         found = items.matches(text, 0.8)
         assert [x[0] for x in found] == [4] and found[0][4] >= similarity
         far += found[0][3] > 15
-    assert far > 0  # the index alone would lose these
+    assert far > 0  # a radius of 15 would lose these
 
 
 def test_documents_shorter_than_an_item(spark):
