@@ -16,10 +16,18 @@ import struct
 from collections.abc import Callable
 from importlib.metadata import version
 
+import numpy as np
+
+from codelode.llm.common import when_stage_changes
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words in each of two generations that a task remembers; when one is full, the words met since are the other.
-REMEMBERED = 750_000
+#: Bytes (by estimate) of words in each of two generations that a task process remembers; when one is full, the words met since are the other.
+REMEMBERED = 100 << 20
+#: What a remembered word takes besides its characters and ids, and the longest word that is remembered.
+_ENTRY, _LONGEST = 190, 256
+#: Words that are given to the library together.
+_TOGETHER = 4096
 #: Plain text in Latin-1: printable ASCII, tab, the line ends, and the letters from À on.
 _PLAIN = bytes([9, 10, 13, *range(32, 127), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
 #: White space that the byte-level pattern joins or splits by its neighbours.
@@ -53,12 +61,23 @@ def _cut_with_blanks(text: str) -> list[str] | None:
     return (_FIRST + text.replace("\n", " \n")).split(" ")
 
 
+#: The characters that stand for bytes in byte-level models: printable ones for themselves, the others from U+0100 on, in order.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_AS_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
+
+def _shown(text: str) -> str:
+    """A text's UTF-8 bytes as a byte-level model spells them."""
+    return text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(_AS_SHOWN)
+
+
 def _with_blank(key: str) -> str:
     return key[1:] if key[0] == _FIRST else key if key[0] == "\n" else " " + key
 
 
-def _cutter(path: str) -> tuple[Callable[[str], list[str] | None], Callable[[str], str]] | None:
-    """How texts are cut to keys, and what text a key stands for; None: not at all."""
+def _cutter(path: str) -> tuple[Callable[[str], list[str] | None], Callable[[str], str], str] | None:
+    """How texts are cut to keys, what text a key stands for, and what may stand between such texts: a piece of its own, which no key
+    holds, whatever is beside it. None: not at all."""
     if _library(path) == "sentencepiece":
         return None
     with open(path, encoding="utf-8") as f:
@@ -69,55 +88,89 @@ def _cutter(path: str) -> tuple[Callable[[str], list[str] | None], Callable[[str
         return None
     before, normal = known["pre_tokenizer"] or {}, known["normalizer"]
     if before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and normal is None:
-        return _cut_with_blanks, _with_blank
+        return _cut_with_blanks, _with_blank, "\t"
     steps = [x["type"] for x in (normal or {}).get("normalizers", [])]
     parts = before.get("pretokenizers", [])
     if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": _WORD_PATTERN} and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]:
-        return (lambda text: text.lower().split()), (lambda key: key)
+        return (lambda text: text.lower().split()), (lambda key: key), " \x01 "
     return None
 
 
 class Encoder:
-    """pieces(texts): for each text what `of_ids` makes of the library's result for its parts, in order; `of_ids` of joined parts is the sum."""
+    """pieces(texts): for each text what the library's result for its parts comes to, in order: their numbers of ids, or the ids as bytes."""
 
-    def __init__(self, path: str, of_ids: Callable) -> None:
-        self.of_ids, self.known, self.before = of_ids, {}, {}
-        self.cut, self.text_of = _cutter(path) or (None, None)
+    def __init__(self, path: str, kind: str) -> None:
+        self.kind, self.of_ids = kind, _ids_as_bytes if kind == "ids" else _count
+        self.known, self.before, self.size = {}, {}, 0
+        self.cut, self.text_of, self.between = _cutter(path) or (None, None, None)
         if _library(path) == "sentencepiece":
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.ids = lambda texts: model.encode(texts, num_threads=1)
         else:
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, pre_tokenizers
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
             self.ids = lambda texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-
-    def _learn(self, keys: set[str]) -> None:
-        """A letter and a comma or full stop after it are never one piece, so such words are put together from their parts."""
-        if len(self.known) + len(keys) > REMEMBERED:
-            self.before, self.known = self.known, {}
-        again = keys & self.before.keys()
-        self.known.update((k, self.before[k]) for k in again)
-        keys = keys - again
-        known, marked, plain = self.known, [], set()
-        for k in keys:
-            if len(k) > 1 and k[-1] in ",." and k[-2].isalpha():
-                marked.append(k)
-                if k[:-1] not in known:
-                    plain.add(k[:-1])
+            if self.between:  # the same model for keys that are one piece of letters: the library's normaliser and cutter would leave them as they are
+                bare = Tokenizer(tokenizer.model)
+                bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+                self.bare_ids = lambda texts: bare.encode_batch_fast(texts, add_special_tokens=False)
+        mark = self.ids([self.between])[0].ids if self.between else []
+        self.mark = mark[0] if len(mark) == 1 else None
+        known = [self.text_of(k) for k in ("plain", "größe", "ándale", "zq", "x")] if self.between else []
+        self.bare = self.mark is not None and self._encoded(known, bare=True) == list(map(self.of_ids, self.ids(known)))
+
+    def forget(self) -> None:
+        self.known, self.before, self.size = {}, {}, 0
+
+    def _encoded(self, texts: list[str], bare: bool = False) -> list:
+        """What each text comes to; many are one text for the library, which is cut again where the mark between them is. bare: each is one
+        piece of letters, perhaps after a blank."""
+        if self.mark is not None and len(texts) > 1:
+            if bare:
+                found = self.bare_ids([f" {_shown(self.between.strip(' '))} ".join(map(_shown, texts))])
             else:
-                plain.add(k)
-        plain = list(plain)
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            known.update(zip(part, map(self.of_ids, self.ids([self.text_of(k) for k in part])), strict=True))
+                found = self.ids([self.between.join(texts)])
+            ids = np.array(found[0].ids, "<u4")
+            cut = np.flatnonzero(ids == self.mark)
+            if cut.size == len(texts) - 1:
+                start, end = np.r_[0, cut + 1], np.r_[cut, ids.size]
+                if self.kind == "count":
+                    return (end - start).tolist()
+                raw = ids.tobytes()
+                return [raw[a:b] for a, b in zip((4 * start).tolist(), (4 * end).tolist(), strict=True)]
+        return list(map(self.of_ids, self.ids(texts)))
+
+    def _learn(self, keys: set[str]) -> dict:
+        """Values of keys that aren't known. A letter and a comma or full stop after it are never one piece, so such words are put together from their parts."""
+        if self.size > REMEMBERED:
+            self.before, self.known, self.size = self.known, {}, 0
+        known = self.known
+        found = {}
+        if self.before:
+            again = keys & self.before.keys()
+            found = dict(zip(again, map(self.before.__getitem__, again), strict=True))
+            keys = keys - again
+        marked = [k for k in keys if k[-1] in ",." and len(k) > 1 and k[-2].isalpha()]
+        plain = keys.difference(marked)
+        plain.update(k for k in [k[:-1] for k in marked] if k not in known and k not in found)
+        letters = [k for k in plain if k.isalpha()] if self.bare else []
+        for keys, bare in ((letters, True), (list(plain.difference(letters)), False)):
+            for at in range(0, len(keys), _TOGETHER):
+                part = keys[at : at + _TOGETHER]
+                found.update(zip(part, self._encoded([self.text_of(k) for k in part], bare), strict=True))
         if marked:
             mark = dict(zip(",.", map(self.of_ids, self.ids([",", "."])), strict=True))
-            known.update((k, known[k[:-1]] + mark[k[-1]]) for k in marked)
+            for k in marked:
+                found[k] = (known[k[:-1]] if k[:-1] in known else found[k[:-1]]) + mark[k[-1]]
+        kept = found if max(map(len, found)) <= _LONGEST else {k: v for k, v in found.items() if len(k) <= _LONGEST}
+        known.update(kept)
+        self.size += sum(map(len, kept)) + len(kept) * _ENTRY + (sum(map(len, kept.values())) if self.kind == "ids" else 0)
+        return found
 
     def pieces(self, texts: list[str]) -> list[list]:
         out: list = []
@@ -135,26 +188,33 @@ class Encoder:
                 late.append((values, holes, missing))
                 new.update(missing)
         if new:
-            self._learn(new)
+            found = self._learn(new)
             for values, holes, missing in late:
-                for i, v in zip(holes, map(self.known.__getitem__, missing), strict=True):
+                for i, v in zip(holes, map(found.__getitem__, missing), strict=True):
                     values[i] = v
         return out
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def _ids_as_bytes(found) -> bytes:
     ids = getattr(found, "ids", found)
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _count(found) -> int:
+    return len(found)
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
 def encoder(path: str, kind: str) -> Encoder:
-    """The task process's own encoder, kept for its next tasks; kind: count, or ids (little-endian unsigned 32-bit integers)."""
+    """The task process's own encoder, kept for its next tasks; kind: count, or ids (little-endian unsigned 32-bit integers).
+
+    Words are remembered from one task of a stage to its next; a task of any other stage that goes through texts has them forgotten."""
     key = (path, kind)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, len if kind == "count" else _ids_as_bytes)
+        _ENCODERS[key] = Encoder(path, kind)
+        when_stage_changes(_ENCODERS[key].forget)
     return _ENCODERS[key]
 
 
