@@ -25,13 +25,20 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CACHE_SCHEMA)
 
 
+def _by_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of a batch's rows, in a list for each content."""
+    for batch in batches:
+        lists = pa.Table.from_batches([batch]).group_by(["digest", "n_bytes"]).aggregate([("doc_id", "list")])
+        yield from lists.select(["digest", "n_bytes", "doc_id_list"]).rename_columns(["digest", "n_bytes", "ids"]).combine_chunks().to_batches()
+
+
 def count_tokens(docs: DataFrame, cache: str, tokenizer: str, limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs(doc_id, text, ...): tokens of the whole text as the tokenizer's library gives them.
 
     Contents are normalised (null becomes empty; nothing else, as any other change could change the count) and named by SHA-256 digest
     and length. Digests without a count for this tokenizer version in the cache, a Parquet table at `cache`, are encoded once each and
-    appended; then every row gets its count by a join with the cache. Copies of a text are combined before the shuffle, so a group of
-    copies of any size is one row of a task, and Spark can split the join's hot digests.
+    appended; then every row gets its count by a join with the cache. Copies of a text are combined before any shuffle: their text is one
+    row of a task, and their ids travel to the join as one list a batch, so a group of copies of any size is a few rows there.
 
     Defined cases: a null or empty text has 0 bytes; rows with equal ids are counted each; null ids are returned as they are; an empty
     table gives no rows and appends nothing; repeated cache rows (of two runs at once) count once; other columns are ignored.
@@ -47,11 +54,12 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, limit: int = 512)
             n = counts(tokenizer, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(n)), batch.column("digest"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["tokenizer", "digest", "n_bytes", "n_tokens"])
 
-    misses = named.join(mine, ["digest", "n_bytes"], "left_anti").groupBy("digest", "n_bytes").agg(F.first("text").alias("text"))
-    misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    mine = read_cache(spark, cache).where(F.col("tokenizer") == version).dropDuplicates(["digest", "n_bytes"]).select("digest", F.col("n_bytes").alias("__n_bytes"), "n_tokens")
-    rows = named.drop("text").join(mine, ["digest"])
-    return rows.where("n_bytes = __n_bytes").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    contents = named.groupBy("digest", "n_bytes").agg(F.first("text").alias("text"))
+    contents.join(mine, ["digest", "n_bytes"], "left_anti").mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    mine = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest", "n_bytes").agg(F.max("n_tokens").alias("n_tokens"))
+    ids = named.select("doc_id", "digest", "n_bytes").mapInArrow(_by_content, "digest binary, n_bytes long, ids array<long>")
+    rows = ids.join(mine, ["digest", "n_bytes"]).select(F.explode("ids").alias("doc_id"), "n_bytes", "n_tokens")
+    return rows.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def new_cache(spark: SparkSession) -> str:
