@@ -13,9 +13,9 @@ from codelode.llm.common import materialize
 
 #: Vectors in a shard, and queries in a block: a tile's scores take 8 * SHARD * BLOCK bytes.
 SHARD, BLOCK = 4096, 512
-#: Shards that meet in one group, and partial lists that one merge takes.
-SHARDS_IN_GROUP, FAN_IN = 64, 16
-_PACKED = "seq long, n int, width int, ids binary, cells binary"
+#: Shards of a group and blocks of a range, which meet in one task; partial lists that one merge takes.
+SHARDS_IN_GROUP, BLOCKS_IN_RANGE, FAN_IN = 64, 64, 16
+_PACKED = "seq long, width int, item int, ids binary, cells binary"
 
 
 def usable(vector: Column) -> Column:
@@ -41,19 +41,22 @@ def _pack(size: int):
                 for at in range(0, rows.size, size):
                     part = rows[at : at + size]
                     cells = flat[start[part][:, None] + np.arange(w)]
+                    item = next(i for i in (2, 4, 8) if i == 8 or (cells >= -(2 ** (8 * i - 1))).all() and (cells < 2 ** (8 * i - 1)).all())
                     seq = int(np.bitwise_xor.reduce(ids[part] * 31 + part) & 0x7FFFFFFFFFFF)
-                    yield pa.RecordBatch.from_pylist([{"seq": seq, "n": part.size, "width": int(w), "ids": ids[part].tobytes(), "cells": cells.tobytes()}], schema=pa.schema([("seq", pa.int64()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("cells", pa.binary())]))
+                    yield pa.RecordBatch.from_pylist([{"seq": seq, "width": int(w), "item": item, "ids": ids[part].tobytes(), "cells": cells.astype(f"<i{item}").tobytes()}], schema=pa.schema([("seq", pa.int64()), ("width", pa.int32()), ("item", pa.int32()), ("ids", pa.binary()), ("cells", pa.binary())]))
 
     return run
 
 
 def product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows: in doubles where no sum can pass 2 ** 53, else in 64-bit integers, else in Python's."""
+    """Exact integer inner products of integer rows: in floats or doubles where no sum can pass 2 ** 24 or 2 ** 53, else in 64-bit integers, else in Python's."""
     most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * max(1, q.shape[1])
+    if most < 2.0**24:
+        return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if most < 2.0**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
     if most < 2.0**62:
-        return q @ c.T
+        return q.astype(np.int64) @ c.astype(np.int64).T
     exact = q.astype(object) @ c.astype(object).T
     return exact.astype(np.int64)  # a score beyond a long raises OverflowError
 
@@ -67,8 +70,8 @@ def _tile(k: int):
                 q_ids, c_ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 order = np.argsort(c_ids, kind="stable")
                 c_ids, w = c_ids[order], r["width"]
-                c = np.frombuffer(r["cells"], np.int64).reshape(-1, w)[order]
-                scores = product(np.frombuffer(r["q_cells"], np.int64).reshape(-1, w), c)
+                c = np.frombuffer(r["cells"], f"<i{r['item']}").reshape(-1, w)[order]
+                scores = product(np.frombuffer(r["q_cells"], f"<i{r['q_item']}").reshape(-1, w), c)
                 own = q_ids[:, None] == c_ids[None, :]
                 few = min(k + int(own.sum(axis=1).max(initial=0)), c_ids.size)
                 kth = np.partition(scores, c_ids.size - few, axis=1)[:, c_ids.size - few]
@@ -85,9 +88,10 @@ def _tile(k: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query vector with every other row, ties to the smaller vec_id.
 
-    Components become floor(scale * x). Rows are packed to shards of `shard` vectors, queries to blocks of `block`; each pair of a group
-    of shards and a block of queries, dealt out by a join on the group's number, is one matrix product that keeps k candidates a query.
-    The partial lists are merged as a tree: at most FAN_IN lists of k meet at a step, whatever the number of shards.
+    Components become floor(scale * x), in as few bytes as hold them. Rows are packed to shards of `shard` vectors, queries to blocks of
+    `block`. Groups of shards meet ranges of blocks by a join on the numbers of both, so a task's work is bounded whatever the number of
+    rows or queries; each pair of a shard and a block is one matrix product that keeps k candidates a query. The partial lists are
+    merged as a tree: at most FAN_IN lists of k meet at a step, whatever the number of shards.
 
     Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without vec_id; vectors
     of another length than the query's are no candidates; rows with the query's own vec_id are not its candidates, other repeated rows
@@ -96,13 +100,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col("embedding")) & (F.size("embedding") > 0) & F.col("vec_id").isNotNull())
     v = quantized(F.col("embedding"), scale).alias("v")
-    n = rows.select("vec_id").count()
+    n, asked = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     groups = max(1, -(-n // (shard * SHARDS_IN_GROUP)), min(-(-n // shard), spark.sparkContext.defaultParallelism))
+    ranges = max(1, -(-asked // (block * BLOCKS_IN_RANGE)))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
     packed = rows.select("vec_id", v).mapInArrow(_pack(shard), _PACKED).withColumn("part", F.pmod(F.xxhash64("seq", "ids"), F.lit(groups)))
-    blocks = rows.where(is_query).select("vec_id", v).mapInArrow(_pack(block), _PACKED)
-    blocks = blocks.select(F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("width").alias("q_width"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"))
-    # the queries go to every group, so groups are large; there are at least as many as cores where there are so many shards
-    tiles = blocks.join(packed, "part").where("width = q_width").select("part", "q_ids", "q_cells", "ids", "cells", "width")
+    packed = packed.select("part", "ids", "cells", "width", "item", every(ranges).alias("range"))
+    blocks = rows.where(is_query).select("vec_id", v).mapInArrow(_pack(block), _PACKED).withColumn("range", F.pmod(F.xxhash64("seq", "ids"), F.lit(ranges)))
+    blocks = blocks.select("range", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("width").alias("q_width"), F.col("item").alias("q_item"), every(groups).alias("part"))
+    tiles = blocks.join(packed, ["part", "range"]).where("width = q_width").select("part", "q_ids", "q_cells", "q_item", "ids", "cells", "item", "width")
     found = tiles.mapInArrow(_tile(k), "query_id long, part long, less long, vec_id long")
     lists = found.groupBy("query_id", "part").agg(F.slice(F.array_sort(F.collect_list(F.struct("less", "vec_id"))), 1, k).alias("best"))
     left = groups
