@@ -15,11 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Production parameters of the mix: shares of tokens by language and topic, and an equal share for each of the twenty sources.
+#: Production parameters of the mix: shares of tokens by language, an equal share for each of the twenty sources, and fitted topics, of
+#: which rare ones gain.
+TOPICS = 8
 TARGETS = {
     "source": {f"src{i}": 1 / 20 for i in range(20)},
     "lang": {"en": 0.55, "de": 0.15, "fr": 0.18, "es": 0.12},
-    "topic": {f"t{i}": 1 / mixing.TOPICS for i in range(mixing.TOPICS)},
+    "topic": {f"t{i}": None for i in range(TOPICS)},
 }
 KEPT_SHARE = 0.6
 
