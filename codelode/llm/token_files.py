@@ -14,20 +14,21 @@ from pyspark.sql import functions as F
 from codelode.llm.common import binary_column, new_path, small_batches
 from codelode.llm.encoding import id_bytes
 
-#: Bytes of text that go into one file.
-FILE_BYTES = 32 << 20
+#: Bytes of text that go into one file: the least and the most. Between them a table has about FILES files, above them as many as it takes.
+LEAST_FILE, MOST_FILE, FILES = 32 << 20, 1 << 30, 1024
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 256
 SCHEMA = "doc_id long, shard int, row long, start_in_shard long, n_tokens long, token_ids array<int>"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_bytes: int = FILE_BYTES, row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_bytes: int | None = None, row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Encode every whole text of docs(doc_id, text) and write the ids to Parquet files at `path`, in ascending doc_id order over the files.
 
     A row holds doc_id, shard (the file's number; shards ascend with doc_id), row (place in the shard), start_in_shard (ids before it
     in the shard), n_tokens and token_ids. Row groups have about row_group_bytes; pages page_rows rows at most, with their minima and
     maxima in the page index, so a doc_id range reads few pages; ids are dictionary-encoded and bit-packed, the numbers delta-encoded.
+    A file takes file_bytes of text; where that isn't given, more the larger the table is (32 MB up to 32 GB, 1 GB from 1 TB on).
 
     Defined cases: a null text is empty; an empty text is the end id alone; rows with equal doc_id are ordered by text, equal rows
     follow each other; null doc_ids come first; an empty table gives no rows; other columns are ignored. The rows go to tasks by ranges
@@ -36,7 +37,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, fi
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // file_bytes))
+    n = max(1, -(-size // (file_bytes or min(max(LEAST_FILE, size // FILES), MOST_FILE))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, row, start = TaskContext.get().partitionId(), 0, 0
@@ -63,7 +64,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def starts(tokens: DataFrame) -> DataFrame:
-    """tokens with start: ids of all documents before it. Only one total a shard meets in a task; shards are as many as files."""
+    """tokens with start: ids of all documents before it, in (shard, row) order.
+
+    Only one total a shard meets in a task and is broadcast: 100,000 rows for 100 TB in files of 1 GB. Empty token files give no rows;
+    rows with equal doc_id have starts of their own; other columns stay."""
     totals = tokens.groupBy("shard").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("rows"))
     before = F.expr("sum(total) over (order by shard rows between unbounded preceding and current row) - total")
     offsets = totals.select(F.col("shard").alias("__shard"), before.alias("__before"))
@@ -71,7 +75,10 @@ def starts(tokens: DataFrame) -> DataFrame:
 
 
 def digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every row of token files, the checksum taken from the ids read back."""
+    """doc_id, start, n_tokens and ids_crc32 of every row of token files, the checksum taken from the ids read back.
+
+    Null doc_ids are returned as they are; rows with equal doc_id are each; no rows give none; other columns are ignored."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("token_ids")
@@ -84,5 +91,5 @@ def digests(tokens: DataFrame) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write docs as token files in the shared folder and return what reading them back gives."""
+    """Write docs as token files in the shared folder and return what reading them back gives; cases as in write_tokens() and digests()."""
     return digests(write_tokens(docs, new_path(docs.sparkSession, "tokens"), tokenizer))
