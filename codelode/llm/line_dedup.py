@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm.common import small_batches
+
 WINDOW = 3
 
 
@@ -42,7 +44,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__digest") == F.col("digest")), "left").select("doc_id", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             out = []
             for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
                 lines = text.split("\n")
@@ -58,5 +60,3 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def digest(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import drop_materialized, materialize
+from codelode.llm.common import drop_materialized, materialize, small_batches
 
 ORDER = 4
 #: Stands ORDER - 1 times before every text; no context reaches over it to another text.
@@ -52,7 +52,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def packed() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["gram", "n"])
 
-    for batch in batches:
+    for batch in small_batches(batches, "text"):
         trusted = batch.column("trusted").to_pylist()
         for a, b, texts in _texts(batch):
             parts = [_grams(_codes(t)) for t in texts]
@@ -154,7 +154,9 @@ class _Table:
 
 
 def _score(docs: DataFrame, known: DataFrame, shard_rows: int) -> DataFrame:
-    """(doc_id, lang, bits, n): the sum of -log2 p over each text's units, shard by shard of the model, and their number."""
+    """(doc_id, lang, bits, n): the sum of -log2 p over each text's units, shard by shard of the model, and their number.
+
+    A shard is broadcast, its sums are written, and it is taken back before the next one is sent."""
     spark = docs.sparkSession
     shards = max(1, -(-known.count() // shard_rows))
     out = None
@@ -164,7 +166,7 @@ def _score(docs: DataFrame, known: DataFrame, shard_rows: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             of = None
-            for batch in batches:
+            for batch in small_batches(batches, "text"):
                 of = of or _Table(*sent.value)
                 bits, n = [], []
                 for _, _, texts in _texts(batch):
@@ -178,6 +180,9 @@ def _score(docs: DataFrame, known: DataFrame, shard_rows: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("digest"), pa.array(np.concatenate(bits)), pa.array(np.concatenate(n).astype(np.int64))], ["doc_id", "lang", "digest", "bits", "n"])
 
         found = docs.mapInArrow(run, "doc_id long, lang string, digest long, bits double, n long")
+        if shards > 1:  # one shard is out at a time
+            found = materialize(found, "scores")
+            sent.unpersist()
         out = found if out is None else out.unionByName(found)
     if shards > 1:  # rows that repeat another are summed with it, and then come apart again
         out = out.groupBy("doc_id", "lang", "digest", "n").agg(F.sum("bits").alias("bits"), (F.count("*") / shards).cast("int").alias("copies"))
