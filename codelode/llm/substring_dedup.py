@@ -238,9 +238,10 @@ def _repeats(table: pa.Table, shards: int) -> pa.Table:
 
 
 def _exchange(rows: DataFrame, judge: Callable[[pa.Table, int], pa.Table], shards: int) -> DataFrame:
-    """Hashes meet in their buckets; what is found there goes, packed, to shards of documents: (doc_id, digest, at)."""
-    found = rows.groupBy("bucket").applyInArrow(lambda t: judge(t, shards), _HITS)
-    return found.groupBy("shard").applyInArrow(_gathered, "doc_id long, digest long, at binary")
+    """Hashes meet in their buckets; what is found there goes, packed, to shards of documents: (doc_id, digest, at). There are twice as many
+    partitions as buckets, so what a task reads stays at a few buckets whatever the size of the table."""
+    found = rows.repartition(2 * shards, "bucket").groupBy("bucket").applyInArrow(lambda t: judge(t, shards), _HITS)
+    return found.repartition(2 * shards, "shard").groupBy("shard").applyInArrow(_gathered, "doc_id long, digest long, at binary")
 
 
 def _cut(window: int):
