@@ -89,13 +89,14 @@ class Tables(Mapping):
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
-            if name in BASE:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            else:
-                used = {n for _, n in _USED.findall(VIEWS[name])}
-                self._made[name] = self.spark.sql(_USED.sub(r"\1 {\2}", VIEWS[name]), **{n: self[n] for n in used})
+            self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") if name in BASE else self.sql(VIEWS[name])
         return self._made[name]
 
+    def sql(self, text: str) -> DataFrame:
+        """A query over these tables, each named after FROM or JOIN."""
+        used = {n for _, n in _USED.findall(text)}
+        return self.spark.sql(_USED.sub(r"\1 {\2}", text), **{n: self[n] for n in used})
+
     def __iter__(self) -> Iterator[str]:
         return iter((*BASE, *VIEWS))
 

@@ -483,8 +483,7 @@ _FILES = f"SELECT DISTINCT concat('/system/framework/', CASE WHEN l_linenumber %
 
 @query("framework_file_dedup", f"f AS ({_FILES}) SELECT path, base, key, kind FROM (SELECT *, row_number() OVER (PARTITION BY base, key ORDER BY CASE kind WHEN 'jar' THEN 1 WHEN 'dex' THEN 3 ELSE 4 END, path) AS n FROM f WHERE kind <> 'vdex' AND NOT failed) WHERE n = 1")
 def _(t):
-    spark = t["lineitem"].sparkSession
-    return E.dedupe_framework_files(spark.sql(_FILES).drop("key", "kind"))
+    return E.dedupe_framework_files(t.sql(_FILES).drop("key", "kind"))
 
 
 _POLICY = "SELECT concat('/system/etc/', CASE p_partkey % 4 WHEN 0 THEN concat(CAST(p_size AS STRING), '.0.cil') WHEN 1 THEN concat(CAST(p_size AS STRING), '.0.compat.cil') WHEN 2 THEN concat('plat', CAST(p_partkey AS STRING), '.cil') ELSE 'plat.txt' END) AS path FROM part"
@@ -492,7 +491,7 @@ _POLICY = "SELECT concat('/system/etc/', CASE p_partkey % 4 WHEN 0 THEN concat(C
 
 @query("policy_files", f"SELECT path FROM ({_POLICY}) WHERE path LIKE '%.cil' AND path NOT LIKE '%.compat.cil' AND NOT regexp_matches(path, '[0-9]+\\.[0-9]\\.cil')")
 def _(t):
-    return E.select_policy_files(t["part"].sparkSession.sql(_POLICY))
+    return E.select_policy_files(t.sql(_POLICY))
 
 
 @query("binder_availability", "SELECT id, name, iface, CAST(CASE WHEN id % 2 = 0 AND iface IS NOT NULL THEN 1 ELSE can_get_binder END AS INT) AS can_get_binder FROM system_services")
@@ -903,7 +902,7 @@ _REFERENCES = "SELECT concat('pkg', CAST(p_partkey % 10 AS STRING)) AS package,
 
 @query("expr_resolve_reference", f"r AS ({_REFERENCES}), walk(package, start, value, n) AS (SELECT package, concat('@string/', name), concat('@string/', name), 0 FROM r UNION ALL SELECT w.package, w.start, r.value, n + 1 FROM walk w JOIN r ON r.package = w.package AND concat('@string/', r.name) = w.value WHERE n < 10) SELECT w.package, w.start AS value, CASE WHEN arg_max(w.value, n) LIKE '@%' THEN w.start ELSE arg_max(w.value, n) END AS resolved FROM walk w GROUP BY w.package, w.start")
 def _(t):
-    resources = t["part"].sparkSession.sql(_REFERENCES)
+    resources = t.sql(_REFERENCES)
     values = resources.select("package", F.concat(F.lit("@string/"), "name").alias("value"))
     return E.resolve_references(values, resources)
 
