@@ -276,9 +276,9 @@ def resolve_references(values: DataFrame, resources: DataFrame) -> DataFrame:
         coded = F.col("resolved").rlike("^@0x")
         found = rows.where(~coded).join(r, by_name, "left").unionByName(rows.where(coded).join(r, by_id, "left"))
         lost = F.col("__v").isNull() | F.array_contains("__seen", F.col("__v"))
-        found, _, _ = written(found.select("package", "value", F.when(lost, F.col("value")).otherwise(F.col("__v")).alias("resolved"), F.array_append("__seen", F.col("resolved")).alias("__seen"), lost.alias("__lost")), "references")
+        found = found.select("package", "value", F.when(lost, F.col("value")).otherwise(F.col("__v")).alias("resolved"), F.array_append("__seen", F.col("resolved")).alias("__seen"), lost.alias("__lost"))
         open_ = is_reference & ~F.col("__lost")
+        found, left, _ = written(found, "references", open_)
         done = done.unionByName(found.where(~open_).select(*columns))
         rows = found.where(open_).drop("__lost")
-        left = rows.count()
     return done.select(*columns)

@@ -9,7 +9,7 @@ import uuid
 from collections import ChainMap
 from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,12 +36,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, what: str = "step") -> tuple[DataFrame, int, str]:
-    """df written once as Parquet to the shared folder: the table as read from there, how many rows it has, and its path. Nothing of the
-    plan that made it stays in the plans that read it, and lost executors lose nothing."""
+def written(df: DataFrame, what: str = "step", counted: Column | None = None) -> tuple[DataFrame, int, str]:
+    """df written once as Parquet to the shared folder: the table as read from there, how many rows it has (of which `counted` is true, if
+    given), and its path. Nothing of the plan that made it stays in the plans that read it, and lost executors lose nothing."""
     spark, seen = df.sparkSession, Observation()
     path = new_path(spark, what)
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1) if counted is None else F.when(counted, 1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), int(seen.get["rows"]), path
 
 
