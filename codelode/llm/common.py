@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -107,8 +108,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.diff(np.frombuffer(binary_column(batch.column(column)).buffers()[1], np.int64)[: batch.num_rows + 1])
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))

@@ -23,7 +23,7 @@ from codelode.llm.common import when_stage_changes
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes (by estimate) of words in each of two generations that a task process remembers; when one is full, the words met since are the other.
-REMEMBERED = 100 << 20
+REMEMBERED = 64 << 20
 #: What a remembered word takes besides its characters and ids, and the longest word that is remembered.
 _ENTRY, _LONGEST = 190, 256
 #: Words that are given to the library together.
