@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import decontamination, line_dedup, mixing, quality, simhash, substring_dedup, token_counts, token_files, topk, toxicity
+from codelode.llm import decontamination, line_dedup, merkle, merkle_sql, mixing, quality, simhash, substring_dedup, token_counts, token_files, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,5 +105,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_line_dedup, op3_mixing, op4_token_files, op5_toxicity, op6_decontamination, op7_token_counts, op8_substring_dedup, op9_simhash, op10_quality)}
-ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_substring_dedup": OP8_SQL}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.lowered_thirds(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_line_dedup, op3_mixing, op4_token_files, op5_toxicity, op6_decontamination, op7_token_counts, op8_substring_dedup, op9_simhash, op10_quality, op13_merkle)}
+ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_substring_dedup": OP8_SQL, "op13_merkle": merkle_sql.SQL}
