@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import decontamination, line_dedup, merkle, merkle_sql, mixing, quality, simhash, substring_dedup, token_counts, token_files, topk, toxicity
+from codelode.llm import decontamination, lexical, line_dedup, merkle, merkle_sql, minhash, mixing, quality, simhash, substring_dedup, token_counts, token_files, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,9 +105,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"list_filter(regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_TERMS = _TERMS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_TERMS} AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+n AS (SELECT id, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM n),
+x AS (SELECT id, unnest(t) AS term FROM d),
+f AS (SELECT id, term, count(*) AS tf FROM x GROUP BY id, term),
+i AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f CROSS JOIN s WHERE term IN (SELECT term FROM i) GROUP BY term),
+p AS (SELECT i.item_id, n.doc_id, f.id, CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (50 + ((50 * n.n * s.docs) // s.length))))) AS BIGINT) AS score
+  FROM i JOIN f ON f.term = i.term JOIN w ON w.term = i.term JOIN n ON n.id = f.id CROSS JOIN s GROUP BY i.item_id, n.doc_id, f.id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+"""
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.lowered_thirds(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_line_dedup, op3_mixing, op4_token_files, op5_toxicity, op6_decontamination, op7_token_counts, op8_substring_dedup, op9_simhash, op10_quality, op13_merkle)}
-ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_substring_dedup": OP8_SQL, "op13_merkle": merkle_sql.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_line_dedup, op3_mixing, op4_token_files, op5_toxicity, op6_decontamination, op7_token_counts, op8_substring_dedup, op9_simhash, op10_quality, op11_lexical, op12_minhash, op13_merkle)}
+ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_substring_dedup": OP8_SQL, "op11_lexical": OP11_SQL, "op13_merkle": merkle_sql.SQL}
