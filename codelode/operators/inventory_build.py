@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions.expr import extension, file_name, from_manifest_name, is_not_abstract, to_dotted, to_slashed
 from codelode.operators.build import stable_id
+from codelode.operators.references import bool_of, text_of, with_references
 from codelode.operators.traversal import reached
 from codelode.plans.storage import written
 from codelode.schema import FALSE, INVENTORY, TRUE, UNKNOWN
@@ -18,9 +19,13 @@ FILE_KINDS = ("jar", "vdex", "dex", "apex")
 TRANSACTION = "TRANSACTION_"
 
 
-def _bool(text: Column) -> Column:
-    """true or false, as a manifest spells it; null for anything else."""
-    return F.when(F.lower(F.trim(text)) == "true", True).when(F.lower(F.trim(text)) == "false", False)
+def _refs(rows: DataFrame) -> Column | None:
+    return F.col("refs") if "refs" in rows.columns else None
+
+
+def _resolved(manifests: DataFrame, resources: DataFrame | None) -> DataFrame:
+    """manifests with their references, where resources(package, kind, name, value) are given and manifests haven't got them yet."""
+    return manifests if resources is None or "refs" in manifests.columns else with_references(manifests, resources)
 
 
 def privileged_paths(paths: DataFrame) -> DataFrame:
@@ -28,10 +33,11 @@ def privileged_paths(paths: DataFrame) -> DataFrame:
     return paths.where(F.col("path").rlike(PRIVILEGED))
 
 
-def build_apks(manifests: DataFrame, paths: DataFrame, installed: DataFrame | None = None) -> DataFrame:
-    """One row for each readable manifest. paths(file, device_path) says where a manifest's package is; installed(path) is the list of
+def build_apks(manifests: DataFrame, paths: DataFrame, installed: DataFrame | None = None, resources: DataFrame | None = None) -> DataFrame:
+    """One row for each readable manifest; one whose debuggable can't be resolved isn't. paths(file, device_path) says where a manifest's package is; installed(path) is the list of
     packages, by which privilege is told; without it, or for a package that isn't listed, by a priv-app folder in the path."""
-    rows = manifest_packages(manifests).join(paths, "file")
+    rows = manifest_packages(_resolved(manifests, resources)).join(paths, "file")
+    app_name, debuggable = text_of(F.col("package"), _refs(rows)), bool_of(F.col("debuggable"), _refs(rows), False, False)
     fallback = F.col("device_path").contains("/priv-app/")
     if installed is None:
         rows = rows.withColumn("is_priv", fallback)
@@ -39,46 +45,55 @@ def build_apks(manifests: DataFrame, paths: DataFrame, installed: DataFrame | No
         listed = installed.select(F.col("path").alias("device_path"), F.col("path").rlike(PRIVILEGED).alias("__priv")).distinct()
         rows = rows.join(listed, "device_path", "left").withColumn("is_priv", F.coalesce("__priv", fallback))
     name = file_name(F.col("device_path"))
-    rows = rows.select(F.col("package").alias("app_name"), name.alias("name"), F.coalesce(_bool(F.col("debuggable")), F.lit(False)).alias("is_debuggable"), "is_priv", "device_path", "file")
-    return rows.dropDuplicates(["app_name", "name"]).withColumn("id", stable_id(F.col("app_name"), F.col("name")))
+    rows = rows.select(app_name.alias("app_name"), name.alias("name"), debuggable.alias("is_debuggable"), "is_priv", "device_path", "file")
+    return _least(rows, "app_name", "name").withColumn("id", stable_id(F.col("app_name"), F.col("name")))
 
 
-def component_defaults(filters: Column, exported: Column, enabled: Column) -> tuple[Column, Column]:
-    """exported defaults to whether there is an intent filter, enabled to true; filters: their number."""
-    return F.coalesce(exported, filters > 0), F.coalesce(enabled, F.lit(True))
+def _least(rows: DataFrame, *key: str) -> DataFrame:
+    """Of the rows of a key the smallest, by its other columns in order."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__least")).select(*(F.col(c) if c in key else F.col(f"__least.{c}").alias(c) for c in rows.columns))
 
 
-def _components(manifests: DataFrame, apks: DataFrame, kind: str) -> DataFrame:
-    rows = manifest_components(manifests, kind).join(apks.select("file", F.col("id").alias("apk_id"), "app_name"), "file")
-    x = F.col("x")
-    filters = F.coalesce(F.size(x.getField("intent-filter")), F.lit(0))
-    exported, enabled = component_defaults(filters, _bool(attribute(x, "exported")), _bool(attribute(x, "enabled")))
-    name = from_manifest_name(F.col("package"), attribute(x, "name"))
-    return rows.select("x", "apk_id", name.alias("class_name"), attribute(x, "permission").alias("permission"), exported.alias("exported"), enabled.alias("enabled"), F.col("package").alias("pkg"))
+def component_defaults(filters: Column, exported: Column, enabled: Column, refs: Column | None = None) -> tuple[Column, Column]:
+    """Whether a component is exported and enabled by its attributes' text: where there is none, exported if it has an intent filter (filters:
+    their number), and enabled. A reference counts as what it stands for; text that comes to neither true nor false, exactly, is true."""
+    return bool_of(exported, refs, filters > 0, True), bool_of(enabled, refs, True, True)
 
 
-def build_components(manifests: DataFrame, apks: DataFrame, kind: str) -> DataFrame:
-    """Receivers, services or activities (with their aliases), of one kind."""
-    rows = _components(manifests, apks, kind).dropDuplicates(["class_name", "apk_id"])
+def _components(manifests: DataFrame, apks: DataFrame, kind: str, resources: DataFrame | None) -> DataFrame:
+    rows = manifest_components(_resolved(manifests, resources), kind).join(apks.select("file", F.col("id").alias("apk_id"), "app_name"), "file")
+    x, refs = F.col("x"), _refs(rows)
+    filters = F.coalesce(F.size(x.getField("intent-filter")), F.lit(0))
+    exported, enabled = component_defaults(filters, attribute(x, "exported"), attribute(x, "enabled"), refs)
+    package = text_of(F.col("package"), refs)
+    name = text_of(attribute(x, "name"), refs)
+    text = lambda c: text_of(attribute(x, c), refs)
+    more = []
+    if kind == "provider":
+        parts = F.transform(F.split(attribute(x, "authorities"), ";"), lambda a: text_of(a, refs))
+        more = [F.coalesce(F.array_join(parts, ";"), F.lit("")).alias("authorities"), bool_of(attribute(x, "grantUriPermissions"), refs, False, False).alias("grant_uri_permissions"), F.coalesce(text("readPermission"), text("permission")).alias("read_permission"), F.coalesce(text("writePermission"), text("permission")).alias("write_permission")]
+    return rows.select("apk_id", from_manifest_name(package, name).alias("class_name"), text("permission").alias("permission"), exported.alias("exported"), enabled.alias("enabled"), F.when(F.instr(name, "/") > 0, F.substring_index(name, "/", 1)).otherwise(package).alias("pkg"), *more)
+
+
+def build_components(manifests: DataFrame, apks: DataFrame, kind: str, resources: DataFrame | None = None) -> DataFrame:
+    """Receivers, services or activities (with their aliases), of one kind; references count as what resources(package, kind, name, value)
+    say they stand for, here and in the other builds. Of several of one name and package the smallest row stays."""
+    rows = _least(_components(manifests, apks, kind, resources), "class_name", "apk_id")
     return rows.withColumn("id", stable_id(F.lit(kind), F.col("class_name"), F.col("apk_id"))).select(*INVENTORY["receivers"].names)
 
 
-def build_services(manifests: DataFrame, apks: DataFrame, binders: DataFrame) -> DataFrame:
+def build_services(manifests: DataFrame, apks: DataFrame, binders: DataFrame, resources: DataFrame | None = None) -> DataFrame:
     """binders(class, returns_binder) as returns_binder() gives them; unknown for others."""
-    rows = build_components(manifests, apks, "service")
-    b = binders.select(to_dotted(F.col("class")).alias("class_name"), "returns_binder").dropDuplicates(["class_name"])
+    rows = build_components(manifests, apks, "service", resources)
+    b = binders.groupBy(to_dotted(F.col("class")).alias("class_name")).agg(F.max("returns_binder").alias("returns_binder"))
     return rows.join(b, "class_name", "left").withColumn("returns_binder", F.coalesce("returns_binder", F.lit(UNKNOWN))).select(*INVENTORY["services"].names)
 
 
-def build_providers(manifests: DataFrame, apks: DataFrame) -> DataFrame:
-    """Read and write permissions default to the generic one; grantUriPermissions is an attribute, false by default."""
-    rows = _components(manifests, apks, "provider").dropDuplicates(["class_name", "apk_id"])
-    x = F.col("x")
-    return rows.select(
-        stable_id(F.lit("provider"), F.col("class_name"), F.col("apk_id")).alias("id"), F.col("class_name").alias("name"), F.coalesce(attribute(x, "authorities"), F.lit("")).alias("authorities"), "permission",
-        F.coalesce(_bool(attribute(x, "grantUriPermissions")), F.lit(False)).alias("grant_uri_permissions"), F.coalesce(attribute(x, "readPermission"), "permission").alias("read_permission"),
-        F.coalesce(attribute(x, "writePermission"), "permission").alias("write_permission"), "exported", "enabled", "apk_id",
-    )
+def build_providers(manifests: DataFrame, apks: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    """Read and write permissions default to the generic one; grantUriPermissions is an attribute, false by default and where it can't be resolved."""
+    rows = _least(_components(manifests, apks, "provider", resources), "class_name", "apk_id")
+    return rows.withColumn("id", stable_id(F.lit("provider"), F.col("class_name"), F.col("apk_id"))).withColumnRenamed("class_name", "name").select(*INVENTORY["providers"].names)
 
 
 def permissions_from(rows: DataFrame) -> DataFrame:
@@ -88,8 +103,13 @@ def permissions_from(rows: DataFrame) -> DataFrame:
     return rows.withColumn("id", stable_id(F.col("name"), F.col("source_apk_id"))).select(*INVENTORY["permissions"].names)
 
 
-def build_permissions(manifests: DataFrame, apks: DataFrame) -> DataFrame:
-    return permissions_from(manifest_named(manifests, "permission").join(apks.select("file", F.col("id").alias("source_apk_id")), "file"))
+def _named(manifests: DataFrame, tag: str, resources: DataFrame | None) -> DataFrame:
+    rows = manifest_named(_resolved(manifests, resources), tag)
+    return rows.withColumns({c: text_of(F.col(c), _refs(rows)) for c in ("name", "protection_level") if c in rows.columns})
+
+
+def build_permissions(manifests: DataFrame, apks: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    return permissions_from(_named(manifests, "permission", resources).join(apks.select("file", F.col("id").alias("source_apk_id")), "file"))
 
 
 def uses_from(rows: DataFrame) -> DataFrame:
@@ -98,12 +118,12 @@ def uses_from(rows: DataFrame) -> DataFrame:
     return rows.withColumn("id", stable_id(F.col("name"), F.col("apk_id"))).select(*INVENTORY["apk_permissions"].names)
 
 
-def build_uses_permissions(manifests: DataFrame, apks: DataFrame) -> DataFrame:
-    return uses_from(manifest_named(manifests, "uses-permission").join(apks.select("file", F.col("id").alias("apk_id")), "file"))
+def build_uses_permissions(manifests: DataFrame, apks: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    return uses_from(_named(manifests, "uses-permission", resources).join(apks.select("file", F.col("id").alias("apk_id")), "file"))
 
 
-def build_protected_broadcasts(manifests: DataFrame) -> DataFrame:
-    rows = manifest_named(manifests, "protected-broadcast").where("name is not null").select("name").distinct()
+def build_protected_broadcasts(manifests: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    rows = _named(manifests, "protected-broadcast", resources).where("name is not null").select("name").distinct()
     return rows.select(stable_id(F.col("name")).alias("id"), "name")
 
 
@@ -208,8 +228,10 @@ def replace_apk(inv: dict[str, DataFrame], rows: dict[str, DataFrame], apk_id: i
     return out
 
 
-def build_inventory(manifests: DataFrame, paths: DataFrame, properties: DataFrame, listed: DataFrame, binders: DataFrame, constants: DataFrame, methods: DataFrame, g: dict[str, DataFrame] | None = None, hashes: DataFrame | None = None, installed: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of one device's inventory."""
+def build_inventory(manifests: DataFrame, paths: DataFrame, properties: DataFrame, listed: DataFrame, binders: DataFrame, constants: DataFrame, methods: DataFrame, g: dict[str, DataFrame] | None = None, hashes: DataFrame | None = None, installed: DataFrame | None = None, resources: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of one device's inventory. With resources(package, kind, name, value), the manifests are looked through for references once."""
+    if resources is not None:
+        manifests, _, _ = written(with_references(manifests, resources), "manifests")
     apks = build_apks(manifests, paths, installed)
     services = build_system_services(listed)
     inv = {

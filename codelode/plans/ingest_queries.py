@@ -14,10 +14,11 @@ from codelode.operators import diff as G
 from codelode.operators import inventory as I
 from codelode.operators import inventory_build as E
 from codelode.operators import lookups as C
+from codelode.operators import references as R
 from codelode.operators import traversal as D
 from codelode.plans import derive
 from codelode.plans.queries import NAMED, SPEC, TARGET, paths, query, walks
-from codelode.plans.storage import listed, new_path, rename, stored
+from codelode.plans.storage import listed, new_path, rename, stored, written
 from codelode.schema import WRITE
 from codelode.sources import device as S
 from codelode.sources import facts as A
@@ -231,29 +232,59 @@ def _flag(c: str, left_out: Column) -> Column:
     return F.when(~left_out, F.when(F.col(c), "true").otherwise("false"))
 
 
-def manifest_text(t: Tables) -> DataFrame:
-    """(file, text): a manifest for each package; some attributes are left out, some names start with a dot."""
+# What the entries of packages' resources are, and which attributes refer to them: names, permissions through chains of up to 40 entries (some
+# of which end at none or go round), truths through two, some of which are spelled wrongly or missing.
+_ID, _LONG = "CAST(x.id AS STRING)", 40
+_NAME_TEXT = "CASE WHEN x.id % 2 = 0 THEN x.class_name ELSE substr(x.class_name, 2) END"
+_OF_APK = "FROM components x JOIN apks a ON a.id = x.apk_id"
+_HAS_CHAIN = "x.permission IS NOT NULL AND x.id % 4 = 1 AND x.id % 20 <> 9"
+_RESOURCES = " UNION ALL ".join(f"SELECT a.app_name AS package, '{kind}' AS kind, {name} AS name, {value} AS value {_OF_APK}{more}" for kind, name, value, more in (
+    ("string", f"concat('n', {_ID})", _NAME_TEXT, " WHERE x.id % 9 = 4"),
+    ("string", f"concat('p', CAST(k.k AS STRING), '_', {_ID})", f"CASE WHEN k.k < x.id % {_LONG} THEN concat('@string/p', CAST(k.k + 1 AS STRING), '_', {_ID}) WHEN x.id % 12 = 5 THEN '@string/none' ELSE x.permission END", f" CROSS JOIN (SELECT CAST(floor((p_partkey - 1) / 1.0) AS BIGINT) AS k FROM part WHERE p_partkey BETWEEN 1 AND {_LONG}) k WHERE {_HAS_CHAIN} AND k.k <= x.id % {_LONG}"),
+    ("string", f"concat('c', {_ID})", f"concat('@string/d', {_ID})", " WHERE x.id % 20 = 9"),
+    ("string", f"concat('d', {_ID})", f"concat('@string/c', {_ID})", " WHERE x.id % 20 = 9"),
+    ("string", f"concat('a', {_ID})", "x.authorities", ""),
+    ("bool", f"concat('e', {_ID})", f"concat('@bool/f', {_ID})", ""),
+    ("bool", f"concat('f', {_ID})", "CASE WHEN x.id % 15 = 7 THEN 'True' WHEN x.exported THEN 'true' ELSE 'false' END", ""),
+)) + " UNION ALL SELECT app_name, 'bool', 'debug', CASE WHEN is_debuggable THEN 'true' ELSE 'false' END FROM apks UNION ALL SELECT app_name, 'string', 'level', '@string/level2' FROM apks UNION ALL SELECT app_name, 'string', 'level2', 'signature' FROM apks"
+
+
+def manifest_text(t: Tables, refer: bool = False) -> DataFrame:
+    """(file, text): a manifest for each package; some attributes are left out, some names start with a dot. With refer, many attributes are
+    references to the package's resources."""
     x, alias = t["components"], (F.col("kind") == "activity") & (F.col("id") % 8 == 6)
     tag = F.when(alias, "activity-alias").otherwise(F.col("kind"))
     provider = F.col("kind") == "provider"
     parts = _attributes(
         name=F.when(F.col("id") % 2 == 0, F.col("class_name")).otherwise(F.expr("substring(class_name, 2)")), permission=F.col("permission"), exported=_flag("exported", F.col("id") % 3 == 0), enabled=_flag("enabled", F.col("id") % 5 == 0),
         authorities=F.when(provider, F.col("authorities")), readPermission=F.when(provider, F.col("read_permission")), writePermission=F.when(provider, F.col("write_permission")), grantUriPermissions=F.when(provider & (F.col("id") % 3 == 1), "true"),
-    )
+    ) if not refer else _attributes(**{k: F.expr(v) for k, v in _REFERRING.items()})
     filters = F.when(F.col("id") % 2 == 0, F.lit('<intent-filter><action android:name="VIEW"/><category android:name="DEFAULT"/></intent-filter>')).otherwise("")
     element = lambda rows, key, text: rows.groupBy(F.col(key).alias("__apk")).agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("__x"))
     inner = element(x, "apk_id", _text("<", tag, parts, ">", filters, "</", tag, ">")).withColumnRenamed("__x", "inner")
-    own = element(t["permissions"], "source_apk_id", _text("<permission", _attributes(name=F.col("name"), protectionLevel=F.when(F.col("id") % 4 != 0, F.col("protection_level"))), "/>")).withColumnRenamed("__x", "own")
+    own = element(t["permissions"], "source_apk_id", _text("<permission", _attributes(name=F.col("name"), protectionLevel=F.when(F.col("id") % 4 != 0, F.lit("@string/level") if refer else F.col("protection_level"))), "/>")).withColumnRenamed("__x", "own")
     uses = element(t["apk_permissions"], "apk_id", _text("<uses-permission", _attributes(name=F.col("name")), "/>")).withColumnRenamed("__x", "uses")
     rows = t["apks"].join(inner, F.col("id") == inner["__apk"], "left").drop("__apk").join(own, F.col("id") == own["__apk"], "left").drop("__apk").join(uses, F.col("id") == uses["__apk"], "left").drop("__apk")
     more = [F.coalesce(F.col(c), F.lit("")) for c in ("own", "uses", "inner")]
     text = _text(
         '<manifest xmlns:android="http://schemas.android.com/apk/res/android" package="', F.col("app_name"), '">\n', more[0], more[1], '<uses-permission android:name=""/>', more[1], '<protected-broadcast android:name="action.', F.col("app_name"),
-        '"/><protected-broadcast android:name="action.shared"/>\n<application', _attributes(debuggable=_flag("is_debuggable", F.col("id") % 5 == 0)), ">", more[2], "</application></manifest>",
+        '"/><protected-broadcast android:name="action.shared"/>\n<application', _attributes(debuggable=F.when(F.col("id") % 5 != 0, F.when(F.col("id") % 5 == 1, "@bool/none").otherwise("@bool/debug")) if refer else _flag("is_debuggable", F.col("id") % 5 == 0)), ">", more[2], "</application></manifest>",
     )
     return rows.select(F.col("device_path").alias("file"), text.alias("text"))
 
 
+_REFERRING = {
+    "name": f"CASE WHEN id % 9 = 4 THEN concat('@string/n', id) ELSE {_NAME_TEXT.replace('x.', '')} END",
+    "permission": f"CASE WHEN id % 20 = 9 THEN concat('@string/c', id) WHEN {_HAS_CHAIN.replace('x.', '')} THEN concat('@string/p0_', id) ELSE permission END",
+    "exported": "CASE WHEN id % 3 <> 0 THEN CASE WHEN id % 10 = 7 THEN 'TRUE' ELSE concat('@bool/e', id) END END",
+    "enabled": "CASE WHEN id % 5 <> 0 THEN CASE WHEN id % 7 = 3 THEN '@bool/none' WHEN id % 7 = 4 THEN '@other/x' ELSE CAST(enabled AS STRING) END END",
+    "authorities": "CASE WHEN kind = 'provider' THEN CASE WHEN id % 8 = 3 THEN concat('x;@string/a', id, ';@string/none') ELSE concat('@string/a', id) END END",
+    "readPermission": "CASE WHEN kind = 'provider' AND read_permission IS NOT NULL THEN concat('@string/c', id) END",
+    "writePermission": "CASE WHEN kind = 'provider' THEN write_permission END",
+    "grantUriPermissions": "CASE WHEN kind = 'provider' AND id % 3 = 1 THEN concat('@bool/f', id) END",
+}
+
+
 def _manifests(t: Tables) -> tuple[DataFrame, DataFrame]:
     """The manifests parsed, and the packages they give."""
     manifests = S.parse_manifests(manifest_text(t))
@@ -317,6 +348,61 @@ def _(t):
     return E.build_apks(files, where, t["apks"].where("id % 2 = 0").select(F.col("device_path").alias("path"))).select("app_name", "name", "is_debuggable", "is_priv", "device_path")
 
 
+_MR = (
+    "mr AS (SELECT x.id, x.kind, a.app_name AS pkg, CASE WHEN x.id % 2 = 0 THEN x.class_name ELSE concat(a.app_name, substr(x.class_name, 2)) END AS class_name, "
+    "CASE WHEN x.id % 20 = 9 THEN concat('@string/d', x.id) WHEN x.permission IS NOT NULL AND x.id % 4 = 1 AND x.id % 12 = 5 THEN concat('@string/p0_', x.id) ELSE x.permission END AS permission, "
+    "CASE WHEN x.id % 3 = 0 THEN x.id % 2 = 0 WHEN x.id % 10 = 7 OR x.id % 15 = 7 THEN TRUE ELSE x.exported END AS exported, CASE WHEN x.id % 5 = 0 OR x.id % 7 IN (3, 4) THEN TRUE ELSE x.enabled END AS enabled, "
+    "CASE WHEN x.id % 8 = 3 THEN concat('x;', x.authorities, ';@string/none') ELSE x.authorities END AS authorities, x.id % 3 = 1 AND x.id % 15 <> 7 AND x.exported AS grant_uri_permissions, x.read_permission, x.write_permission FROM components x JOIN apks a ON a.id = x.apk_id)"
+)
+
+
+def _referring(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Manifests full of references with what these stand for, the packages they give, and the packages' resources."""
+    resources = t.sql(_RESOURCES)
+    manifests = written(R.with_references(S.parse_manifests(manifest_text(t, refer=True)), resources), "manifests")[0]
+    return manifests, E.build_apks(manifests, t["apks"].select(F.col("device_path").alias("file"), "device_path")), resources
+
+
+for _kind in ("receiver", "activity"):
+
+    @query(f"manifest_references_{_kind}", f"{_MR} SELECT {', '.join(_BUILT)} FROM mr WHERE kind = '{_kind}'")
+    def _(t, kind=_kind):
+        manifests, apks, resources = _referring(t)
+        return E.build_components(manifests, apks, kind, resources).select(*_BUILT)
+
+
+@query("manifest_references_service", f"{_MR} SELECT {', '.join(_BUILT)}, CAST(0 AS INT) AS returns_binder FROM mr WHERE kind = 'service'")
+def _(t):
+    manifests, apks, resources = _referring(t)
+    binders = t["part"].limit(0).select(F.col("p_name").alias("class"), F.lit(1).alias("returns_binder"))
+    return E.build_services(manifests, apks, binders, resources).select(*_BUILT, F.col("returns_binder").cast("int").alias("returns_binder"))
+
+
+@query("manifest_references_provider", f"{_MR} SELECT class_name AS name, authorities, permission, grant_uri_permissions, CASE WHEN read_permission IS NULL THEN permission WHEN id % 20 = 9 THEN concat('@string/d', id) ELSE concat('@string/c', id) END AS read_permission, coalesce(write_permission, permission) AS write_permission, exported, enabled FROM mr WHERE kind = 'provider'")
+def _(t):
+    _, apks, resources = _referring(t)
+    return E.build_providers(S.parse_manifests(manifest_text(t, refer=True)), apks, resources).select("name", "authorities", "permission", "grant_uri_permissions", "read_permission", "write_permission", "exported", "enabled")
+
+
+@query("manifest_references_apks", "SELECT app_name, is_debuggable AND id % 5 > 1 AS is_debuggable FROM apks")
+def _(t):
+    return _referring(t)[1].select("app_name", "is_debuggable")
+
+
+@query("manifest_references_permissions", "SELECT p.name, CASE WHEN p.id % 4 <> 0 THEN 'signature' ELSE 'normal' END AS protection_level, a.app_name FROM permissions p JOIN apks a ON a.id = p.source_apk_id")
+def _(t):
+    manifests, apks, resources = _referring(t)
+    return E.build_permissions(manifests, apks, resources).join(apks.select(F.col("id").alias("source_apk_id"), "app_name"), "source_apk_id").select("name", "protection_level", "app_name")
+
+
+@query("resources_closed", f"""r AS ({_RESOURCES}), x AS (SELECT a.app_name AS package, x.* {_OF_APK})
+SELECT r.package, concat(r.kind, '/', r.name) AS key, CASE WHEN r.name LIKE 'p%' AND x.id % 12 = 5 THEN NULL WHEN r.name LIKE 'p%' THEN x.permission WHEN r.kind = 'bool' AND r.name LIKE 'e%' THEN f.value WHEN r.name = 'level' THEN 'signature' ELSE r.value END AS text
+FROM r LEFT JOIN x ON x.package = r.package AND CAST(x.id AS STRING) = regexp_extract(r.name, '([0-9]+)$', 1) AND r.name <> 'level2'
+LEFT JOIN r f ON f.package = r.package AND f.kind = 'bool' AND f.name = concat('f', substr(r.name, 2))""")
+def _(t):
+    return R.close_resources(t.sql(_RESOURCES))
+
+
 # Lists and dumps.
 
 

@@ -433,9 +433,11 @@ def _(t):
 # Inventory build.
 
 
-@query("component_defaults", "SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN exported END, id % 5 > 0) AS exported, coalesce(CASE WHEN id % 4 = 0 THEN enabled END, TRUE) AS enabled FROM components")
+@query("component_defaults", "SELECT id, CASE WHEN id % 3 = 0 THEN exported WHEN id % 3 = 1 THEN id % 5 > 0 ELSE TRUE END AS exported, CASE WHEN id % 4 = 0 THEN enabled ELSE TRUE END AS enabled FROM components")
 def _(t):
-    exported, enabled = E.component_defaults(F.col("id") % 5, F.when(F.col("id") % 3 == 0, F.col("exported")), F.when(F.col("id") % 4 == 0, F.col("enabled")))
+    exported = F.when(F.col("id") % 3 == 0, F.col("exported").cast("string")).when(F.col("id") % 3 == 2, "@bool/unknown")
+    enabled = F.when(F.col("id") % 4 == 0, F.col("enabled").cast("string")).when(F.col("id") % 4 == 1, "FALSE").when(F.col("id") % 4 == 2, " false")
+    exported, enabled = E.component_defaults(F.col("id") % 5, exported, enabled)
     return t["components"].select("id", exported.alias("exported"), enabled.alias("enabled"))
 
 

@@ -6,6 +6,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ from codelode.functions.expr import file_path
 from codelode.plans.storage import delete, exists, listed, rename
 
 _A = "_android:"
+# Kinds of resource files whose entries are plain values.
+RESOURCE_KINDS = ("string", "bool", "integer", "color", "dimen", "id")
 
 
 def _attributes(*names: str) -> str:
@@ -47,15 +50,42 @@ def attribute(struct: Column, name: str) -> Column:
     return struct.getField(_A + name)
 
 
+def manifest_attributes() -> dict[str, tuple[str, ...]]:
+    """The attributes that a manifest's elements are read with, by tag; a provider's authorities aside."""
+    component = ("name", "permission", "exported", "enabled")
+    tags = {tag: component for tag in ("receiver", "service", "activity", "activity-alias")}
+    tags["provider"] = (*component, "readPermission", "writePermission", "grantUriPermissions")
+    return tags | {"permission": ("name", "protectionLevel"), "uses-permission": ("name",), "protected-broadcast": ("name",)}
+
+
+def read_resources(spark: SparkSession, path: str, kinds: tuple[str, ...] = RESOURCE_KINDS) -> DataFrame:
+    """(base, kind, name, value) of the entries in <base>/res/values/<kind>s.xml below path; value is null where an entry holds no plain text.
+
+    Entries of another tag than the file's kind aren't values of it; files that can't be read have none."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*s.xml").text(path, wholetext=True)
+    text = text.withColumn("file", file_path(F.input_file_name())).where(F.col("file").rlike("/res/values/[^/]+s\\.xml$"))
+    text = text.select(F.regexp_extract("file", "^(.*)/res/values/", 1).alias("base"), F.regexp_extract("file", "/([^/]+)s\\.xml$", 1).alias("kind"), "value")
+    parts = []
+    for kind in kinds:
+        entries = F.from_xml("value", f"`{kind}` array<struct<_name: string, _VALUE: string>>", {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
+        parts.append(text.where(F.col("kind") == kind).select("base", "kind", F.explode(entries[kind]).alias("x")).select("base", "kind", F.col("x._name").alias("name"), F.nullif(F.col("x._VALUE"), F.lit("")).alias("value")))
+    return reduce(DataFrame.unionByName, parts).where("name is not null")
+
+
+def _refs(manifests: DataFrame) -> list[str]:
+    """The map of references, where manifests have one: it goes with every row that is made of them."""
+    return ["refs"] if "refs" in manifests.columns else []
+
+
 def manifest_packages(manifests: DataFrame) -> DataFrame:
     app = F.col("application")
-    return manifests.where("_package is not null").select("file", F.col("_package").alias("package"), attribute(app, "debuggable").alias("debuggable"), attribute(app, "allowBackup").alias("allow_backup"))
+    return manifests.where("_package is not null").select("file", F.col("_package").alias("package"), attribute(app, "debuggable").alias("debuggable"), attribute(app, "allowBackup").alias("allow_backup"), *_refs(manifests))
 
 
 def manifest_named(manifests: DataFrame, tag: str) -> DataFrame:
     """(file, package, name[, protection_level]) of permission, uses-permission or protected-broadcast entries."""
-    rows = manifests.where("_package is not null").select("file", F.col("_package").alias("package"), F.explode(F.col(f"`{tag}`")).alias("x"))
-    out = rows.select("file", "package", attribute(F.col("x"), "name").alias("name"), *([attribute(F.col("x"), "protectionLevel").alias("protection_level")] if tag == "permission" else []))
+    rows = manifests.where("_package is not null").select("file", F.col("_package").alias("package"), F.explode(F.col(f"`{tag}`")).alias("x"), *_refs(manifests))
+    out = rows.select("file", "package", *_refs(rows), attribute(F.col("x"), "name").alias("name"), *([attribute(F.col("x"), "protectionLevel").alias("protection_level")] if tag == "permission" else []))
     return out
 
 
@@ -63,7 +93,7 @@ def manifest_components(manifests: DataFrame, kind: str) -> DataFrame:
     """(file, package, x): one row for each component of a kind; activities with their aliases."""
     app = F.col("application")
     lists = F.concat(F.coalesce(app["activity"], F.array()), F.coalesce(app["activity-alias"], F.array())) if kind == "activity" else app[kind]
-    return manifests.where("_package is not null").select("file", F.col("_package").alias("package"), F.explode(lists).alias("x"))
+    return manifests.where("_package is not null").select("file", F.col("_package").alias("package"), F.explode(lists).alias("x"), *_refs(manifests))
 
 
 def manifest_filters(manifests: DataFrame, kind: str) -> DataFrame:
