@@ -57,7 +57,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text"):
         sets = [shingle_set(t.as_py()) for t in binary_column(batch.column("text"))]
         columns = [batch.column("doc_id"), batch.column("row"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.size for s in sets], pa.int64()), pa.array([signature(s).tobytes() if s.size else b"" for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "digest", "n", "signature"])
+        columns.append(pa.array([x[::4] for x in columns[-1].to_pylist()], pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "digest", "n", "signature", "brief"])
 
 
 def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,6 +72,38 @@ def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array((values | coordinate).ravel()), pa.array(np.repeat(part.column("node").to_numpy(), COORDINATES))], ["key", "node"])
 
 
+def candidate_groups(brief: np.ndarray) -> np.ndarray:
+    """Members of a cell, a row of one byte a coordinate each, by the first of those they lead to through pairs with MATCHES bytes in common.
+
+    Coordinates that match do so in their bytes, so no pair with MATCHES coordinates in common is torn apart."""
+    group = np.full(len(brief), -1)
+    while (left := np.flatnonzero(group < 0)).size:
+        first, reached = left[0], left[:1]
+        group[first] = first
+        left = left[1:]
+        while reached.size and left.size:
+            new = (brief[left] == brief[reached[0]]).sum(axis=1) >= MATCHES
+            group[left[new]] = first
+            reached, left = np.r_[reached[1:], left[new]], left[~new]
+    return group
+
+
+def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, node): the groups of each cell that have more than one member, with their smallest as pivot."""
+    rows = ((k, n, b) for batch in batches for k, n, b in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "brief")), strict=True))
+    out: list[tuple[int, int, int]] = []
+    for key, cell in groupby(rows, key=lambda r: r[0]):
+        _, node, brief = zip(*cell, strict=True)
+        group = candidate_groups(np.frombuffer(b"".join(brief), np.uint8).reshape(-1, COORDINATES))
+        many = np.bincount(group, minlength=group.size)[group] > 1
+        out += [(key, node[g], node[i]) for i, g in zip(np.flatnonzero(many).tolist(), group[many].tolist(), strict=True)]
+        if len(out) > 1 << 16:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["key", "pivot", "node"])
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["key", "pivot", "node"])
+
+
 # Members of a cell are told by how their sets differ from that of the cell's pivot: hashes that are more, and places in it that are missing.
 
 
@@ -155,10 +188,10 @@ def links_in_cell(coordinate: int, rows: list[dict], left: np.ndarray, right: np
 
 
 def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, kind, a, b): whole cells (kind 0), members near the pivot with others (1), others of one tile (2) or two (3)."""
+    """Rows sorted by (key, pivot, kind, a, b): whole cells (kind 0), members near the pivot with others (1), others of one tile (2) or two (3)."""
     rows = (r for batch in batches for r in batch.to_pylist())
     out: list[tuple[int, int]] = []
-    for (key, kind, *_), cell in groupby(rows, key=lambda r: (r["key"], r["kind"], r["a"], r["b"])):
+    for (key, _, kind, *_), cell in groupby(rows, key=lambda r: (r["key"], r["pivot"], r["kind"], r["a"], r["b"])):
         cell = list(cell)
         every = np.arange(len(cell))
         near, side = np.array([r["near"] for r in cell]), np.array([r["side"] for r in cell])
@@ -195,13 +228,30 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
     return materialize(hits.select("node", F.explode(F.slice(F.array_sort("hits"), 1, F.size("hits") - (COORDINATES - PREFIX))).alias("hit")).select("node", "hit.key"), "prefixes")
 
 
+def _names() -> list:
+    """What tells sets of nodes apart."""
+    return [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit("y"))).alias("y")]
+
+
+def _once(cells: DataFrame) -> DataFrame:
+    """Of cells(key, pivot, rows, x, y) of the same members the one of the smallest key."""
+    return cells.groupBy("rows", "pivot", "x", "y").agg(F.min("key").alias("key")).select("key", "pivot", "rows")
+
+
 def _links(docs: DataFrame, nodes: DataFrame, cell_rows: int, cell_bytes: int) -> DataFrame:
     """(a, b): links between nodes, enough of them to join all that belong together."""
     spark = docs.sparkSession
     prefixes = _prefixes(nodes)
-    cells = prefixes.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit("y"))).alias("y"))
-    cells = cells.where(F.col("rows") > 1).groupBy("rows", "pivot", "x", "y").agg(F.min("key").alias("key")).select("key", "pivot")  # cells of the same members are one
-    members = materialize(prefixes.join(cells, "key").select("key", "pivot", "node"), "members")
+    sizes = prefixes.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("pivot"), *_names()).where("rows > 1")
+    cells = prefixes.join(_once(sizes), "key").select("key", "pivot", "node", "rows")
+    cells = materialize(cells, "cells")
+    small = cells.where(F.col("rows") <= cell_rows).join(nodes.select("node", "brief"), "node").select("key", "node", "brief")
+    small = small.repartition(partitions(spark, cells.count(), 1 << 17), "key").sortWithinPartitions("key", "node").mapInArrow(_screened, "key long, pivot long, node long")
+    found = materialize(small.unionByName(cells.where(F.col("rows") > cell_rows).select("key", "pivot", "node")), "screened")
+    sizes = found.groupBy("key", "pivot").agg(F.count("*").alias("rows"), *_names())
+    members = materialize(found.join(_once(sizes).select("key", "pivot"), ["key", "pivot"]).select("key", "pivot", "node"), "members")
+    drop_materialized(cells)
+    drop_materialized(found)
     masks = prefixes.groupBy("node").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) as int)))").alias("mask"))
     active = materialize(members.select("node").distinct().join(masks, "node").join(nodes.select("node", "least", "digest"), "node"), "active")
     drop_materialized(prefixes)
@@ -233,16 +283,16 @@ def _links(docs: DataFrame, nodes: DataFrame, cell_rows: int, cell_bytes: int) -
     away = materialize(both.mapInArrow(_differences, "pivot long, node long, n long, base long, near boolean, more binary, gone binary, signature binary, mask long"), "differences")
     drop_materialized(held)
     sizes = members.join(away.select("pivot", "node", (F.octet_length("more") + F.octet_length("gone") + 4 * COORDINATES).alias("bytes"), "near"), ["pivot", "node"])
-    sizes = sizes.groupBy("key").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"), F.count(F.when(~F.col("near"), 1)).alias("others")).where("others > 0")
+    sizes = sizes.groupBy("key", "pivot").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"), F.count(F.when(~F.col("near"), 1)).alias("others")).where("others > 0")
     tiles = F.greatest(F.expr(f"(rows + {cell_rows - 1}) div {cell_rows}"), F.expr(f"(bytes + {cell_bytes - 1}) div {cell_bytes}"))
-    tiled = members.join(sizes.select("key", tiles.alias("tiles")), "key").join(away, ["pivot", "node"]).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    tiled = members.join(sizes.select("key", "pivot", tiles.alias("tiles")), ["key", "pivot"]).join(away, ["pivot", "node"]).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")))
     upto = "transform(sequence(0L, tiles - 1), x -> named_struct('kind', 1, 'a', {}, 'b', {}, 'side', {}))"
     other = f"""concat({upto.format("x", "t", 1)}, transform(sequence(t, tiles - 1), x -> named_struct('kind', if(x = t, 2, 3), 'a', t, 'b', x, 'side', 0)),
       transform(filter(sequence(0L, t), x -> x < t), x -> named_struct('kind', 3, 'a', x, 'b', t, 'side', 1)))"""
     meet = f"CASE WHEN tiles = 1 THEN array(named_struct('kind', 0, 'a', 0L, 'b', 0L, 'side', 0)) WHEN near THEN {upto.format('t', 'x', 0)} ELSE {other} END"
     columns = ("node", "n", "base", "near", "more", "gone", "signature", "mask")
-    met = tiled.select("key", F.explode(F.expr(meet)).alias("m"), *columns).select("key", "m.*", *columns)
-    met = met.repartition(partitions(spark, n, 1 << 13), "key", "kind", "a", "b").sortWithinPartitions("key", "kind", "a", "b")
+    met = tiled.select("key", "pivot", F.explode(F.expr(meet)).alias("m"), *columns).select("key", "pivot", "m.*", *columns)
+    met = met.repartition(partitions(spark, n, 1 << 13), "key", "pivot", "kind", "a", "b").sortWithinPartitions("key", "pivot", "kind", "a", "b")
     found = met.mapInArrow(_cell_links, "a long, b long")
     out = materialize(found.unionByName(away.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "links")
     for df in (members, active, away):
@@ -256,8 +306,8 @@ def near_duplicates(docs: DataFrame, cell_rows: int = CELL_ROWS, cell_bytes: int
 
     Documents of equal sets are one node. A node is posted under each coordinate of its signature with its value; how many nodes share
     a post orders all posts, and the first PREFIX of a node's are where partners can be met: two with MATCHES coordinates in common share
-    one of these at least. The members of a cell are compared with its smallest member, the pivot, first; those near it are joined with
-    it at once, so a group of near copies costs its size, and only others are compared with members of other components. Large cells
+    one of these at least. Of a cell those members stay that lead to each other through pairs with MATCHES coordinates in common; only
+    their texts are read again. They are compared with the smallest of them, the pivot, first; those near it are joined with it at once, so a group of near copies costs its size, and only others are compared with members of other components. Large cells
     are dealt out in tiles. Matching is by 64-bit hashes of shingles, links by whole sets. Of pairs at just 0.8 one in 3,000,000
     (calculated) has fewer than MATCHES coordinates in common and is not met; of more similar ones fewer.
 
@@ -267,11 +317,11 @@ def near_duplicates(docs: DataFrame, cell_rows: int = CELL_ROWS, cell_bytes: int
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.withColumn("row", F.monotonically_increasing_id())
-    prints = materialize(rows.mapInArrow(_signed, "doc_id long, row long, digest binary, n long, signature binary"), "signatures")
+    prints = materialize(rows.mapInArrow(_signed, "doc_id long, row long, digest binary, n long, signature binary, brief binary"), "signatures")
     linking = prints.where("n > 0 and doc_id is not null")
     classes = linking.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("row").alias("lead"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    nodes = materialize(linking.select("row", "signature").join(classes, F.col("row") == F.col("lead")).select("node", "least", "digest", "signature"), "nodes")
+    nodes = materialize(linking.select("row", "signature", "brief").join(classes, F.col("row") == F.col("lead")).select("node", "least", "digest", "signature", "brief"), "nodes")
     links = _links(docs, nodes, cell_rows, cell_bytes)
     roots = connected_components(links)
     rooted = materialize(classes.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root")), "rooted")

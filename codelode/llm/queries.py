@@ -130,9 +130,24 @@ def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+_SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP12_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || {_SPACES}, 'abcdefghijklmnopqrstuvwxyz     '), ' '), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM (SELECT *, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM g x JOIN g y ON x.g = y.g AND x.doc_id > y.doc_id GROUP BY x.doc_id, y.doc_id),
+k AS (SELECT c.a, c.b FROM c JOIN n p ON p.doc_id = c.a JOIN n q ON q.doc_id = c.b WHERE 100 * common >= 80 * (p.n + q.n - common)),
+e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id, coalesce(m.least, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
+"""
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.lowered_thirds(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_line_dedup, op3_mixing, op4_token_files, op5_toxicity, op6_decontamination, op7_token_counts, op8_substring_dedup, op9_simhash, op10_quality, op11_lexical, op12_minhash, op13_merkle)}
-ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_substring_dedup": OP8_SQL, "op11_lexical": OP11_SQL, "op13_merkle": merkle_sql.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_substring_dedup": OP8_SQL, "op11_lexical": OP11_SQL, "op12_minhash": OP12_SQL, "op13_merkle": merkle_sql.SQL}
