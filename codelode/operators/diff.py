@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions.expr import method_key, tri_from_bool
-from codelode.plans.storage import delete, exists
+from codelode.plans.storage import delete, exists, file_system, written
 from codelode.schema import UNKNOWN
 
 EMULATOR = "emulator"
@@ -114,7 +116,8 @@ def add_diff_source(base: str, diffs: dict[str, DataFrame], name: str) -> None:
             if exists(df.sparkSession, path):
                 raise FileExistsError(f"{path} already exists")
             begun.append((df.sparkSession, path))
-            df.drop("diff_source").write.parquet(path)
+            rows = df.drop("diff_source")
+            (rows.repartition("owner").write.partitionBy("owner") if "owner" in rows.columns else rows.write).parquet(path)
     except BaseException:
         for spark, path in begun:
             delete(spark, path)
@@ -136,6 +139,55 @@ def resolve_diff_source(name: str | None = None) -> str:
 
 
 _KEYS = {"system_service_methods": "method", "permissions": "permission"}
+#: The column of a table that says whose a row is: a package's or a service's.
+PACKAGE_OWNERS = {"apks": "id", "receivers": "apk_id", "activities": "apk_id", "services": "apk_id", "providers": "apk_id", "permissions": "source_apk_id"}
+SERVICE_OWNERS = {"system_services": "id", "system_service_methods": "system_service_id"}
+
+
+def owned(diffs: dict[str, DataFrame], inv: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Diffs of inv's tables with owner, the package's or service's id; tables that nobody owns stay as they are."""
+    out = dict(diffs)
+    for table, column in (PACKAGE_OWNERS | SERVICE_OWNERS).items():
+        if table in diffs:
+            item = _KEYS.get(table, "item")
+            out[table] = diffs[table].join(inv[table].select(F.col("id").alias(item), F.col(column).alias("owner")), item)
+    return out
+
+
+def recorded_sources(spark: SparkSession, base: str) -> list[str]:
+    """Names of the diff sources that have been written at base, by the names of their folders."""
+    fs, p = file_system(spark, f"{base}/*/diff_source=*")
+    return sorted({f.getPath().getName().partition("=")[2] for f in fs.globStatus(p) or ()})
+
+
+@dataclass(frozen=True)
+class StoredDiffs:
+    """Diffs written by store_diffs() at base; others(name) opens the inventory that a source was compared with."""
+
+    base: str
+    others: Callable[[str], dict[str, DataFrame]]
+
+    def store(self, inv: dict[str, DataFrame], name: str) -> None:
+        """Add a source: every table's diff, a folder for each owner; all or nothing."""
+        add_diff_source(self.base, owned(diff_all(inv, self.others(name), name), inv), name)
+
+    def refresh(self, inv: dict[str, DataFrame], package: int | None = None, service: int | None = None) -> None:
+        """Make one package's or service's diffs anew against every source that is recorded; inv is the inventory as it is now.
+
+        Only that owner's folders are written, each replaced when its rows are there, or deleted if there are none; a refresh that failed
+        half way is put right by another. A package's refresh leaves services alone, and a service's packages."""
+        owners, owner = (PACKAGE_OWNERS, package) if service is None else (SERVICE_OWNERS, service)
+        own = inv | {t: inv[t].where(F.col(c) == owner) for t, c in owners.items()}
+        spark = inv["apks"].sparkSession
+        for name in recorded_sources(spark, self.base):
+            diffs = owned(diff_all(own, self.others(name), name, services=service is not None, apks=service is None), own)
+            for table in owners:
+                rows, n, path = written(diffs[table], "refreshed")
+                if n:
+                    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("diff_source", "owner").parquet(f"{self.base}/{table}")
+                else:
+                    delete(spark, f"{self.base}/{table}/diff_source={name}/owner={owner}")
+                delete(spark, path)
 
 
 def diffed(items: DataFrame, diffs: DataFrame, table: str = "", source: str | None = None, apk_id: int | None = None, service_id: int | None = None) -> DataFrame:

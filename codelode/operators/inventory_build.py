@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions.expr import extension, file_name, from_manifest_name, is_not_abstract, to_dotted, to_slashed
 from codelode.operators.build import stable_id
+from codelode.operators.diff import StoredDiffs
 from codelode.operators.references import bool_of, text_of, with_references
 from codelode.operators.traversal import reached
 from codelode.plans.storage import written
@@ -202,22 +203,25 @@ def update_binder_availability(services: DataFrame, listed: DataFrame) -> DataFr
     return services.join(seen, "name", "left").select("id", "name", "iface", code.cast("int").alias("can_get_binder"))
 
 
-def replace_service(inv: dict[str, DataFrame], service_id: int, methods: DataFrame, impls: DataFrame | None = None) -> dict[str, DataFrame]:
-    """inv with one service's methods (and implementations, if given) replaced; its diff is to be made anew."""
+def replace_service(inv: dict[str, DataFrame], service_id: int, methods: DataFrame, impls: DataFrame | None = None, diffs: StoredDiffs | None = None) -> dict[str, DataFrame]:
+    """inv with one service's methods (and implementations, if given) replaced, and its stored diffs, if given, made anew."""
     keep = F.col("system_service_id") != service_id
     own = F.col("system_service_id") == service_id
     out = dict(inv)
     out["system_service_methods"] = inv["system_service_methods"].where(keep).unionByName(methods.where(own))
     if impls is not None:
         out["system_service_impls"] = inv["system_service_impls"].where(keep).unionByName(impls.where(own))
+    if diffs is not None:
+        diffs.refresh(out, service=service_id)
     return out
 
 
 _BY_APK = {"receivers": "apk_id", "services": "apk_id", "activities": "apk_id", "providers": "apk_id", "permissions": "source_apk_id", "apk_permissions": "apk_id"}
 
 
-def replace_apk(inv: dict[str, DataFrame], rows: dict[str, DataFrame], apk_id: int, force: bool = False) -> dict[str, DataFrame]:
-    """inv with one package's rows added; with force, those it has are replaced. Without, a known package is an error."""
+def replace_apk(inv: dict[str, DataFrame], rows: dict[str, DataFrame], apk_id: int, force: bool = False, diffs: StoredDiffs | None = None) -> dict[str, DataFrame]:
+    """inv with one package's rows added; with force, those it has are replaced. Without, a known package is an error. The package's stored
+    diffs, if given, are made anew."""
     if not force and not inv["apks"].where(F.col("id") == apk_id).isEmpty():
         raise ValueError(f"package {apk_id} is known; force replaces it")
     out = dict(inv)
@@ -225,6 +229,8 @@ def replace_apk(inv: dict[str, DataFrame], rows: dict[str, DataFrame], apk_id: i
         own = F.col(column) == apk_id
         kept = inv[table].where(~own)
         out[table] = kept.unionByName(rows[table].where(own).select(*kept.columns)) if table in rows else kept
+    if diffs is not None:
+        diffs.refresh(out, package=apk_id)
     return out
 
 

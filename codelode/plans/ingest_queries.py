@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from codelode.functions import expr as X
 from codelode.operators import build as B
 from codelode.operators import diff as G
+from codelode.operators import incremental as N
 from codelode.operators import inventory as I
 from codelode.operators import inventory_build as E
 from codelode.operators import lookups as C
 from codelode.operators import references as R
 from codelode.operators import traversal as D
 from codelode.plans import derive
-from codelode.plans.queries import NAMED, SPEC, TARGET, paths, query, walks
+from codelode.plans.queries import ALL_DIFF, MKEY, DIFF_COMPONENTS, METHOD_DIFF, NAMED, SPEC, TARGET, both, other_cte, paths, query, walks
 from codelode.plans.storage import listed, new_path, rename, stored, written
 from codelode.schema import WRITE
 from codelode.sources import device as S
@@ -146,17 +147,20 @@ bm AS MATERIALIZED (SELECT c.name AS class, c.source AS csource, m.name, m.args
 
 @query("build_graph_classes", f"{_REBUILT} SELECT b.name, CAST(b.access_flags AS BIGINT) AS access_flags, z.name AS source FROM built b JOIN sources z ON z.id = b.source")
 def _(t):
-    g = B.build_graph(_spark(t), _some_missing(t))
-    return g["classes"].join(g["sources"].select(F.col("id").alias("source"), F.col("name").alias("__s")), "source").select("name", "access_flags", F.col("__s").alias("source"))
+    return _classes_by_name(B.build_graph(_spark(t), _some_missing(t)))
 
 
-@query(
-    "build_graph_calls",
+_REBUILT_CALLS = (
     f"{_REBUILT} SELECT DISTINCT n.caller_class, n.caller_name, n.caller_args, n.callee_class, z.name AS callee_source, n.callee_name, n.callee_args, y.name AS source FROM ncalls n JOIN sources y ON y.id = n.source JOIN bm a ON a.class = n.caller_class AND a.csource = n.source AND a.name = n.caller_name AND a.args = n.caller_args "
-    "JOIN liked p ON p.name = n.callee_class AND p.source = n.source JOIN sources z ON z.id = p.csource WHERE NOT (n.caller_class = n.callee_class AND p.csource = n.source AND n.caller_name = n.callee_name AND n.caller_args = n.callee_args)",
+    "JOIN liked p ON p.name = n.callee_class AND p.source = n.source JOIN sources z ON z.id = p.csource WHERE NOT (n.caller_class = n.callee_class AND p.csource = n.source AND n.caller_name = n.callee_name AND n.caller_args = n.callee_args)"
 )
-def _(t):
-    g = B.build_graph(_spark(t), _some_missing(t))
+
+
+def _classes_by_name(g: dict[str, DataFrame]) -> DataFrame:
+    return g["classes"].join(g["sources"].select(F.col("id").alias("source"), F.col("name").alias("__s")), "source").select("name", "access_flags", F.col("__s").alias("source"))
+
+
+def _calls_by_name(g: dict[str, DataFrame]) -> DataFrame:
     s = g["sources"].select(F.col("id").alias("__s"), F.col("name").alias("__source"))
     c = g["classes"].join(s, F.col("source") == F.col("__s")).select(F.col("id").alias("class"), F.col("name").alias("__class"), "__source")
     m = g["methods"].select(F.col("id").alias("__m"), "class", F.col("name").alias("__name"), F.col("args").alias("__args")).join(c, "class")
@@ -165,6 +169,36 @@ def _(t):
     return rows.select("caller_class", "caller_name", "caller_args", "callee_class", "callee_source", "callee_name", "callee_args", F.col("__source").alias("source"))
 
 
+@query("build_graph_calls", _REBUILT_CALLS)
+def _(t):
+    return _calls_by_name(B.build_graph(_spark(t), _some_missing(t)))
+
+
+def _kept_graph(t: Tables) -> dict[str, DataFrame]:
+    """The graph kept by a stream that finds some sources first, then the framework among others, and some a second time."""
+    spark = _spark(t)
+    path, out, done = (new_path(spark, x) for x in ("facts", "graph", "progress"))
+    facts = {k: written(df, k)[0] for k, df in _some_missing(t).items()}
+    names = sorted(r.name for r in t["sources"].collect())
+    for some in (names[2:], names[:2], names[1:3]):
+        for s in some:
+            for kind, df in facts.items():
+                A.write_fact_csv(df.where(F.col("source") == s), f"{path}/{s}", kind, mode="overwrite")
+        spark.createDataFrame([(s,) for s in some], "value string").coalesce(1).write.mode("append").text(f"{path}/{streams.ARRIVED}")
+        streams.keep_graph_stream(spark, path, out, done).awaitTermination()
+    return N.open_graph(spark, out)
+
+
+@query("kept_graph_classes", f"{_REBUILT} SELECT b.name, CAST(b.access_flags AS BIGINT) AS access_flags, z.name AS source FROM built b JOIN sources z ON z.id = b.source")
+def _(t):
+    return _classes_by_name(_kept_graph(t))
+
+
+@query("kept_graph_calls", _REBUILT_CALLS)
+def _(t):
+    return _calls_by_name(_kept_graph(t))
+
+
 @query("stage_named", "SELECT c.name AS class, c.access_flags AS flags, c.source FROM classes c WHERE c.source <> 2")
 def _(t):
     names = t["sources"].select(F.col("id").alias("source"), F.col("name").alias("__s"))
@@ -503,6 +537,65 @@ def _(t):
     return rows.select("item", "exists_in_diff", "diff_source")
 
 
+# Stored diffs after a replacement, against two other inventories.
+
+
+def _stored_diffs(t: Tables) -> tuple[dict[str, DataFrame], G.StoredDiffs]:
+    inv, other = both(t)
+    diffs = G.StoredDiffs(new_path(_spark(t), "diffs"), {"emulator": other, "itself": inv}.__getitem__)
+    for name in ("emulator", "itself"):
+        diffs.store(inv, name)
+    return inv, diffs
+
+
+def _with_itself(sql: str, columns: str) -> str:
+    """A diff against the other snapshot, and the same against the inventory itself, whose rows are all there."""
+    return f"SELECT *, 'emulator' AS diff_source FROM ({sql}) UNION ALL SELECT {columns}, 'itself' AS diff_source FROM ({sql})"
+
+
+_REPLACED = re.sub(r" FROM (apks|system_services) a", r" FROM \1 a WHERE TRUE", ALL_DIFF)
+_REPLACED = re.sub(r" FROM (activities|services|providers) a", r" FROM \1 a WHERE apk_id <> 3", _REPLACED).replace(" FROM permissions a", " FROM permissions a WHERE source_apk_id <> 3")
+
+
+@query("diffs_after_replaced_apk", _with_itself(_REPLACED, "what, item, TRUE"))
+def _(t):
+    """The package's receivers are changed, its other components are gone."""
+    inv, diffs = _stored_diffs(t)
+    E.replace_apk(inv, {"apks": t["apks"], "receivers": t["receivers"].withColumn("exported", ~F.col("exported"))}, 3, force=True, diffs=diffs)
+    rows = None
+    for what in ("apks", "receivers", "activities", "services", "providers", "permissions", "system_services"):
+        part = _spark(t).read.parquet(f"{diffs.base}/{what}").select(F.lit(what).alias("what"), F.col("permission" if what == "permissions" else "item").alias("item"), "exists_in_diff", "diff_source")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+_FLIPPED = "r AS (SELECT id, class_name, permission, CASE WHEN apk_id = 3 THEN NOT exported ELSE exported END AS exported, apk_id FROM receivers)"
+
+
+@query("receiver_diffs_after_replaced_apk", f"{_FLIPPED}, {other_cte('receivers')} SELECT *, 'emulator' AS diff_source FROM ({DIFF_COMPONENTS.format(t='r')}) UNION ALL SELECT id, TRUE, apk_id <> 3, TRUE, permission, 'itself' FROM r")
+def _(t):
+    inv, diffs = _stored_diffs(t)
+    E.replace_apk(inv, {"apks": t["apks"], "receivers": t["receivers"].withColumn("exported", ~F.col("exported"))}, 3, force=True, diffs=diffs)
+    return _spark(t).read.parquet(f"{diffs.base}/receivers").drop("owner")
+
+
+_CHANGED_METHODS = "newm AS (SELECT * FROM system_service_methods WHERE system_service_id <> 3 UNION ALL SELECT id + 5000000, system_service_id, transaction_id, name, signature, return_type, 'new' FROM system_service_methods WHERE system_service_id = 3 AND transaction_id % 2 = 1)"
+_CHANGED_DIFF = METHOD_DIFF.replace("FROM system_service_methods m JOIN system_services s ON s.id = m.system_service_id LEFT", "FROM newm m JOIN system_services s ON s.id = m.system_service_id LEFT")
+
+
+@query(
+    "method_diffs_after_replaced_service",
+    f"{_CHANGED_METHODS}, {_CHANGED_DIFF}, mine AS (SELECT s.name AS service, {MKEY} AS k, arg_max(coalesce(m.method_hash, chr(1)), m.id) AS h FROM system_service_methods m JOIN system_services s ON s.id = m.system_service_id GROUP BY 1, 2) SELECT *, 'emulator' AS diff_source FROM mdiff "
+    f"UNION ALL SELECT m.id, TRUE, CAST(CASE WHEN m.method_hash IS NULL OR x.h = chr(1) THEN 0 WHEN m.method_hash = x.h THEN 1 ELSE -1 END AS INT), 'itself' FROM newm m JOIN system_services s ON s.id = m.system_service_id JOIN mine x ON x.service = s.name AND x.k = {MKEY}",
+)
+def _(t):
+    """Half of the service's methods are gone, the others' hashes are new."""
+    inv, diffs = _stored_diffs(t)
+    new = t["system_service_methods"].where("transaction_id % 2 = 1").withColumns({"id": F.col("id") + 5_000_000, "method_hash": F.lit("new")})
+    E.replace_service(inv, 3, new, diffs=diffs)
+    return _spark(t).read.parquet(f"{diffs.base}/system_service_methods").drop("owner")
+
+
 @query("table_insert", "SELECT id, name FROM permissions UNION ALL SELECT id + 1000, concat('new.', name) FROM apks")
 def _(t):
     p = t["permissions"].select("id", "name")

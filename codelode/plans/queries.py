@@ -741,9 +741,9 @@ def _(t):
     return G.diff_services(inv["system_services"], other["system_services"])
 
 
-_MKEY = "concat_ws('|', m.name, coalesce(m.signature, ''), coalesce(m.return_type, ''))"
+MKEY = "concat_ws('|', m.name, coalesce(m.signature, ''), coalesce(m.return_type, ''))"
 _OTHER_METHODS = other_sql("system_service_methods", "id system_service_id transaction_id name signature return_type method_hash")
-METHOD_DIFF = f"theirs AS (SELECT s.name AS service, {_MKEY} AS k, arg_max(coalesce(m.method_hash, chr(1)), m.id) AS h FROM ({_OTHER_METHODS}) m JOIN (SELECT * FROM system_services WHERE id % 7 <> 0) s ON s.id = m.system_service_id GROUP BY 1, 2), mdiff AS (SELECT m.id AS method, x.k IS NOT NULL AS exists_in_diff, CAST(CASE WHEN x.k IS NULL OR m.method_hash IS NULL OR x.h = chr(1) THEN 0 WHEN m.method_hash = x.h THEN 1 ELSE -1 END AS INT) AS hash_matches_diff FROM system_service_methods m JOIN system_services s ON s.id = m.system_service_id LEFT JOIN theirs x ON x.service = s.name AND x.k = {_MKEY})"
+METHOD_DIFF = f"theirs AS (SELECT s.name AS service, {MKEY} AS k, arg_max(coalesce(m.method_hash, chr(1)), m.id) AS h FROM ({_OTHER_METHODS}) m JOIN (SELECT * FROM system_services WHERE id % 7 <> 0) s ON s.id = m.system_service_id GROUP BY 1, 2), mdiff AS (SELECT m.id AS method, x.k IS NOT NULL AS exists_in_diff, CAST(CASE WHEN x.k IS NULL OR m.method_hash IS NULL OR x.h = chr(1) THEN 0 WHEN m.method_hash = x.h THEN 1 ELSE -1 END AS INT) AS hash_matches_diff FROM system_service_methods m JOIN system_services s ON s.id = m.system_service_id LEFT JOIN theirs x ON x.service = s.name AND x.k = {MKEY})"
 
 
 @query("diff_service_methods", f"{METHOD_DIFF} SELECT * FROM mdiff")
@@ -763,12 +763,12 @@ def _(t):
     return G.unprotected_broadcasts({"protected_broadcasts": inv["protected_broadcasts"].where("id % 3 <> 0")}, other)
 
 
-_ALL_DIFF = " UNION ALL ".join(
+ALL_DIFF = " UNION ALL ".join(
     f"SELECT '{_t}' AS what, a.id AS item, EXISTS (SELECT 1 FROM ({other_sql(_t, OTHER.get(_t, OTHER['receivers']))}) o WHERE o.{_k} = a.{_k}) AS exists_in_diff FROM {_t} a" for _t, _k in (("apks", "name"), ("receivers", "class_name"), ("activities", "class_name"), ("services", "class_name"), ("providers", "name"), ("permissions", "name"), ("system_services", "name"))
 )
 
 
-@query("diff_all", f"SELECT * FROM ({_ALL_DIFF})")
+@query("diff_all", f"SELECT * FROM ({ALL_DIFF})")
 def _(t):
     out = G.diff_all(*both(t), source="other")
     # components named services and system services are told apart by the table's name

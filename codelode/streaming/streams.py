@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codelode.functions.expr import file_path
+from codelode.operators.incremental import load_sources
 from codelode.schema import FACTS
+from codelode.sources.facts import read_fact_csv
 
 # Log levels, from the least severe.
 LEVELS = ("V", "D", "I", "W", "E", "F")
@@ -87,3 +89,25 @@ def ingest_sources_stream(spark: SparkSession, path: str, kind: str, out: str, c
             new.unpersist()
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: The folder beside the sources' own to which a text file is added that names sources whose fact files are all there.
+ARRIVED = "_arrived"
+
+
+def keep_graph_stream(spark: SparkSession, path: str, out: str, checkpoint: str, files: int | None = None) -> StreamingQuery:
+    """Keep the graph at `out` up to date as sources arrive: <path>/<source>/<kind>.csv, and then a text file in <path>/_arrived that names
+    them, one a line. A micro-batch takes `files` of these, or all that are there, and adds the sources that they name, whole.
+
+    A batch that failed is tried again under its number and finds what it had finished; a source that is there is left as it is."""
+    options = {} if files is None else {"maxFilesPerTrigger": str(files)}
+    stream = spark.readStream.schema("value string").options(**options).text(f"{path}/{ARRIVED}")
+
+    def load(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        names = [r[0] for r in batch.where("value <> ''").distinct().collect()]
+        if names:
+            facts = {kind: reduce(DataFrame.unionByName, (read_fact_csv(session, f"{path}/{n}", kind).withColumn("source", F.lit(n)) for n in names)) for kind in FACTS}
+            load_sources(session, out, facts, number)
+
+    return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
