@@ -114,3 +114,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+def kept_by_text(docs: DataFrame, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """The rows of docs whose texts keep() keeps (null ones as empty), all columns as they are, of whatever names: they go through the
+    task under names of their own. keep() is called in tasks, with a few megabytes of text at a time."""
+    names = ["text" if c == "text" else f"column{i}" for i, c in enumerate(docs.columns)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            yield batch.filter(pa.array(keep(binary_column(batch.column("text")).to_pylist()), pa.bool_()))
+
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import binary_column, materialize, small_batches
+from codelode.llm.common import binary_column, kept_by_text, materialize, small_batches
 from codelode.llm.wordhash import mix, run_hashes, word_hashes
 
 SHINGLE = 5
@@ -23,6 +23,8 @@ BLOCKS = 8
 ITEM_BYTES = 8 << 20
 #: Window starts whose bits a task counts at once.
 PIECE = 8192
+#: Pairs of windows and items that a task looks up at once: a byte each.
+TABLE_CELLS = 1 << 25
 _BLOCK_BITS = np.array([[int(a ^ b).bit_count() for b in range(256)] for a in range(256)], np.uint8)
 
 
@@ -35,10 +37,14 @@ def shingle_hashes(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
 
 def window_prints(shingles: np.ndarray, length: int) -> np.ndarray:
     """The SimHash of every run of `length` shingles: bit majority, each shingle weighted by how often the run has it."""
-    votes = np.zeros((shingles.size + 1, 64), np.int32)
-    np.cumsum(np.unpackbits(mix(shingles).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=votes[1:])
-    bits = 2 * (votes[length:] - votes[:-length]) > length
-    return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+    bits = lambda x: np.unpackbits(mix(x).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    n = shingles.size - length + 1
+    votes = np.zeros((n, 64), np.int32)
+    for at in range(0, length, 1 << 16):  # a window may be far longer than the piece of text whose windows are judged
+        votes[0] += bits(shingles[at : min(length, at + (1 << 16))]).sum(axis=0, dtype=np.int32)
+    votes[1:] = bits(shingles[length:]).astype(np.int32) - bits(shingles[: n - 1])
+    np.cumsum(votes, axis=0, out=votes)
+    return np.packbits(2 * votes > length, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def simhash(shingles: np.ndarray) -> int:
@@ -89,13 +95,17 @@ class Items:
 
     def within(self, prints: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of the fingerprint, item) of all pairs within the radius; of: which items take part."""
-        value = prints.astype(">u8").view(np.uint8).reshape(-1, 8)
-        found = self.near[0, value[:, 0]]
-        for b in range(1, BLOCKS):
-            found |= self.near[b, value[:, b]]
-        row, item = np.nonzero(np.unpackbits(found & np.packbits(of), axis=1))
-        close = np.bitwise_count(prints[row] ^ self.prints[item]) <= self.radius
-        return row[close], item[close]
+        rows, items, step = [], [], max(1, TABLE_CELLS // max(1, of.size))
+        for at in range(0, prints.size, step):
+            value = prints[at : at + step].astype(">u8").view(np.uint8).reshape(-1, 8)
+            found = self.near[0, value[:, 0]]
+            for b in range(1, BLOCKS):
+                found |= self.near[b, value[:, b]]
+            row, item = np.nonzero(np.unpackbits(found & np.packbits(of), axis=1))
+            close = np.bitwise_count(prints[at + row] ^ self.prints[item]) <= self.radius
+            rows.append(at + row[close])
+            items.append(item[close])
+        return np.concatenate(rows), np.concatenate(items)
 
     def matches(self, text: bytes, least: float) -> list[tuple[int, int, int, int, float]]:
         """(item_id, start, n_words, hamming, similarity) of each item's best window in the text.
@@ -161,12 +171,10 @@ class Items:
 def _parts(benchmark: DataFrame, shingle: int, radius: int, item_bytes: int) -> Iterator[tuple[Items, bool]]:
     """The index of the benchmark's items in parts of bounded size, and whether there are several."""
     items = benchmark.where("text is not null").select("item_id", "text")
-    size, longest = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0]
     if not size:
         return
     n = -(-size // item_bytes)
-    if longest > item_bytes:
-        raise ValueError(f"a benchmark item has {longest} bytes; item_bytes is {item_bytes}")
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
         rows = sorted(((r[0], r[1].encode("utf-8", "replace")) for r in part.collect()), key=lambda r: (r[0] is None, r))
@@ -184,7 +192,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     Defined cases: null and blank items match nothing; null and blank documents hold nothing; an item shorter than a shingle is one
     shingle and must occur whole; rows with equal ids are compared each; null ids are returned as they are; an empty benchmark or
     table gives no rows; other columns are ignored. Documents are compared whole, in pieces, whatever their length. The index of at most
-    item_bytes of items is made once and broadcast; where there are more, a part's matches are written before the next part is sent.
+    item_bytes of items or so is made once and broadcast; where there are more, a part's matches are written before the next part is sent. An
+    item may be longer than that: a part is as large as its largest item at least.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, start long, n_words long, hamming int, similarity double"
@@ -214,11 +223,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float
     for items, several in _parts(benchmark, shingle, radius, item_bytes):
         known = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches, "text"):
-                yield batch.filter(pa.array([not known.value.matches(t.as_py(), similarity) for t in binary_column(batch.column("text"))], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = kept_by_text(docs, lambda texts, known=known: [not known.value.matches(t, similarity) for t in texts])
         if several:
             docs = materialize(docs, "uncontaminated")
             known.unpersist()

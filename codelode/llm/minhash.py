@@ -25,7 +25,7 @@ PREFIX = COORDINATES - MATCHES + 1
 #: Members of a cell that meet in one task, and their bytes; a cell of more is dealt out in tiles.
 CELL_ROWS, CELL_BYTES = 1024, 16 << 20
 #: Members that one task compares with their cell's pivot.
-STAR_ROWS = 2048
+STAR_ROWS = 256
 #: The most bits of the filter that tells which texts are read again.
 FILTER_BITS = 1 << 26
 _RANDOM = np.random.Generator(np.random.PCG64(20241203))

@@ -246,11 +246,11 @@ def keep_representatives(docs: DataFrame, shingle: int = 3, seed: int = 42) -> D
 
     Of rows that share that doc_id, the one of the least fingerprint (then digest of the text) among those in the component stays; rows
     of that doc_id whose texts are near a document with a smaller one go. Where texts of one doc_id lead several groups, these have one
-    component_id and one row stays for all of them.
+    component_id and one row stays for all of them. Other columns stay as they are, of whatever names.
     """
     found = _near_duplicates(docs, shingle, seed)
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct("fp", "digest")).alias("best"))
-    kept = kept.select(F.col("doc_id").alias("__kept"), F.col("best.digest").alias("__best"))
-    ids = docs.where("doc_id is not null").withColumn("__digest", F.xxhash64("text"))
-    ids = ids.join(kept, (ids.doc_id == F.col("__kept")) & (F.col("__digest") == F.col("__best")), "left_semi")
-    return ids.dropDuplicates(["doc_id", "__digest"]).drop("__digest").unionByName(docs.where("doc_id is null"))
+    kept = kept.select(F.col("doc_id").alias("id"), F.col("best.digest").alias("digest"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"))
+    one = rows.where("id is not null").join(kept, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    return one.unionByName(rows.where("id is null")).select("row.*")

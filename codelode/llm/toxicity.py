@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import binary_column, small_batches
+from codelode.llm.common import binary_column, kept_by_text, small_batches
 
 SIZES = (3, 4, 6, 8)
 BUCKETS = 1 << 18
@@ -243,12 +243,14 @@ def keep_clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
     """The rows of docs, all columns as they are, that score less than `most`."""
     known = docs.sparkSession.sparkContext.broadcast(model.known())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(known.value)
-        for batch in small_batches(batches, "text"):
-            yield batch.filter(pa.array([x < most for x in scorer(binary_column(batch.column("text")).to_pylist())], pa.bool_()))
+    scorers: list[Scorer] = []  # one for each task process
+
+    def keep(texts: list[bytes]) -> list[bool]:
+        if not scorers:
+            scorers.append(Scorer(known.value))
+        return [x < most for x in scorers[0](texts)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept_by_text(docs, keep)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
