@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions.expr import any_of, file_path
@@ -70,22 +70,37 @@ _DIRECTIVES = {
 }
 _CALL = "^\\s*invoke-\\S+\\s+\\{[^}]*\\},\\s*(\\[*[^\\s;]+;?)->([^(\\s]+)\\(([^)]*)\\)"
 _FIELD = "^\\s*[is](get|put)\\S*\\s+[^\\s]+(?:,\\s*[vp]\\d+)?,\\s*([^\\s;]+;)->([^:\\s]+):(\\S+)"
-_STRING = '^\\s*const-string\\S*\\s+[vp]\\d+,\\s*"(.*)"\\s*$'
-_LITERAL = '"(?:[^"\\\\]|\\\\.)*"'
-_FIELD_STRING = '=\\s*"(.*)"\\s*$'
+_INNER = '[^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+'  # of a string literal
+_LITERAL = f'"{_INNER}"'
+_STRING = f'^\\s*const-string\\S*\\s+[vp]\\d+,\\s*"({_INNER})"\\s*(?:#.*)?$'
+_FIELD_STRING = f'=\\s*"({_INNER})"\\s*(?:#.*)?$'
+_HEAD = "^\\s*\\.(?:class|method)\\s"
 
 
 def disassembly_lines(text: DataFrame) -> DataFrame:
     """(path, source, line, value, class, method, args, ret): every line, with the class and the last method header at or above it.
 
-    A method's context lasts to the next header. Lines are windowed within their file alone."""
-    lines = text.select("path", "source", F.posexplode(F.split("text", "\r?\n")).alias("line", "value"))
-    header = F.when(F.col("value").rlike(_DIRECTIVES["method"]), F.regexp_extract("value", "(\\S+)\\(([^)]*)\\)(\\S+)\\s*$", 0))
-    named = F.when(F.col("value").rlike(_DIRECTIVES["class"]), F.regexp_extract("value", "(\\S+)\\s*$", 1))
-    above = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("class", F.last(named, ignorenulls=True).over(above)).withColumn("__header", F.last(header, ignorenulls=True).over(above))
+    A method's context lasts to the next header. A file is cut at its headers within its own row, so lines get their context without a
+    shuffle; a file is as large as its text, and each of its blocks is a row before its lines are."""
+    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("head"))
+    marked = F.filter(F.transform("__lines", lambda v, i: F.struct(i.alias("at"), v.alias("head"))), lambda x: x["head"].rlike(_HEAD))
+    name = lambda x: F.when(x["head"].rlike(_DIRECTIVES["class"]), F.regexp_extract(x["head"], "(\\S+)\\s*$", 1))
+    header = lambda x: F.when(x["head"].rlike(_DIRECTIVES["method"]), F.regexp_extract(x["head"], "(\\S+)\\(([^)]*)\\)(\\S+)\\s*$", 0))
+    rows = text.select("path", "source", F.split("text", "\r?\n").alias("__lines"))
+    rows = rows.select("path", "source", "__lines", F.concat(F.array(none), marked).alias("__heads"))
+    rows = rows.select("*", F.transform("__heads", name).alias("__names"), F.transform("__heads", header).alias("__methods"))
+    rows = rows.select("*", F.size(F.array_compact("__names")).alias("__classes"), (F.array_position(F.transform("__names", lambda x: x.isNotNull()), True) - 1).alias("__first"))
+    latest = lambda c, k: F.try_element_at(F.array_compact(F.slice(c, F.lit(1), k + 1)), F.lit(-1))
+
+    def block(h: Column, k: Column) -> Column:
+        to = F.coalesce(F.get("__heads", k + 1)["at"], F.size("__lines"))
+        of = F.when(F.col("__classes") > 1, latest("__names", k)).when((F.col("__classes") == 1) & (k >= F.col("__first")), F.get("__names", F.col("__first").cast("int")))
+        return F.struct(h["at"].alias("at"), F.slice("__lines", h["at"] + 1, to - h["at"]).alias("lines"), of.alias("class"), F.coalesce(F.get("__methods", k), latest("__methods", k)).alias("header"))
+
+    blocks = rows.select("path", "source", F.explode(F.transform("__heads", block)).alias("b"))
+    lines = blocks.select("path", "source", "b.class", "b.header", "b.at", F.posexplode("b.lines").alias("n", "value"))
     parts = {"method": 1, "args": 2, "ret": 3}
-    return lines.select("path", "source", "line", "value", "class", *(F.regexp_extract("__header", "^([^(]+)\\(([^)]*)\\)(.*)$", i).alias(n) for n, i in parts.items()))
+    return lines.select("path", "source", (F.col("at") + F.col("n")).alias("line"), "value", "class", *(F.regexp_extract("header", "^([^(]+)\\(([^)]*)\\)(.*)$", i).alias(n) for n, i in parts.items()))
 
 
 def _flags(words: Column) -> Column:

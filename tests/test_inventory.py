@@ -282,3 +282,30 @@ def test_ingest_stream(spark, tmp_path):
     run("cp")
     assert tuples(spark.read.parquet(str(tmp_path / "out/classes")).select("class", "source")) == [("LA;", "a"), ("LB;", "b"), ("LC;", "b"), ("LD;", "c")]
     assert streams.read_ledger(spark, str(tmp_path / "out/_ledger")).count() == 3
+
+
+def test_disassembly_is_cut_at_headers(spark):
+    """Context of lines in files with several classes, none, headers that are no headers, and without text."""
+    files = [("/a", "s", "junk\n.class public La;\r\n.method a(I)V\n x\n.class Lb;\n y\n.method bad\n z\n\n.method c()I\n w\n"), ("/b", "s", ""), ("/c", "s", ".method m()V\n.class La;\nq"), ("/d", "s", None), ("/e", "s", "no heads\nat all")]
+    lines = A.disassembly_lines(spark.createDataFrame(files, "path string, source string, text string"))
+    found = {(r.path, r.line): (r.value, r["class"], r.method, r.args, r.ret) for r in lines.collect()}
+    want = {}
+    for path, _, text in files:
+        cls = header = None
+        for n, line in enumerate([] if text is None else text.replace("\r\n", "\n").split("\n")):
+            if line.strip().startswith(".class"):
+                cls = line.split()[-1]
+            if line.strip().startswith(".method"):
+                header = line.split()[-1] if "(" in line else ""
+            name, _, rest = (header or "").partition("(")
+            want[path, n] = (line, cls, name if header else header, rest.partition(")")[0] if header else header, rest.partition(")")[2] if header else header)
+    assert found == want
+    plan = A.tagged_lines(spark.createDataFrame(files, "path string, source string, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_literals_with_comments(spark):
+    text = '.class La;\n.field public static final s:Ljava/lang/String; = "n # \\"q\\""  # c "d"\n.method m()V\n const-string v0, "x # y"  # note\n const-string/jumbo p1, "a \\"b\\" c" # "z"\n const-string v2, "plain"\n const-string v3, ""#e\n const-string v4, "' + "\\u4e2d" * 3000 + '"\n.end method'
+    facts = A.extract_code_facts(spark.createDataFrame([("/c", "s", text)], "path string, source string, text string"))
+    assert {r.string[:12] for r in facts["strings"].collect()} == {'n # \\"q\\"', "x # y", 'a \\"b\\" c', "plain", "", "\\u4e2d\\u4e2d"}
+    assert facts["method_strings"].count() == 5
