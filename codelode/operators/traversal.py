@@ -7,6 +7,7 @@ tables that are files, not plans that derive them (plans.storage.stored writes t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,13 +23,53 @@ class TooManyPaths(RuntimeError):
     """A walk has found more paths than max_paths; nothing is cut short silently."""
 
 
+def walk_counts(seeds: DataFrame, edges: DataFrame, tip: str, step: str, depth: int) -> Iterator[int]:
+    """How many walks of 1 to n edges there are from seeds(id), for n = 1, 2, ... depth: counts summed along edges, a number a node, whatever
+    the number of walks. Repeated edges count once."""
+    edges = edges.select(F.col(tip).alias("__tip"), F.col(step).alias("id"))
+    front = seeds.select("id").distinct().withColumn("n", F.lit(1).cast("decimal(38,0)"))
+    total = 0
+    for _ in range(depth):
+        rows = front.withColumnRenamed("id", "__tip").join(edges, "__tip").distinct()
+        front, found, _ = written(rows.groupBy("id").agg(F.sum("n").cast("decimal(38,0)").alias("n")), "counts")
+        if not found:
+            return
+        total += int(front.agg(F.sum("n")).first()[0])
+        yield total
+
+
+def shortest_paths(seeds: DataFrame, edges: DataFrame, tip: str, step: str, depth: int, backward: bool = True) -> DataFrame:
+    """(id, path, length): of each node that walks of 1 to depth edges from seeds(id) lead to, the shortest one, of equals the one whose
+    ids are the smallest, from the node on.
+
+    Level by level: a node is taken when it is first met, and of the nodes that lead to it the smallest is its next, as that one has its
+    own best walk already. So each node is there once, and walks are never listed."""
+    spark, schema = seeds.sparkSession, "id long, path array<bigint>, length int"
+    edges = edges.select(F.col(tip).alias("__tip"), F.col(step).alias("id"))
+    front, files = seeds.select(F.col("id").cast("long").alias("id"), F.array(F.col("id").cast("long")).alias("path")).distinct(), []
+    for level in range(1, depth + 1):
+        new = front.withColumnRenamed("id", "__tip").join(edges, "__tip").groupBy("id").agg(F.min(F.struct("__tip", "path")).alias("next"))
+        if files:
+            new = new.join(spark.read.schema(schema).parquet(*files), "id", "left_anti")
+        path = F.array_prepend("next.path", F.col("id")) if backward else F.array_append("next.path", F.col("id"))
+        front, found, file = written(new.select(F.col("id").cast("long").alias("id"), path.alias("path"), F.lit(level).alias("length")), "shortest")
+        if not found:
+            break
+        files.append(file)
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
 def expand(seeds: DataFrame, edges: DataFrame, tip: str, step: str, depth: int, max_paths: int | None = None, simple: bool = False, backward: bool = True) -> DataFrame:
     """(path array<long>, length): all walks of 1 to depth edges from seeds(id), along edges from column `tip` to column `step`.
 
     A walk may come back to where it was (simple=True leaves such ones out); every prefix is a result too. Backward walks are listed
     from the far end to the seed. Repeated edges are combined among a level's results, not in the edge table, which a small frontier
-    then joins without a shuffle of its own.
+    then joins without a shuffle of its own. With max_paths, walks are counted before any is listed (simple ones as they are listed).
     """
+    if max_paths is not None and not simple:
+        for level, total in enumerate(walk_counts(seeds, edges, tip, step, depth), 1):
+            if total > max_paths:
+                raise TooManyPaths(f"more than {max_paths} paths within {level} steps")
     edges = edges.select(F.col(tip).alias("__tip"), F.col(step).alias("__step"))
     front = seeds.select(F.array("id").alias("path"), F.col("id").alias("__at")).distinct()
     levels, total = [], 0
@@ -38,10 +79,10 @@ def expand(seeds: DataFrame, edges: DataFrame, tip: str, step: str, depth: int,
             rows = rows.where(~F.array_contains("path", F.col("__step")))
         path = F.array_prepend("path", F.col("__step")) if backward else F.array_append("path", F.col("__step"))
         front = rows.select(path.alias("path"), F.col("__step").alias("__at")).distinct()
-        if level < depth or max_paths is not None:
+        if level < depth or (simple and max_paths is not None):
             front, found, _ = written(front, "walks")
             total += found
-            if max_paths is not None and total > max_paths:
+            if simple and max_paths is not None and total > max_paths:
                 raise TooManyPaths(f"more than {max_paths} paths within {level} steps")
         levels.append(front.select("path", F.lit(level).alias("length")))
     return reduce(DataFrame.unionByName, levels) if levels else front.select("path", F.lit(0).alias("length")).limit(0)
@@ -179,8 +220,11 @@ def component_calls(g: Graph, inv: dict[str, DataFrame], name: str | None = None
     comps = components(inv, only_exported, only_enabled, no_permissions)
     if component_apk is not None:
         comps = comps.where(F.col("device_path") == component_apk)
-    rows = component_paths(g, comps, find_callers(g, name, cls, signature, method_source, depth=depth))
-    if one_path:
+    if not one_path:
+        rows = component_paths(g, comps, find_callers(g, name, cls, signature, method_source, depth=depth))
+    else:
+        paths = shortest_paths(get_method_ids(g, name, cls, signature, method_source), g["calls"], "callee", "caller", depth)
+        rows = component_paths(g, comps, paths.select("path", "length"))
         keys = ["kind", "class", "graph_source", "device_path", "app_name"]
         best = F.min(F.struct("length", "path")).alias("best")
         rows = rows.groupBy(*keys).agg(best).select(*keys, "best.path", "best.length")

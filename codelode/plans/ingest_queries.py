@@ -646,6 +646,20 @@ def _(t):
     return _reach(D.component_calls(g, inv, name="m3", signature="", depth=2, no_permissions=True, component_apk="/system/app/S3.apk", one_path=True))
 
 
+@query("shortest_caller_paths", f"{walks(TARGET, 4)}, b AS (SELECT w.path[1] AS id, w.path, w.length, row_number() OVER (PARTITION BY w.path[1] ORDER BY w.length, w.path) AS n FROM w) SELECT id, array_to_string(path, '>') AS path, CAST(length AS INT) AS length FROM b WHERE n = 1")
+def _(t):
+    g = stored({k: t[k] for k in derive.GRAPH}, "calls")
+    found = D.shortest_paths(C.get_method_ids(g, "m3", None, "", None), g["calls"], "callee", "caller", 4)
+    return found.select("id", F.array_join("path", ">").alias("path"), "length")
+
+
+@query("caller_walk_counts", f"{walks(TARGET, 4)} SELECT CAST(n.n AS BIGINT) AS level, CAST((SELECT count(*) FROM w WHERE w.length <= n.n) AS BIGINT) AS walks FROM (VALUES (1), (2), (3), (4)) n(n)")
+def _(t):
+    g = stored({k: t[k] for k in derive.GRAPH}, "calls")
+    counts = D.walk_counts(C.get_method_ids(g, "m3", None, "", None), g["calls"], "callee", "caller", 4)
+    return _spark(t).createDataFrame(list(enumerate(counts, 1)), "level long, walks long")
+
+
 _PARSE = "SELECT m.id FROM methods m JOIN classes c ON c.id = m.class WHERE c.name LIKE 'Lp/C1%' AND m.name = 'm2'"
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from codelode.operators import build as B
 from codelode.operators import lookups as C
 from codelode.operators import traversal as D
+from codelode.plans.storage import stored
 from codelode.schema import GRAPH, INVENTORY
 
 
@@ -157,3 +158,26 @@ def test_build(spark, facts):
     denied = B.build_graph(spark, facts, spark.createDataFrame([("%a",)], "pattern string"))
     assert denied["classes"].where("name = 'LZ;'").count() == 0
     assert B.id_collisions(g["classes"], "name", "source").count() == 0
+
+
+def test_shortest_paths_through_a_hub(spark):
+    """A thousand million walks lead through five layers of 63 methods; each method has its shortest one all the same."""
+    width, depth = 63, 5
+    ids = spark.range(width * depth)
+    calls = ids.select((F.col("id") + width).alias("caller"), F.explode(F.sequence(F.col("id") - F.col("id") % width, F.col("id") - F.col("id") % width + width - 1)).alias("callee"))
+    calls = calls.unionByName(spark.createDataFrame([(width * 5, 3), (7, 7), (2, 9)], "caller long, callee long"))
+    calls = stored({"calls": calls.unionByName(calls)}, "calls")["calls"]
+    seeds = ids.where(F.col("id") < width).select("id")
+    found = {r.id: (list(r.path), r.length) for r in D.shortest_paths(seeds, calls, "callee", "caller", depth).collect()}
+    assert found[width * 5] == ([width * 5, 3], 1) and found[7] == ([7, 7], 1) and found[2] == ([2, 9], 1)
+    assert found[width * 5 + 1] == ([width * 5 + 1, width * 4, width * 3, width * 2, width, 0], 5) and len(found) == width * 5 + 2
+    counts = list(D.walk_counts(seeds, calls, "callee", "caller", depth))
+    assert counts[-1] > 62**5
+    with pytest.raises(D.TooManyPaths):
+        D.expand(seeds, calls, "callee", "caller", depth, max_paths=10**8)
+
+
+def test_shortest_paths_of_nothing(spark):
+    calls = spark.createDataFrame([(1, 2)], "caller long, callee long")
+    assert D.shortest_paths(calls.limit(0).select(F.col("caller").alias("id")), calls, "callee", "caller", 3).count() == 0
+    assert list(D.walk_counts(calls.select(F.col("caller").alias("id")), calls, "callee", "caller", 3)) == []
