@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -519,6 +520,23 @@ def _(t):
     return S.cached_result(_spark(t), base, "classes", {"source": 1}, of(3))  # what the first call kept
 
 
+@query("result_cache_follows_input", "SELECT id, name, CAST(CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS INT) AS made FROM permissions")
+def _(t):
+    """Half of the rows' file changes between two calls, and the result of their part with it; a call that fails takes nothing away."""
+    spark, base = _spark(t), new_path(_spark(t), "cache")
+    odd, even = (new_path(spark, x) for x in ("odd", "even"))
+    t["permissions"].where("id % 2 = 1").write.parquet(odd)
+    t["permissions"].where("id % 2 = 0").limit(1).write.parquet(even)
+    kept = lambda path, made, **kw: S.cached_result(spark, base, "permissions", {"q": 1}, lambda: spark.read.parquet(path).select("id", "name", F.lit(made).cast("int").alias("made")), inputs=[path], **kw)
+    kept(odd, 1), kept(even, 1)
+    t["permissions"].where("id % 2 = 0").write.mode("overwrite").parquet(even)
+    try:
+        S.cached_result(spark, base, "permissions", {"q": 1}, lambda: spark.read.parquet(odd).select("missing"), force=True, inputs=[odd])
+    except AnalysisException:
+        pass
+    return kept(odd, 2).unionByName(kept(even, 2))
+
+
 @query("snapshot", "SELECT id, name, protection_level FROM permissions")
 def _(t):
     path = new_path(_spark(t), "snapshot")

@@ -8,12 +8,11 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions.expr import file_path
-from codelode.plans.storage import delete, exists, listed, rename
+from codelode.plans.storage import delete, exists, file_system, listed, rename
 
 _A = "_android:"
 # Kinds of resource files whose entries are plain values.
@@ -184,18 +183,47 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def cached_result(spark: SparkSession, base: str, op: str, args: dict, fn: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """fn's result, kept as Parquet under the operator's name and a hash of all its arguments; force computes it anew."""
-    key = hashlib.sha256(json.dumps(args, sort_keys=True, default=str).encode()).hexdigest()
-    path = f"{base}/{op}/{key}"
-    if not force:
+def files_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A text that changes when a file below paths comes, goes, or gets another size or time. Spark lists the files; none is read."""
+    there = [p for p in paths if exists(spark, p)]
+    if not there:
+        return json.dumps(sorted(paths))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(there).select("path", "length", "modificationTime")
+    seen = files.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.bit_xor(F.xxhash64("modificationTime", "path", "length"))).first()
+    return json.dumps([sorted(paths), *seen], default=str)
+
+
+def _published(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the results that are there whole."""
+    fs, p = file_system(spark, f"{folder}/[0-9]*")
+    return sorted(int(f.getPath().getName()) for f in fs.globStatus(p) or ())
+
+
+def cached_result(spark: SparkSession, base: str, op: str, args: dict, fn: Callable[[], DataFrame], force: bool = False, inputs: list[str] | None = None) -> DataFrame:
+    """fn's result, kept as Parquet under the operator's name and a hash of all its arguments and of what the files below `inputs` are like
+    (their names, sizes and times), so changed input gives a new result; force computes it anew.
+
+    A result is written beside the others and gets its number by one rename when it is whole, so a call that fails leaves what was there,
+    and of two that compute the same, the later finds the earlier's (with force, the later counts). The one before a forced result stays
+    for those that read it; older ones go."""
+    key = hashlib.sha256(json.dumps([args, files_fingerprint(spark, inputs) if inputs else None], sort_keys=True, default=str).encode()).hexdigest()
+    folder = f"{base}/{op}/{key}"
+    there = _published(spark, folder)
+    if force or not there:
+        half = f"{folder}/half-{uuid.uuid4().hex}"
         try:
-            return spark.read.parquet(path)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-    fn().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+            fn().write.parquet(half)
+            now = _published(spark, folder)
+            if force or not now:
+                number = now[-1] + 1 if now else 0
+                rename(spark, half, f"{folder}/{number}")
+                delete(spark, f"{folder}/{number}/{half.rsplit('/', 1)[1]}")  # where another took the number at the same moment
+        finally:
+            delete(spark, half)
+        there = _published(spark, folder)
+        for old in there[:-2]:
+            delete(spark, f"{folder}/{old}")
+    return spark.read.parquet(f"{folder}/{there[-1]}")
 
 
 def open_snapshot(spark: SparkSession, path: str, tables: list[str]) -> dict[str, DataFrame]:

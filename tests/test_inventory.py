@@ -309,3 +309,24 @@ def test_literals_with_comments(spark):
     facts = A.extract_code_facts(spark.createDataFrame([("/c", "s", text)], "path string, source string, text string"))
     assert {r.string[:12] for r in facts["strings"].collect()} == {'n # \\"q\\"', "x # y", 'a \\"b\\" c', "plain", "", "\\u4e2d\\u4e2d"}
     assert facts["method_strings"].count() == 5
+
+
+def test_cache_is_never_half_written_or_stale(spark, tmp_path):
+    base, source = str(tmp_path / "cache"), str(tmp_path / "in")
+    spark.range(3).write.parquet(source)
+    count = lambda force=False: S.cached_result(spark, base, "op", {}, lambda: spark.read.parquet(source), force, [source]).count()
+    assert count() == 3
+    with pytest.raises(ZeroDivisionError):
+        S.cached_result(spark, base, "op", {}, lambda: 1 / 0, True, [source])
+    broken = spark.range(2).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        S.cached_result(spark, base, "op", {}, lambda: broken, True, [source])
+    assert count() == 3 and not list((tmp_path / "cache").rglob("half-*"))
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert count() == 5
+    for _ in range(3):
+        assert count(force=True) == 5
+    assert sorted(len([d for d in p.iterdir() if d.is_dir()]) for p in (tmp_path / "cache" / "op").iterdir()) == [1, 2]
+    other = lambda: S.cached_result(spark, base, "two", {}, lambda: spark.range(1)) and spark.range(9)  # noqa: E731  another call is done before this one
+    assert S.cached_result(spark, base, "two", {}, other).count() == 1
+    assert S.files_fingerprint(spark, [str(tmp_path / "none")]) != S.files_fingerprint(spark, [source])
