@@ -100,6 +100,7 @@ class Encoder:
     """pieces(texts): for each text what the library's result for its parts comes to, in order: their numbers of ids, or the ids as bytes."""
 
     def __init__(self, path: str, kind: str) -> None:
+        self.remembered = REMEMBERED
         self.kind, self.of_ids = kind, _ids_as_bytes if kind == "ids" else _count
         self.known, self.before, self.size = {}, {}, 0
         self.cut, self.text_of, self.between = _cutter(path) or (None, None, None)
@@ -147,7 +148,7 @@ class Encoder:
 
     def _learn(self, keys: set[str]) -> dict:
         """Values of keys that aren't known. A letter and a comma or full stop after it are never one piece, so such words are put together from their parts."""
-        if self.size > REMEMBERED:
+        if self.size > self.remembered:
             self.before, self.known, self.size = self.known, {}, 0
         known = self.known
         found = {}
@@ -222,5 +223,8 @@ def counts(path: str, texts: list[str]) -> list[int]:
     return [sum(x) for x in encoder(path, "count").pieces(texts)]
 
 
-def id_bytes(path: str, texts: list[str]) -> list[bytes]:
-    return [b"".join(x) for x in encoder(path, "ids").pieces(texts)]
+def id_bytes(path: str, texts: list[str], remembered: int = REMEMBERED) -> list[bytes]:
+    """remembered: bytes of words that the task process keeps, in two generations; fewer take longer and give the same ids."""
+    own = encoder(path, "ids")
+    own.remembered = remembered
+    return [b"".join(x) for x in own.pieces(texts)]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm.common import binary_column, new_path, small_batches
-from codelode.llm.encoding import id_bytes
+from codelode.llm.encoding import REMEMBERED, id_bytes
 
 #: Bytes of text that go into one file: the least and the most. Between them a table has about FILES files, above them as many as it takes.
 LEAST_FILE, MOST_FILE, FILES = 32 << 20, 1 << 30, 1024
@@ -22,13 +22,14 @@ PAGE_ROWS = 256
 SCHEMA = "doc_id long, shard int, row long, start_in_shard long, n_tokens long, token_ids array<int>"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_bytes: int | None = None, row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_bytes: int | None = None, row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS, remembered: int = REMEMBERED) -> DataFrame:
     """Encode every whole text of docs(doc_id, text) and write the ids to Parquet files at `path`, in ascending doc_id order over the files.
 
     A row holds doc_id, shard (the file's number; shards ascend with doc_id), row (place in the shard), start_in_shard (ids before it
     in the shard), n_tokens and token_ids. Row groups have about row_group_bytes; pages page_rows rows at most, with their minima and
     maxima in the page index, so a doc_id range reads few pages; ids are dictionary-encoded and bit-packed, the numbers delta-encoded.
     A file takes file_bytes of text; where that isn't given, more the larger the table is (32 MB up to 32 GB, 1 GB from 1 TB on).
+    remembered: bytes of words whose ids a task keeps, see encoding.id_bytes().
 
     Defined cases: a null text is empty; an empty text is the end id alone; rows with equal doc_id are ordered by text, equal rows
     follow each other; null doc_ids come first; an empty table gives no rows; other columns are ignored. The rows go to tasks by ranges
@@ -42,7 +43,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, fi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, row, start = TaskContext.get().partitionId(), 0, 0
         for batch in small_batches(batches, "text", 1 << 20):
-            ids = [x + np.array([end_id], "<u4").tobytes() for x in id_bytes(tokenizer, batch.column("text").to_pylist())]
+            ids = [x + np.array([end_id], "<u4").tobytes() for x in id_bytes(tokenizer, batch.column("text").to_pylist(), remembered)]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             ends = np.cumsum(sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -90,6 +91,6 @@ def digests(tokens: DataFrame) -> DataFrame:
     return starts(tokens).select("doc_id", "start", "token_ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+def token_digests(docs: DataFrame, tokenizer: str, remembered: int = REMEMBERED) -> DataFrame:
     """Write docs as token files in the shared folder and return what reading them back gives; cases as in write_tokens() and digests()."""
-    return digests(write_tokens(docs, new_path(docs.sparkSession, "tokens"), tokenizer))
+    return digests(write_tokens(docs, new_path(docs.sparkSession, "tokens"), tokenizer, remembered=remembered))
