@@ -13,6 +13,9 @@ from codelode.llm import decontamination, mixing, simhash, token_files, toxicity
 from codelode.llm.common import drop_materialized, materialize
 from codelode.llm.queries import KEPT_SHARE, TARGETS
 
+#: Bytes of words that a task of the last stage keeps: half of what it would by itself, as its processes have the earlier stages' memory too.
+REMEMBERED = 32 << 20
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go. The model is fitted on this stage's own input, the documents of the run.
@@ -41,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in doc_id order, null ids first, and what reading them back gives. A null or empty text is the end id alone; repeated
     rows follow each other."""
-    return token_files.token_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.token_digests(docs, public_tokenizers.path("word_bpe_49k.json"), REMEMBERED)
 
 
 STAGES = [
