@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.plans.storage import checkpointed
+from codelode.plans.storage import written
 from codelode.schema import ALL_FLAGS, FRAMEWORK, GRAPH, INTERFACE, PUBLIC
 
 FRAMEWORK_ID = 1
@@ -166,13 +166,13 @@ def build_graph(spark: SparkSession, facts: dict[str, DataFrame], deny: DataFram
     names = reduce(DataFrame.unionByName, (df.select(F.col("source").alias("name")).distinct() for df in facts.values())).distinct()
     if deny is not None:
         names = deny_sources(names, deny)
-    sources = checkpointed(register_source(empty_graph(spark)["sources"], names))
+    sources = written(register_source(empty_graph(spark)["sources"], names), "sources")[0]
     f = {k: stage_named(df, sources) for k, df in facts.items()}
     classes = load_classes(f["classes"])
     classes = add_missing_parents(classes, f["supers"])
     classes = add_missing_interfaces(classes, f["interfaces"])
-    classes = checkpointed(add_missing_callee_classes(classes, f["calls"]))
-    methods = checkpointed(add_missing_callee_methods(resolve_methods(f["methods"], classes), f["calls"], classes))
+    classes = written(add_missing_callee_classes(classes, f["calls"]), "classes")[0]
+    methods = written(add_missing_callee_methods(resolve_methods(f["methods"], classes), f["calls"], classes), "methods")[0]
     fields = resolve_class_fields(f["class_fields"], classes)
     strings = load_strings(f["strings"])
     return {

@@ -175,6 +175,52 @@ def _(t):
     return _calls_by_name(B.build_graph(_spark(t), _some_missing(t)))
 
 
+_MEANS = "CASE WHEN EXISTS (SELECT 1 FROM built o WHERE o.name = n.{0} AND o.source = n.source) THEN n.source ELSE 1 END"
+_OWN_METHOD = "JOIN bm m ON m.class = n.{0} AND m.csource = n.source AND m.name = n.{1} AND m.args = n.{2}"
+#: Whole-graph rows of the other tables, by names.
+_REBUILT_TABLES = {
+    "sources": "SELECT name FROM sources",
+    "supers": f"SELECT DISTINCT n.child, n.parent, z.name AS parent_source, y.name AS source FROM nsupers n JOIN sources y ON y.id = n.source JOIN built k ON k.name = n.child AND k.source = n.source JOIN sources z ON z.id = {_MEANS.format('parent')}",
+    "interfaces": f"SELECT DISTINCT n.class, n.interface, z.name AS interface_source, y.name AS source FROM ninterfaces n JOIN sources y ON y.id = n.source JOIN built k ON k.name = n.class AND k.source = n.source JOIN sources z ON z.id = {_MEANS.format('interface')}",
+    "methods": "SELECT DISTINCT b.class, z.name AS class_source, b.name, b.args FROM bm b JOIN sources z ON z.id = b.csource",
+    "class_fields": "SELECT c.name AS class, z.name AS class_source, f.name, f.ty, f.access_flags FROM class_fields f JOIN classes c ON c.id = f.class JOIN sources z ON z.id = c.source WHERE c.id % 10 <> 9",
+    "strings": "SELECT DISTINCT s.string, z.name AS source FROM strings s JOIN sources z ON z.id = s.source",
+    "method_strings": "SELECT DISTINCT s.string, c.name AS class, z.name AS class_source, m.name AS method, m.args FROM method_strings u JOIN strings s ON s.id = u.string JOIN methods m ON m.id = u.method JOIN classes c ON c.id = m.class JOIN sources z ON z.id = c.source WHERE c.id % 10 <> 9",
+    "method_field_access": f"SELECT DISTINCT n.field_class, z.name AS field_source, n.field_name, n.field_ty, n.method_class, y.name AS method_source, n.method_name, n.method_args, n.action FROM naccess n JOIN sources y ON y.id = n.source {_OWN_METHOD.format('method_class', 'method_name', 'method_args')} JOIN sources z ON z.id = {_MEANS.format('field_class')} "
+    "JOIN classes fc ON fc.name = n.field_class AND fc.source = z.id AND fc.id % 10 <> 9 JOIN class_fields f ON f.class = fc.id AND f.name = n.field_name AND f.ty = n.field_ty",
+}
+
+
+def _by_names(g: dict[str, DataFrame], table: str) -> DataFrame:
+    """A table of a graph with names in place of ids."""
+    s = g["sources"].select(F.col("id").alias("__s"), F.col("name").alias("__source"))
+    c = g["classes"].join(s, F.col("source") == F.col("__s")).select(F.col("id").alias("__c"), F.col("name").alias("__class"), "__source")
+    cls = lambda df, column, name: df.join(c.select(F.col("__c").alias(column), F.col("__class").alias(f"{name}__name"), F.col("__source").alias(f"{name}_source")), column).drop(column).withColumnRenamed(f"{name}__name", name)
+    named = lambda df: df.join(s, df["source"] == s["__s"]).drop("source", "__s").withColumnRenamed("__source", "source")
+    methods = cls(g["methods"], "class", "method_class").select(F.col("id").alias("method"), "method_class", "method_class_source", F.col("name").alias("method_name"), F.col("args").alias("method_args"))
+    if table == "supers":
+        return cls(cls(named(g["supers"]), "parent", "parent"), "child", "child").select("child", "parent", "parent_source", "source")
+    if table == "interfaces":
+        return cls(cls(named(g["interfaces"]), "interface", "interface"), "class", "class").select("class", "interface", "interface_source", "source")
+    if table == "methods":
+        return cls(g["methods"], "class", "class").select("class", "class_source", "name", "args").distinct()
+    if table == "class_fields":
+        return cls(g["class_fields"], "class", "class").select("class", "class_source", "name", "ty", "access_flags")
+    if table == "strings":
+        return named(g["strings"]).select("string", "source")
+    if table == "method_strings":
+        rows = g["method_strings"].join(methods, "method").join(g["strings"].select(F.col("id").alias("string"), F.col("string").alias("text")), "string")
+        return rows.select(F.col("text").alias("string"), F.col("method_class").alias("class"), F.col("method_class_source").alias("class_source"), F.col("method_name").alias("method"), F.col("method_args").alias("args"))
+    if table == "method_field_access":
+        fields = cls(g["class_fields"], "class", "field_class").select(F.col("id").alias("field"), "field_class", F.col("field_class_source").alias("field_source"), F.col("name").alias("field_name"), F.col("ty").alias("field_ty"))
+        return g["method_field_access"].join(methods, "method").join(fields, "field").select("field_class", "field_source", "field_name", "field_ty", "method_class", F.col("method_class_source").alias("method_source"), "method_name", "method_args", "action")
+    return g[table].select("name")
+
+
+for _table, _sql in _REBUILT_TABLES.items():
+    query(f"build_graph_{_table}", f"{_REBUILT} {_sql}")(lambda t, k=_table: _by_names(B.build_graph(_spark(t), _some_missing(t)), k))
+
+
 def _kept_graph(t: Tables) -> dict[str, DataFrame]:
     """The graph kept by a stream that finds some sources first, then the framework among others, and some a second time."""
     spark = _spark(t)

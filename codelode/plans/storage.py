@@ -30,12 +30,6 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/codelode/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once, in the shared folder: cuts lineage and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, what: str = "step", counted: Column | None = None) -> tuple[DataFrame, int, str]:
     """df written once as Parquet to the shared folder: the table as read from there, how many rows it has (of which `counted` is true, if
     given), and its path. Nothing of the plan that made it stays in the plans that read it, and lost executors lose nothing."""
