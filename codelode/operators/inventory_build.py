@@ -9,7 +9,7 @@ from codelode.functions.expr import extension, file_name, from_manifest_name, is
 from codelode.operators.build import stable_id
 from codelode.operators.diff import StoredDiffs
 from codelode.operators.references import bool_of, text_of, with_references
-from codelode.operators.traversal import reached
+from codelode.operators.traversal import inherited
 from codelode.plans.storage import written
 from codelode.schema import FALSE, INVENTORY, TRUE, UNKNOWN
 from codelode.sources.device import attribute, manifest_components, manifest_named, manifest_packages, open_snapshot, save_snapshot
@@ -165,7 +165,7 @@ def build_service_methods(services: DataFrame, constants: DataFrame, methods: Da
 
 def descendants_of_each(g: dict[str, DataFrame], seeds: DataFrame) -> DataFrame:
     """(root, id): every proper descendant of every seed class seeds(id), for all seeds at once; ends on cycles."""
-    return reached(seeds.select(F.col("id").alias("root"), "id").distinct(), g["supers"], "parent", "child", "root")
+    return inherited(g, seeds.select(F.col("id").alias("root"), "id").distinct(), "supers", True, "root")
 
 
 def build_service_impls(g: dict[str, DataFrame], services: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions.expr import squash, to_dotted, to_slashed
+from codelode.operators.hierarchy import LABELLED, related
 from codelode.operators.lookups import Graph, class_specs, get_method_ids, method_specs
 from codelode.plans.storage import written
 from codelode.schema import FRAMEWORK
@@ -138,9 +139,13 @@ def reached(seeds: DataFrame, edges: DataFrame, tip: str, step: str, *keys: str)
         paths.append(path)
 
 
-def closure(seeds: DataFrame, edges: DataFrame, tip: str, step: str) -> DataFrame:
-    """(id): all that can be reached from seeds(id) in one or more edges."""
-    return reached(seeds, edges, tip, step)
+def inherited(g: Graph, seeds: DataFrame, table: str, down: bool, *keys: str) -> DataFrame:
+    """(*keys, id): all that is below or above seeds(*keys, id) along `supers` or `interfaces`: by the graph's labels, if it has any
+    (hierarchy.with_labels), else level by level."""
+    if f"{table}_labels" in g:
+        return related(g[f"{table}_labels"], g[f"{table}_loose"], seeds, down, *keys)
+    ends = LABELLED[table]
+    return reached(seeds, g[table], *(ends if down else ends[::-1]), *keys)
 
 
 def _classes(g: Graph, name: str, source: str | None) -> DataFrame:
@@ -155,18 +160,18 @@ def _class_rows(g: Graph, ids: DataFrame, source: str | None = None) -> DataFram
 
 def find_parents(g: Graph, cls: str, source: str) -> DataFrame:
     """All proper ancestors of one class."""
-    return _class_rows(g, closure(_classes(g, cls, source), g["supers"], "child", "parent"))
+    return _class_rows(g, inherited(g, _classes(g, cls, source), "supers", down=False))
 
 
 def find_children(g: Graph, cls: str, parent_source: str | None = None, child_source: str | None = None) -> DataFrame:
     """All proper descendants of every class of that name, or of that in parent_source; those in child_source alone, if given."""
-    return _class_rows(g, closure(_classes(g, cls, parent_source), g["supers"], "parent", "child"), child_source)
+    return _class_rows(g, inherited(g, _classes(g, cls, parent_source), "supers", down=True), child_source)
 
 
 def find_implementers(g: Graph, iface: str, iface_source: str | None = None, impl_source: str | None = None) -> DataFrame:
     """Classes and interfaces below an interface, and all classes below those."""
-    direct = closure(_classes(g, iface, iface_source), g["interfaces"], "interface", "class")
-    below = closure(direct, g["supers"], "parent", "child")
+    direct = inherited(g, _classes(g, iface, iface_source), "interfaces", down=True)
+    below = inherited(g, direct, "supers", down=True)
     return _class_rows(g, direct.unionByName(below).distinct(), impl_source)
 
 

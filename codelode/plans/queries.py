@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codelode.functions import expr as X
 from codelode.operators import build as B
 from codelode.operators import diff as G
+from codelode.operators import hierarchy as L
 from codelode.operators import inventory as I
 from codelode.operators import inventory_build as E
 from codelode.operators import lookups as C
@@ -145,6 +146,43 @@ def _(t):
     return D.find_implementers(stored(t, "supers", "interfaces"), CLASS, impl_source="framework")
 
 
+# The same by labels.
+
+
+def labelled(t, *names: str) -> dict[str, DataFrame]:
+    return L.with_labels({k: t[k] for k in ("sources", "classes", "supers", "interfaces")}, *names)
+
+
+for _name, _find in {
+    "parents_of": lambda t: D.find_parents(labelled(t, "supers"), "Lp/C75;", "framework"),
+    "children_of": lambda t: D.find_children(labelled(t, "supers"), "Lp/C1;"),
+    "children_child_source": lambda t: D.find_children(labelled(t, "supers"), "Lp/C1;", parent_source="asia", child_source="europe"),
+    "implementers": lambda t: D.find_implementers(labelled(t), CLASS),
+}.items():
+    QUERIES[f"{_name}_labelled"] = lambda spark, sf_dir, find=_find: find(derive.tables(spark, sf_dir))
+    ORACLE_SQL[f"{_name}_labelled"] = ORACLE_SQL[_name]
+
+# Classes with two parents, an edge that closes a cycle, one to itself, and every class as a seed of its own.
+LOOSE = "e(parent, child) AS (SELECT parent, child FROM supers UNION SELECT interface, class FROM interfaces UNION SELECT 40, 5 UNION SELECT 9, 9)"
+
+
+def loose_edges(t) -> DataFrame:
+    spark = t["supers"].sparkSession
+    more = spark.createDataFrame([(40, 5), (9, 9)], "parent long, child long")
+    return t["supers"].select("parent", "child").unionByName(t["interfaces"].select(F.col("interface").alias("parent"), F.col("class").alias("child"))).unionByName(more)
+
+
+@query("labelled_below_each", f"{LOOSE}, r(root, id) AS (SELECT e.parent, e.child FROM e UNION SELECT r.root, e.child FROM r JOIN e ON e.parent = r.id) SELECT root, id FROM r")
+def _(t):
+    seeds = t["classes"].select(F.col("id").alias("root"), "id").unionByName(t["interfaces"].select(F.col("interface").alias("root"), F.col("interface").alias("id"))).unionByName(t["supers"].select(F.col("parent").alias("root"), F.col("parent").alias("id")))
+    return L.related(*L.interval_labels(loose_edges(t), "parent", "child"), seeds, True, "root")
+
+
+@query("labelled_above_each", f"{LOOSE}, r(root, id) AS (SELECT e.child, e.parent FROM e UNION SELECT r.root, e.parent FROM r JOIN e ON e.child = r.id) SELECT root, id FROM r")
+def _(t):
+    return L.related(*L.interval_labels(loose_edges(t), "parent", "child"), t["classes"].select(F.col("id").alias("root"), "id"), False, "root")
+
+
 @query("source_fallback", closure_sql("down", "SELECT id FROM classes WHERE id = 3", "supers", "parent", "child") + " " + class_rows("down"))
 def _(t):
     # the class is known outside the framework alone here, so the first try finds nothing
@@ -522,6 +560,17 @@ def _(t):
     return E.build_service_impls(stored(g, "supers"), services).select("source", "class_name")
 
 
+@query("service_impls_labelled", "i(iface, id) AS (SELECT s.iface, c.id FROM (SELECT DISTINCT iface FROM system_services WHERE iface IS NOT NULL) s JOIN classes c ON c.name = concat('Lp/C', substr(s.iface, 4), ';')), r(root, id) AS (SELECT i.iface, e.child FROM i JOIN supers e ON e.parent = i.id UNION SELECT r.root, e.child FROM r JOIN supers e ON e.parent = r.id) SELECT y.name AS service, s.name AS source, concat('p.', substr(c.name, 4, length(c.name) - 4)) AS class_name FROM r JOIN system_services y ON y.iface = r.root JOIN classes c ON c.id = r.id JOIN sources s ON s.id = c.source WHERE (c.access_flags & 1024) = 0")
+def _(t):
+    # class n stands for the stub of interface n; every service at once
+    services = t["system_services"]
+    stubs = services.where("iface is not null").select(F.concat(F.lit("Lp/C"), F.substring("iface", 4, 20), F.lit(";")).alias("name"), X.to_slashed(F.concat("iface", F.lit("$Stub"))).alias("stub")).distinct()
+    classes = t["classes"].join(stubs, "name", "left").withColumn("name", F.coalesce("stub", "name")).drop("stub")
+    g = L.with_labels({"sources": t["sources"], "supers": t["supers"], "classes": classes}, "supers")
+    rows = E.build_service_impls(g, services).join(services.select(F.col("id").alias("system_service_id"), F.col("name").alias("service")), "system_service_id")
+    return rows.select("service", "source", "class_name")
+
+
 # Inventory lookups.
 
 for _table in ("apks", "receivers", "services", "activities", "providers", "permissions", "system_services", "system_service_methods", "protected_broadcasts", "device_properties", "fuzz_results"):
