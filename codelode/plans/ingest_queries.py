@@ -541,6 +541,18 @@ def _(t):
     return S.find_files(_spark(t), path, kind="dir", min_depth=2, prefix="B=", ignore_case=True).select(F.regexp_extract("path", "a=[^/]*/b=.*$", 0).alias("path"), F.col("depth").cast("int").alias("depth"))
 
 
+@query("find_all_files", "SELECT concat('a=', p_size, '/b=', p_partkey % 3) AS folder, CAST(3 AS INT) AS depth, min(p_name) AS name FROM part GROUP BY 1")
+def _(t):
+    path = new_path(_spark(t), "tree")
+    rows = t["part"].groupBy(F.col("p_size").alias("a"), (F.col("p_partkey") % 3).alias("b")).agg(F.min("p_name").alias("name"))
+    rows.repartition("a").write.partitionBy("a", "b").text(path)
+    found = S.find_files(_spark(t), path, suffix=".txt")
+    kept = _spark(t).read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.rtrim("value", F.lit("\n")).alias("name"))
+    tail = lambda c: F.regexp_extract(c, "a=[^/]*/b=[^/]*/[^/]*$", 0)
+    rows = found.select(tail("path").alias("tail"), "depth").join(kept.select(tail("path").alias("tail"), "name"), "tail")
+    return rows.select(F.regexp_extract("tail", "^(.*)/", 1).alias("folder"), F.col("depth").cast("int").alias("depth"), "name")
+
+
 @query("pattern_list", "SELECT s_name AS pattern FROM supplier WHERE s_suppkey % 3 = 0")
 def _(t):
     line = F.when(F.col("s_suppkey") % 3 == 0, _text("  ", F.col("s_name"), " ")).when(F.col("s_suppkey") % 3 == 1, _text(" # ", F.col("s_name"))).otherwise("  ")

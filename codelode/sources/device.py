@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions.expr import file_path
-from codelode.plans.storage import delete, exists, file_system, listed, rename
+from codelode.plans.storage import delete, exists, file_system, rename
+from codelode.sources.listing import list_tree
 
 _A = "_android:"
 # Kinds of resource files whose entries are plain values.
@@ -151,11 +152,7 @@ def read_probe_results(spark: SparkSession, path: str) -> DataFrame:
 
 def find_files(spark: SparkSession, base: str, kind: str = "file", min_depth: int = 1, max_depth: int | None = None, suffix: str | None = None, prefix: str | None = None, name: str | None = None, ignore_case: bool = False) -> DataFrame:
     """(path, depth) of files (or folders) below base, by depth and name; empty ones too, and at any depth unless max_depth is given. Contents are not read."""
-    root = base.rstrip("/").split("://")[-1]
-    rows = [(path, path[len(root) :].strip("/").count("/") + 1) for path, folder in listed(spark, base) if folder == (kind == "dir")]
-    rows = spark.createDataFrame(rows, "path string, depth int").where(F.col("depth") >= min_depth)
-    if max_depth is not None:
-        rows = rows.where(F.col("depth") <= max_depth)
+    rows = list_tree(spark, base, max_depth).where(F.col("folder") == (kind == "dir")).select("path", "depth").where(F.col("depth") >= min_depth)
     last = F.substring_index("path", "/", -1)
     fold = F.lower if ignore_case else (lambda c: c)
     text = lambda t: F.lit(t.lower() if ignore_case else t)

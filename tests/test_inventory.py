@@ -10,6 +10,7 @@ from codelode.operators import review as H
 from codelode.operators.traversal import NotFound
 from codelode.schema import INVENTORY
 from codelode.sources import device as S
+from codelode.sources.listing import list_tree
 from codelode.sources import facts as A
 from codelode.streaming import streams
 
@@ -56,6 +57,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "/".join(["deep", *"x" * 80])).mkdir(parents=True)
     (tmp_path / "/".join(["deep", *"x" * 80, "far.txt"])).write_text("x")
     assert [r.depth for r in S.find_files(spark, str(tmp_path), name="far.txt").collect()] == [82]
+    # many rounds of few folders find the same as one
+    both = [tuples(list_tree(spark, str(tmp_path), folders=n)) for n in (3, 2000)]
+    assert both[0] == both[1] and len(both[0]) == len(list(tmp_path.rglob("*")))
+    assert {d for _, d, _ in tuples(list_tree(spark, f"file://{tmp_path}", max_depth=2))} == {1, 2}
     (tmp_path / "probe.csv").write_text('s,m,1,0,7,"x"\ns2,m2,0,1\n')
     assert tuples(S.read_probe_results(spark, str(tmp_path / "probe.csv"))) == [("s", "m", True, False), ("s2", "m2", False, True)]
 
