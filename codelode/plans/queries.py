@@ -560,7 +560,7 @@ def _(t):
     return E.build_service_impls(stored(g, "supers"), services).select("source", "class_name")
 
 
-@query("service_impls_labelled", "i(iface, id) AS (SELECT s.iface, c.id FROM (SELECT DISTINCT iface FROM system_services WHERE iface IS NOT NULL) s JOIN classes c ON c.name = concat('Lp/C', substr(s.iface, 4), ';')), r(root, id) AS (SELECT i.iface, e.child FROM i JOIN supers e ON e.parent = i.id UNION SELECT r.root, e.child FROM r JOIN supers e ON e.parent = r.id) SELECT y.name AS service, s.name AS source, concat('p.', substr(c.name, 4, length(c.name) - 4)) AS class_name FROM r JOIN system_services y ON y.iface = r.root JOIN classes c ON c.id = r.id JOIN sources s ON s.id = c.source WHERE (c.access_flags & 1024) = 0")
+@query("service_impls_labelled", "i(iface, id) AS (SELECT s.iface, c.id FROM (SELECT DISTINCT iface FROM system_services WHERE iface IS NOT NULL) s JOIN classes c ON c.name = concat('Lp/C', substr(s.iface, 4), ';')), r(root, id) AS (SELECT i.iface, e.child FROM i JOIN supers e ON e.parent = i.id UNION SELECT r.root, e.child FROM r JOIN supers e ON e.parent = r.id) SELECT DISTINCT y.name AS service, s.name AS source, CASE WHEN c.id IN (SELECT id FROM i) THEN concat('p.I', substr(c.name, 5, length(c.name) - 5), '$Stub') ELSE concat('p.', substr(c.name, 4, length(c.name) - 4)) END AS class_name FROM r JOIN system_services y ON y.iface = r.root JOIN classes c ON c.id = r.id JOIN sources s ON s.id = c.source WHERE (c.access_flags & 1024) = 0")
 def _(t):
     # class n stands for the stub of interface n; every service at once
     services = t["system_services"]
