@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
-import xxhash
+from brute import item_matches, simhash_components, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -19,11 +19,6 @@ from codelode.llm import decontamination, line_dedup, mixing, quality, queries,
 from codelode.llm.common import new_path
 
 SF = "/root/testdata/sf0.001"
-SPACE = str.maketrans("\t\n\x0b\x0c\r", " " * 5)
-
-
-def words(t):
-    return [w for w in (t or "").translate(SPACE).split(" ") if w]
 
 
 @pytest.fixture(scope="module")
@@ -52,55 +47,13 @@ def test_op7(spark, docs):
 def test_op6(spark, docs):
     """Every window of an item's length against every item, by similarity alone: the radius loses none."""
     rows = pq.read_table(f"{SF}/benchmark.parquet").to_pydict()
-    grams = lambda v, k: Counter(tuple(v[j : j + k]) for j in range(len(v) - k + 1))
-    want = set()
-    for item_id, text in zip(rows["item_id"], rows["text"], strict=True):
-        item = words((text or "").lower())
-        k = min(5, len(item))
-        b = grams(item, k)
-        for i, t in docs.items():
-            w = words((t or "").lower())
-            n = min(len(item), len(w))
-            if not item or n < k:
-                continue
-            a, both, best = Counter(), 0, 0.0
-            gram = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
-            for j, g in enumerate(gram):  # a window more on the right, one less on the left
-                a[g] += 1
-                both += a[g] <= b[g]
-                if j >= n - k + 1:
-                    old = gram[j - (n - k + 1)]
-                    both -= a[old] <= b[old]
-                    a[old] -= 1
-                if j >= n - k:
-                    best = max(best, both / (n - k + 1 + len(item) - k + 1 - both))
-            if best >= 0.8:
-                want.add((i, item_id, round(best, 9)))
+    want = item_matches(docs, zip(rows["item_id"], rows["text"], strict=True))
     got = {(r.doc_id, r.item_id, round(r.similarity, 9)) for r in queries.op6_decontamination(spark, SF).collect()}
     assert got == want and len(want) > 2
 
 
 def test_op9(spark, docs):
-    prints = {}
-    for i, t in docs.items():
-        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        h = [xxhash.xxh64_intdigest(" ".join(w[j : j + 3]).encode(), 42) for j in range(max(1, len(w) - 2))] if w else []
-        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-    root = {i: i for i in prints}
-
-    def of(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(prints)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = sorted((of(a), of(b)))
-                root[y] = x
-    want = {i: (f"{prints[i]:016x}", of(i)) for i in ids}
-    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op9_simhash(spark, SF).collect()} == want
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op9_simhash(spark, SF).collect()} == simhash_components(docs)
 
 
 def test_op3_and_op5_and_op10_give_every_document(spark, docs):
