@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions.expr import method_key, tri_from_bool
-from codelode.plans.storage import delete, exists, file_system, written
+from codelode.plans.storage import delete, exists, file_system, together, written
 from codelode.schema import UNKNOWN
 
 EMULATOR = "emulator"
@@ -107,17 +107,21 @@ def diff_all(inv: dict[str, DataFrame], other: dict[str, DataFrame], source: str
 
 
 def add_diff_source(base: str, diffs: dict[str, DataFrame], name: str) -> None:
-    """Write a source's diffs, a folder for each table and source. If one fails, all that this call has written is taken away again, half
+    """Write a source's diffs, a folder for each table and source, within it one for each of at most OWNER_FOLDERS groups of owners. If one fails, all that this call has written is taken away again, half
     written or whole; a source that is there is an error and stays."""
     begun = []
+
+    def write(table: str) -> None:
+        df, path = diffs[table], f"{base}/{table}/diff_source={name}"
+        if exists(df.sparkSession, path):
+            raise FileExistsError(f"{path} already exists")
+        begun.append((df.sparkSession, path))
+        rows = df.drop("diff_source")
+        (rows.hint("rebalance", "owner").write.partitionBy("owner") if "owner" in rows.columns else rows.write).parquet(path)
+
     try:
-        for table, df in diffs.items():
-            path = f"{base}/{table}/diff_source={name}"
-            if exists(df.sparkSession, path):
-                raise FileExistsError(f"{path} already exists")
-            begun.append((df.sparkSession, path))
-            rows = df.drop("diff_source")
-            (rows.repartition("owner").write.partitionBy("owner") if "owner" in rows.columns else rows.write).parquet(path)
+        if diffs:
+            together(next(iter(diffs.values())).sparkSession, {table: partial(write, table) for table in diffs})
     except BaseException:
         for spark, path in begun:
             delete(spark, path)
@@ -142,15 +146,24 @@ _KEYS = {"system_service_methods": "method", "permissions": "permission"}
 #: The column of a table that says whose a row is: a package's or a service's.
 PACKAGE_OWNERS = {"apks": "id", "receivers": "apk_id", "activities": "apk_id", "services": "apk_id", "providers": "apk_id", "permissions": "source_apk_id"}
 SERVICE_OWNERS = {"system_services": "id", "system_service_methods": "system_service_id"}
+#: Folders that the owners of a table share, so that the number of files doesn't grow with that of owners; up to so many owners with
+#: ids in sequence have a folder each.
+OWNER_FOLDERS = 32
+
+
+def owner_folder(owner: Column) -> Column:
+    return F.pmod(owner, F.lit(OWNER_FOLDERS).cast("long")).cast("int")
 
 
 def owned(diffs: dict[str, DataFrame], inv: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Diffs of inv's tables with owner, the package's or service's id; tables that nobody owns stay as they are."""
+    """Diffs of inv's tables with owned_by, the package's or service's id, and owner, the number of the folder that it shares; tables that
+    nobody owns stay as they are."""
     out = dict(diffs)
     for table, column in (PACKAGE_OWNERS | SERVICE_OWNERS).items():
         if table in diffs:
             item = _KEYS.get(table, "item")
-            out[table] = diffs[table].join(inv[table].select(F.col("id").alias(item), F.col(column).alias("owner")), item)
+            owner = F.col(column).cast("long")
+            out[table] = diffs[table].join(inv[table].select(F.col("id").alias(item), owner.alias("owned_by"), owner_folder(owner).alias("owner")), item)
     return out
 
 
@@ -168,26 +181,35 @@ class StoredDiffs:
     others: Callable[[str], dict[str, DataFrame]]
 
     def store(self, inv: dict[str, DataFrame], name: str) -> None:
-        """Add a source: every table's diff, a folder for each owner; all or nothing."""
+        """Add a source: every table's diff, in folders of owners; all or nothing."""
         add_diff_source(self.base, owned(diff_all(inv, self.others(name), name), inv), name)
 
     def refresh(self, inv: dict[str, DataFrame], package: int | None = None, service: int | None = None) -> None:
         """Make one package's or service's diffs anew against every source that is recorded; inv is the inventory as it is now.
 
-        Only that owner's folders are written, each replaced when its rows are there, or deleted if there are none; a refresh that failed
-        half way is put right by another. A package's refresh leaves services alone, and a service's packages."""
+        Only that owner's folders are written, with the rows of the owners that share them as they were, each replaced when its rows are
+        there, or deleted if there are none; a refresh that failed half way is put right by another. A package's refresh leaves services
+        alone, and a service's packages."""
         owners, owner = (PACKAGE_OWNERS, package) if service is None else (SERVICE_OWNERS, service)
         own = inv | {t: inv[t].where(F.col(c) == owner) for t, c in owners.items()}
         spark = inv["apks"].sparkSession
         for name in recorded_sources(spark, self.base):
             diffs = owned(diff_all(own, self.others(name), name, services=service is not None, apks=service is None), own)
-            for table in owners:
-                rows, n, path = written(diffs[table], "refreshed")
-                if n:
-                    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("diff_source", "owner").parquet(f"{self.base}/{table}")
-                else:
-                    delete(spark, f"{self.base}/{table}/diff_source={name}/owner={owner}")
-                delete(spark, path)
+            together(spark, {table: partial(self._replace, table, name, owner, diffs[table]) for table in owners})
+
+    def _replace(self, table: str, name: str, owner: int, now: DataFrame) -> None:
+        """One owner's rows of a table and source replaced, in the folder that it shares with others."""
+        spark, folder = now.sparkSession, owner % OWNER_FOLDERS
+        shared = f"{self.base}/{table}/diff_source={name}/owner={folder}"
+        if exists(spark, shared):
+            theirs = spark.read.schema(now.drop("diff_source", "owner").schema).parquet(shared).where(F.col("owned_by") != owner)
+            now = now.unionByName(theirs.withColumns({"diff_source": F.lit(name), "owner": F.lit(folder)}))
+        rows, n, path = written(now, "refreshed")
+        if n:
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("diff_source", "owner").parquet(f"{self.base}/{table}")
+        else:
+            delete(spark, shared)
+        delete(spark, path)
 
 
 def diffed(items: DataFrame, diffs: DataFrame, table: str = "", source: str | None = None, apk_id: int | None = None, service_id: int | None = None) -> DataFrame:

@@ -12,15 +12,13 @@ one rename, the list of those that count from now on: a batch that fails has cha
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.operators.build import FRAMEWORK_ID, load_classes, register_source, stable_id, stage_named
-from codelode.plans.storage import delete, exists, rename, written
+from codelode.plans.storage import delete, exists, rename, together, written
 from codelode.schema import GRAPH, INTERFACE, PUBLIC
 
 #: What is kept besides the graph's own tables: facts with class ids and keys in place of names, of every source that has arrived.
@@ -67,13 +65,6 @@ def _table(spark: SparkSession, path: str, name: str, live: DataFrame | None) ->
     return rows.join(live.where(F.col("table") == name).select("source", "batch"), ["source", "batch"], "left_semi").drop("batch")
 
 
-def _together(spark: SparkSession, jobs: dict[str, Callable]) -> dict:
-    """What each job gives; they run beside each other, as none needs another's."""
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        running = {k: pool.submit(inheritable_thread_target(spark)(job)) for k, job in jobs.items()}
-        return {k: r.result() for k, r in running.items()}
-
-
 class _Batch:
     """What a batch reads (as it was before) and writes."""
 
@@ -184,7 +175,7 @@ def load_sources(spark: SparkSession, path: str, facts: dict[str, DataFrame], ba
     f = {k: stage_named(df, new) for k, df in facts.items()}
     own = new.select(F.col("id").alias("source"))
     real = b.put("real_classes", load_classes(f["classes"]), own)
-    now = _together(spark, {k: partial(b.put, k, df, own) for k, df in _keyed(f, real).items()})
+    now = together(spark, {k: partial(b.put, k, df, own) for k, df in _keyed(f, real).items()})
     both = lambda k: b.before(k).unionByName(now[k])
     framework = F.col("source") == FRAMEWORK_ID
     lit_framework = F.lit(FRAMEWORK_ID).cast("long")
@@ -233,7 +224,7 @@ def load_sources(spark: SparkSession, path: str, facts: dict[str, DataFrame], ba
     m = under.select(F.col("key").alias("method_key"), F.col("id").alias("method"))
     fields = existing("named_fields").select(F.col("id").alias("field"))
     edges = lambda *a: partial(_remet, b, *a)
-    _together(spark, {
+    together(spark, {
         "calls": edges("met_calls", "named_calls", now["named_calls"], {"caller_key": changed, "callee_key": changed}, met_calls),
         "access": edges("met_access", "named_access", now["named_access"], {"method_key": changed, "field": brought("named_fields").select(F.col("id").alias("value")).distinct()}, lambda rows: rows.join(m, "method_key").join(fields, "field", "left_semi").select("field", "method", "action", "method_key", "source")),
         "strings": edges("met_method_strings", "named_method_strings", now["named_method_strings"], {"method_key": changed}, lambda rows: rows.join(m, "method_key").select("string", "method", "method_key", "source")),

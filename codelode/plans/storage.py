@@ -7,8 +7,10 @@ import shutil
 import tempfile
 import uuid
 from collections import ChainMap
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,13 @@ def stored(tables: Mapping[str, DataFrame], *names: str) -> Mapping[str, DataFra
     return ChainMap({k: written(tables[k], k)[0] for k in names}, tables)
 
 
+def together(spark: SparkSession, jobs: Mapping[str, Callable]) -> dict:
+    """What each job gives; they run beside each other, as none needs another's. If one fails, the others end first."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = {k: pool.submit(inheritable_thread_target(spark)(job)) for k, job in jobs.items()}
+    return {k: r.result() for k, r in running.items()}
+
+
 def file_system(spark: SparkSession, path: str):
     """The file system of a path, and the path for it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

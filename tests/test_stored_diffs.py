@@ -51,3 +51,32 @@ def test_refresh(spark, tmp_path):
     assert stored(spark, base, "system_service_methods") == whole(now, others, "system_service_methods")
     after = files(base)
     assert all(f"/owner={service}/" in p and p.startswith("system_") for p in {*left, *after} if left.get(p) != after.get(p))
+
+
+def test_owners_share_folders(spark, tmp_path, monkeypatch):
+    """The number of files doesn't grow with that of owners, and a refresh leaves those alone that share the owner's folders."""
+    monkeypatch.setattr(G, "OWNER_FOLDERS", 3)
+    inv, other = both(tables(spark, "/root/testdata/sf0.001"))
+    others = {"emulator": other, "itself": dict(inv)}
+    base = str(tmp_path / "diffs")
+    diffs = G.StoredDiffs(base, others.__getitem__)
+    for name in others:
+        diffs.store(inv, name)
+    folders = [p for p in Path(base).rglob("owner=*")]
+    assert len({p.name for p in folders}) == 3 and inv["apks"].count() > 3
+    now = E.replace_apk(dict(inv), {"apks": inv["apks"], "receivers": inv["receivers"].withColumn("permission", F.lit("new"))}, 4, force=True, diffs=diffs)
+    for table in ("apks", "receivers", "activities", "services", "providers", "permissions"):
+        assert stored(spark, base, table) == whole(now, others, table), table
+
+
+def test_negative_owner(spark, tmp_path):
+    """Ids are hashes in a built inventory: a negative one is stored and replaced as any other."""
+    inv, other = both(tables(spark, "/root/testdata/sf0.001"))
+    inv = dict(inv) | {"apks": inv["apks"].withColumn("id", -F.col("id") - 100)}
+    inv |= {t: inv[t].withColumn("apk_id", -F.col("apk_id") - 100) for t in ("receivers", "activities", "services", "providers")}
+    others = {"emulator": other}
+    diffs = G.StoredDiffs(str(tmp_path / "diffs"), others.__getitem__)
+    diffs.store(inv, "emulator")
+    now = E.replace_apk(inv, {"apks": inv["apks"], "receivers": inv["receivers"].withColumn("permission", F.lit("new"))}, -103, force=True, diffs=diffs)
+    for table in ("apks", "receivers", "activities"):
+        assert stored(spark, diffs.base, table) == whole(now, others, table), table
