@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,14 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from codelode.llm.common import binary_column, small_batches
+from codelode.llm.common import binary_column, drop_materialized, materialize, small_batches
 from codelode.llm.wordhash import word_hashes
 
 #: Groups of words (by hash) whose shares of a text are its features.
 DIMENSIONS = 1024
-#: Documents that the topics are fitted on, about; only their features come to the driver (2 kB each). Every document gets its topic.
+#: Documents that the first centres are chosen from, about; only their features come to the driver (2 kB each). From there on all documents count.
 SAMPLE = 4000
 ROUNDS = 25
+#: Rounds over all documents; features are kept as 16-bit integers of this scale, so that sums over them are the same in any order.
+WHOLE_ROUNDS, SCALE = 4, 1 << 14
+#: Rows whose sums of such integers a float32 holds exactly.
+_EXACT = 512
 
 
 def features(words: np.ndarray) -> np.ndarray:
@@ -72,7 +76,7 @@ def lang_of(docs: DataFrame) -> Column:
     return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
 
-def fit(docs: DataFrame, topics: int, sample: int = SAMPLE) -> Topics:
+def _first(docs: DataFrame, topics: int, sample: int) -> Topics:
     """Topics of about `sample` documents with words, picked by a hash of id and text, twice as many at most.
 
     Null and blank texts take no part; equal rows are picked together, each counted; of more than 2 * sample rows picked, as many repeats of
@@ -93,6 +97,86 @@ def fit(docs: DataFrame, topics: int, sample: int = SAMPLE) -> Topics:
     return cluster(x[some], [r[1] for r, s in zip(found, some, strict=True) if s], topics)
 
 
+def _all_features(docs: DataFrame) -> DataFrame:
+    """(lang, x) of every document with words, written to the shared folder."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            x = [np.rint(features(word_hashes(t.as_py(), lower=True)) * SCALE).astype("<i2") for t in binary_column(batch.column("text"))]
+            some = pa.array([bool(r.any()) for r in x], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"]).filter(some)
+
+    return materialize(docs.select("text", lang_of(docs).alias("lang")).where(F.col("text").isNotNull()).mapInArrow(run, "lang string, x binary"), "features")
+
+
+def _sums(rows: DataFrame, group: Callable[[np.ndarray, list[str | None]], tuple[np.ndarray, list]]) -> DataFrame:
+    """(k, n, total) over rows(lang, x): how many rows have the key k, and the sum of their features. group: features as integers and langs to
+    what is summed and the keys. A task adds up its rows; one row a task and key meets in a task."""
+    def add(totals: dict, k: str, n: int, total: np.ndarray) -> None:
+        was = totals.get(k, (0, 0))
+        totals[k] = (was[0] + n, was[1] + total)
+
+    def batch_of(totals: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([n for n, _ in totals.values()], pa.int64()), pa.array([t.astype("<i8").tobytes() for _, t in totals.values()], pa.binary())], ["k", "n", "total"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, _EXACT):
+                part = batch.slice(at, _EXACT)
+                x, keys = group(np.frombuffer(b"".join(part.column("x").to_pylist()), "<i2").reshape(-1, DIMENSIONS).astype(np.float32), part.column("lang").to_pylist())
+                names, own = np.unique(np.array(keys), return_inverse=True)
+                added = (np.arange(len(names))[:, None] == own).astype(np.float32) @ x
+                for k, n, total in zip(names.tolist(), np.bincount(own).tolist(), added.astype(np.int64), strict=True):
+                    add(totals, str(k), n, total)
+            if len(totals) > 1000:
+                yield batch_of(totals)
+                totals = {}
+        if totals:
+            yield batch_of(totals)
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(t, "<i8") for t in table.column("total").to_pylist())
+        return pa.table({"k": table.column("k").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "k string, n long, total binary"
+    return rows.mapInArrow(run, schema).groupBy("k").applyInArrow(merge, schema)
+
+
+def fit(docs: DataFrame, topics: int, sample: int = SAMPLE) -> Topics:
+    """Topics of all documents with words: mean features by language (of those with 50 rows at least) and k-means, in WHOLE_ROUNDS rounds over
+    all of them at most. The first centres alone come from a sample, as _first() picks it.
+
+    Null and blank texts take no part; no rows give no topics; other columns are ignored. A number a topic or language and dimension comes
+    to the driver in a round."""
+    found = _first(docs, topics, sample)
+    rows = _all_features(docs)
+    whole = lambda r: np.frombuffer(r.total, "<i8")
+    sums = _sums(rows, lambda x, langs: (x, ["all"] * len(langs))).collect()
+    if not sums or not len(found.centres):
+        drop_materialized(rows)
+        return found
+    means: dict[str | None, np.ndarray] = {None: np.rint(whole(sums[0]) / sums[0].n)}
+    means |= {r.k[1:]: np.rint(whole(r) / r.n) for r in _sums(rows.where("lang <> ''"), lambda x, langs: (x, [f"={lang}" for lang in langs])).where("n >= 50").collect()}
+    centres = found.centres * SCALE
+    for _ in range(WHOLE_ROUNDS):
+        known = docs.sparkSession.sparkContext.broadcast((means, centres.astype(np.float32)))  # of fixed size
+
+        def nearest(x: np.ndarray, langs: list[str | None]) -> tuple[np.ndarray, list]:
+            mean, centre = known.value  # noqa: B023
+            rest = (x - np.stack([mean.get(lang, mean[None]) for lang in langs])).astype(np.float32)
+            return rest, (rest @ centre.T - (centre**2).sum(axis=1) / 2).argmax(axis=1).tolist()
+
+        after = centres.copy()
+        for r in _sums(rows, nearest).collect():
+            after[int(r.k)] = whole(r) / r.n
+        known.unpersist()
+        moved, centres = np.abs(after - centres).max(), after
+        if moved < SCALE * 1e-4:
+            break
+    drop_materialized(rows)
+    return Topics({k: (m / SCALE).astype(np.float32) for k, m in means.items()}, (centres / SCALE).astype(np.float32))
+
+
 def assigned(docs: DataFrame, topics: Topics) -> DataFrame:
     """docs with __topic (t0, t1, ...; null for a text without words) and __words, the number of words; one pass, whole texts."""
     known = docs.sparkSession.sparkContext.broadcast(topics)  # of fixed size

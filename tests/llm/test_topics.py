@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from codelode.llm import mixing, topics
+from codelode.llm.wordhash import word_hashes
 
 TARGETS = {"lang": {"en": 1.0}, "topic": {"law": 0.8, "art": 0.2}}
 
@@ -79,3 +81,16 @@ def test_margins_that_cannot_be_met_end(spark):
     got = mixing.mix(docs, {"lang": {"en": 0.9, "de": 0.1}, "source": {"a": 0.2, "b": 0.8}}, 0.5).collect()
     assert len(got) == 40 and all(0 <= x.probability <= 1 for x in got)
     assert abs(sum(x.probability for x in got) / 40 - 0.5) < 1e-9
+
+
+def test_all_documents_count(spark):
+    """Means and centres are those of all documents, not of the sample that the first centres come from."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choices([f"{'ab'[i % 2]}{j}" for j in range(20)], k=30)), "en") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = topics.fit(docs, 2, sample=40)
+    x = np.stack([topics.features(word_hashes(t.encode(), lower=True)) for _, t, _ in rows])
+    assert np.abs(model.means["en"] - x.mean(axis=0)).max() < 1e-4
+    own = model.of(x, ["en"] * len(x))
+    for k in range(2):
+        assert np.abs(model.centres[k] - (x[own == k] - x.mean(axis=0)).mean(axis=0)).max() < 1e-3
