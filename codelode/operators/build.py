@@ -5,12 +5,12 @@ A name means the class of that name in its own source, else the framework's. Fac
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.plans.storage import written
+from codelode.plans.storage import together, written
 from codelode.schema import ALL_FLAGS, FRAMEWORK, GRAPH, INTERFACE, PUBLIC
 
 FRAMEWORK_ID = 1
@@ -72,6 +72,7 @@ def unknown_classes(names: DataFrame, classes: DataFrame) -> DataFrame:
     """Distinct names(name, source) that neither the source nor the framework has."""
     own = classes.select("name", "source")
     framework = classes.where(F.col("source") == FRAMEWORK_ID).select("name")
+    names = names.distinct()  # before the joins: a name is there once a fact
     return names.join(own, ["name", "source"], "left_anti").join(framework, "name", "left_anti").select("name").where("name is not null").distinct()
 
 
@@ -162,7 +163,10 @@ def resolve_method_strings(uses: DataFrame, strings: DataFrame, methods: DataFra
 
 
 def build_graph(spark: SparkSession, facts: dict[str, DataFrame], deny: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The whole graph from named facts with a source name column. Missing classes of all kinds are added to the framework before anything is resolved."""
+    """The whole graph from named facts with a source name column. Missing classes of all kinds are added to the framework before anything is resolved.
+
+    Facts are written once, as they are read for the sources, for what is missing, and for their own table."""
+    facts = {k: rows for k, (rows, _, _) in together(spark, {k: partial(written, df, k) for k, df in facts.items()}).items()}
     names = reduce(DataFrame.unionByName, (df.select(F.col("source").alias("name")).distinct() for df in facts.values())).distinct()
     if deny is not None:
         names = deny_sources(names, deny)
