@@ -11,18 +11,28 @@ from codelode.sources.device import attribute, manifest_attributes
 _IS_REFERENCE = "^@[^/]*/"
 
 
-def _doubled(rows: DataFrame, settled: DataFrame) -> tuple[DataFrame, int]:
-    """rows(package, key, to, text, open) with every open row's pointer replaced by its target's, until none is open or every chain without
-    a cycle must have ended: the rounds grow with the logarithm of the longest chain. How many rows are open still."""
+def _id(package: Column | str, key: Column | str) -> Column:
+    """What stands for an entry in the rounds, which shuffle nothing else: 16 bytes instead of its names."""
+    package = F.col(package) if isinstance(package, str) else package
+    return F.unhex(F.md5(F.concat(F.length(package).cast("string"), F.lit(":"), package, key if isinstance(key, Column) else F.col(key))))
+
+
+def _doubled(rows: DataFrame, plain: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(id, end) of rows(id, to, end, open) that come to an end, where every open row's pointer is replaced by its target's, until none is
+    open or every chain without a cycle must have ended: the rounds grow with the logarithm of the longest chain. A round writes the rows
+    that were open alone. Then the rows (id, to) that are open still, and how many."""
     rows, left, _ = written(rows, "references", F.col("open"))
+    done = rows.where("not open").select("id", "end")
+    ended = plain.select(F.col("id").alias("to"), F.lit(None).cast("binary").alias("__to"), F.col("id").alias("__end"), F.lit(False).alias("__open"))
     steps, most = 1, left
     while left and steps <= most:
-        nodes = rows.select("package", F.col("key").alias("to"), F.col("to").alias("__to"), F.col("text").alias("__text"), F.col("open").alias("__open"))
-        nodes = nodes.unionByName(settled.select("package", F.col("key").alias("to"), F.lit(None).cast("string").alias("__to"), F.col("text").alias("__text"), F.lit(False).alias("__open")))
-        moved = rows.where("open").join(nodes, ["package", "to"]).select("package", "key", F.col("__to").alias("to"), F.col("__text").alias("text"), F.col("__open").alias("open"))
-        rows, left, _ = written(rows.where("not open").unionByName(moved), "references", F.col("open"))
+        nodes = rows.where("open").select(F.col("id").alias("to"), F.col("to").alias("__to"), F.lit(None).cast("binary").alias("__end"), F.lit(True).alias("__open")).unionByName(ended)
+        nodes = nodes.unionByName(done.select(F.col("id").alias("to"), F.lit(None).cast("binary").alias("__to"), F.col("end").alias("__end"), F.lit(False).alias("__open")))
+        moved = rows.where("open").join(nodes, "to").select("id", F.col("__to").alias("to"), F.col("__end").alias("end"), F.col("__open").alias("open"))
+        rows, left, _ = written(moved, "references", F.col("open"))
+        done = done.unionByName(rows.where("not open").select("id", "end"))
         steps *= 2
-    return rows, left
+    return done, rows.where("open").select("id", "to"), left
 
 
 def close_resources(resources: DataFrame) -> DataFrame:
@@ -33,23 +43,25 @@ def close_resources(resources: DataFrame) -> DataFrame:
     comes back to it. Of repeated entries the smallest value counts."""
     key = F.concat_ws("/", "kind", "name")
     entries = resources.where("package is not null and kind is not null and name is not null").groupBy("package", key.alias("key")).agg(F.min("value").alias("value"))
-    entries, _, _ = written(entries, "resources")
+    entries, _, _ = written(entries.withColumn("id", _id("package", "key")), "resources")
     refers = F.coalesce(F.col("value").rlike(_IS_REFERENCE), F.lit(False))
-    plain = entries.where(~refers).select("package", "key", F.col("value").alias("text"))
-    first = entries.where(refers).select("package", "key", F.expr("substring(value, 2)").alias("to"))
+    plain = entries.where(~refers)
+    first = entries.where(refers).select("package", "key", "id", F.expr("substring(value, 2)").alias("target"))
     kinds = entries.select("package", F.substring_index("key", "/", 1).alias("__kind"), F.lit(True).alias("__has")).distinct()
-    there = entries.select("package", F.col("key").alias("to"), F.lit(True).alias("__found"))
-    rows = first.withColumn("__kind", F.substring_index("to", "/", 1)).join(kinds, ["package", "__kind"], "left").join(there, ["package", "to"], "left")
-    as_it_is = F.concat(F.lit("@"), "to")
-    rows = rows.select("package", "key", "to", F.when(F.col("__has").isNull(), as_it_is).alias("text"), F.col("__found").isNotNull().alias("open"))
-    rows, left = _doubled(rows, plain)
-    out = plain.unionByName(rows.where("not open").select("package", "key", "text"))
+    there = entries.select(F.col("id").alias("to"), F.lit(True).alias("__found"))
+    first = first.withColumns({"__kind": F.substring_index("target", "/", 1), "to": _id("package", "target")}).join(kinds, ["package", "__kind"], "left").join(there, "to", "left")
+    # the text of a reference that a chain ends with: itself, or none where an entry of a kind that the package has is missing
+    itself = F.when(F.col("__has").isNull() | F.col("__found").isNotNull(), F.concat(F.lit("@"), "target"))
+    first, _, _ = written(first.select("package", "key", "id", "to", itself.alias("text"), F.col("__found").isNotNull().alias("open")), "references")
+    done, still, left = _doubled(first.select("id", "to", F.when(~F.col("open"), F.col("id")).alias("end"), "open"), plain)
     if left:  # after so many steps every open pointer has come to lie on a cycle, and together they lie on all of it
-        cycles = rows.where("open").select("package", "to").distinct().withColumn("__cycle", F.lit(True))
-        again = rows.where("open").select("package", "key").join(first, ["package", "key"]).join(cycles, ["package", "to"], "left")
-        again = again.select("package", "key", "to", F.when(F.col("__cycle"), as_it_is).alias("text"), F.col("__cycle").isNull().alias("open"))
-        out = out.unionByName(_doubled(again, plain)[0].select("package", "key", "text"))
-    return out
+        cycles = still.select("to").distinct().withColumn("__cycle", F.lit(True))
+        again = still.select("id").join(first.select("id", "to"), "id").join(cycles, "to", "left")
+        again = again.select("id", "to", F.when(F.col("__cycle"), F.col("id")).alias("end"), F.col("__cycle").isNull().alias("open"))
+        done = done.unionByName(_doubled(again, plain)[0])
+    texts = plain.select(F.col("id").alias("end"), F.col("value").alias("text")).unionByName(first.select(F.col("id").alias("end"), "text"))
+    found = done.join(texts, "end").select("id", "text")
+    return plain.select("package", "key", F.col("value").alias("text")).unionByName(first.select("package", "key", "id").join(found, "id").select("package", "key", "text"))
 
 
 def _texts() -> Column:
