@@ -4,6 +4,7 @@ import shutil
 
 from codelode.operators import build as B
 from codelode.operators import references as R
+from codelode.plans import ingest_queries as Q
 from codelode.plans.storage import written
 from codelode.schema import GRAPH
 from test_incremental import frames, random_facts, rows
@@ -37,3 +38,16 @@ def test_rounds_write_open_rows_alone(spark, monkeypatch):
     assert found["string/c0"] == "end" and found["string/a7"] == "text" and len(found) == 2041
     rounds = [n for what, n in seen if what == "references"]
     assert len(rounds) > 5 and all(n <= 40 for n in rounds[3:])
+
+
+def test_tasks_name_files_themselves(spark, monkeypatch):
+    """Nothing is renamed by the driver, however many files there are, and folders are named as Spark names them."""
+    def renamed(*_):
+        raise AssertionError("a file for each row must not be a call of the driver for each")
+
+    monkeypatch.setattr(Q, "rename", renamed)
+    keys = ["plain", "middle east", "%system%app%S1.apk", 'a=b:c"d#e', "[x]^{y\\", "größe"]
+    df = spark.createDataFrame([(k, f"line of {i}\nend") for i, k in enumerate(keys)], "k string, text string")
+    path = Q._files(df, "one.txt")
+    found = {r.k: r.value for r in spark.read.text(path, wholetext=True).select("k", "value").collect()}
+    assert found == {k: f"line of {i}\nend\n" for i, k in enumerate(keys)}
