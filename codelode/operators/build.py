@@ -5,6 +5,7 @@ A name means the class of that name in its own source, else the framework's. Fac
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -162,35 +163,68 @@ def resolve_method_strings(uses: DataFrame, strings: DataFrame, methods: DataFra
     return rows.select(F.col("string_id").alias("string"), F.col("method_id").alias("method")).distinct()
 
 
-def build_graph(spark: SparkSession, facts: dict[str, DataFrame], deny: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The whole graph from named facts with a source name column. Missing classes of all kinds are added to the framework before anything is resolved.
+#: What a table is made of besides its own facts and the classes: the other tables, and the facts of other kinds.
+NEEDED = {
+    "calls": ("methods",),
+    "method_field_access": ("class_fields", "methods"),
+    "method_strings": ("strings", "methods"),
+    "methods": ("calls",),
+}
 
-    Facts are written once, as they are read for the sources, for what is missing, and for their own table."""
+
+def _used(tables: Iterable[str]) -> tuple[set[str], set[str]]:
+    """The kinds of facts that tables are made of whole, and those of which the classes need names alone."""
+    whole, waiting = set(), list(tables)
+    while waiting:
+        k = waiting.pop()
+        if k not in whole and k not in ("sources", "classes"):
+            whole.add(k)
+            waiting += NEEDED.get(k, ())
+    classes = any(k not in ("sources", "strings") for k in tables)
+    return whole | ({"classes"} if classes else set()), {"supers", "interfaces", "calls"} - whole if classes else set()
+
+
+#: The names that missing classes come from.
+_NAMES = {"supers": "parent", "interfaces": "interface", "calls": "callee_class"}
+
+
+def build_graph(spark: SparkSession, facts: dict[str, DataFrame], deny: DataFrame | None = None, tables: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """The graph from named facts with a source name column, all of it or the `tables` asked for. Missing classes of all kinds are added to the
+    framework before anything is resolved.
+
+    Facts are written once, as they are read for the sources, for what is missing, and for their own table. Of facts that no table asked for
+    is made of, only the distinct sources (and the names that classes may be missing by) are."""
+    tables = list(GRAPH) if tables is None else list(tables)
+    whole, names_of = _used(tables)
+    columns = {k: df.columns if k in whole else [_NAMES[k], "source"] if k in names_of else ["source"] for k, df in facts.items()}
+    facts = {k: df if k in whole else df.select(*columns[k]).distinct() for k, df in facts.items()}
     facts = {k: rows for k, (rows, _, _) in together(spark, {k: partial(written, df, k) for k, df in facts.items()}).items()}
     names = reduce(DataFrame.unionByName, (df.select(F.col("source").alias("name")).distinct() for df in facts.values())).distinct()
     if deny is not None:
         names = deny_sources(names, deny)
-    sources = written(register_source(empty_graph(spark)["sources"], names), "sources")[0]
-    f = {k: stage_named(df, sources) for k, df in facts.items()}
-    classes = load_classes(f["classes"])
-    classes = add_missing_parents(classes, f["supers"])
-    classes = add_missing_interfaces(classes, f["interfaces"])
-    classes = written(add_missing_callee_classes(classes, f["calls"]), "classes")[0]
-    methods = written(add_missing_callee_methods(resolve_methods(f["methods"], classes), f["calls"], classes), "methods")[0]
-    fields = resolve_class_fields(f["class_fields"], classes)
-    strings = load_strings(f["strings"])
-    return {
-        "sources": sources,
-        "classes": classes,
-        "methods": methods,
-        "supers": resolve_supers(f["supers"], classes),
-        "interfaces": resolve_interfaces(f["interfaces"], classes),
-        "calls": resolve_calls(f["calls"], methods, classes),
-        "class_fields": fields,
-        "method_field_access": resolve_field_access(f["method_field_access"], fields, methods, classes),
-        "strings": strings,
-        "method_strings": resolve_method_strings(f["method_strings"], strings, methods, classes),
+    out = {"sources": written(register_source(empty_graph(spark)["sources"], names), "sources")[0]}
+    f = {k: stage_named(df, out["sources"]) for k, df in facts.items()}
+    if "classes" in whole:
+        classes = load_classes(f["classes"])
+        classes = add_missing_parents(classes, f["supers"])
+        classes = add_missing_interfaces(classes, f["interfaces"])
+        out["classes"] = classes = written(add_missing_callee_classes(classes, f["calls"]), "classes")[0]
+    if "methods" in whole:
+        out["methods"] = methods = written(add_missing_callee_methods(resolve_methods(f["methods"], classes), f["calls"], classes), "methods")[0]
+    made = {
+        "supers": lambda: resolve_supers(f["supers"], classes),
+        "interfaces": lambda: resolve_interfaces(f["interfaces"], classes),
+        "calls": lambda: resolve_calls(f["calls"], methods, classes),
+        "class_fields": lambda: resolve_class_fields(f["class_fields"], classes),
+        "strings": lambda: load_strings(f["strings"]),
+        "method_field_access": lambda: resolve_field_access(f["method_field_access"], out["class_fields"], methods, classes),
+        "method_strings": lambda: resolve_method_strings(f["method_strings"], out["strings"], methods, classes),
     }
+    wanted = {*tables, *(x for k in tables for x in NEEDED.get(k, ()))}
+    for k, make in made.items():
+        if k in wanted and k in whole:
+            out[k] = make()
+    return {k: out[k] for k in GRAPH if k in tables}
 
 
 def already_loaded(wanted: DataFrame, ledger: DataFrame) -> DataFrame:

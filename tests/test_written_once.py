@@ -51,3 +51,19 @@ def test_tasks_name_files_themselves(spark, monkeypatch):
     path = Q._files(df, "one.txt")
     found = {r.k: r.value for r in spark.read.text(path, wholetext=True).select("k", "value").collect()}
     assert found == {k: f"line of {i}\nend\n" for i, k in enumerate(keys)}
+
+
+def test_a_build_makes_the_tables_asked_for(spark, monkeypatch):
+    """Parents alone are asked for: they are those of the whole graph, and calls are written as the names and sources that classes need."""
+    facts = frames(spark, random_facts(4))
+    want, seen = rows(B.build_graph(spark, facts)), {}
+
+    def noting(df, what="step", counted=None):
+        seen[what] = df.columns
+        return written(df, what, counted)
+
+    monkeypatch.setattr(B, "written", noting)
+    g = B.build_graph(spark, facts, tables=("sources", "supers"))
+    assert list(g) == ["sources", "supers"]
+    assert set(map(tuple, g["supers"].collect())) == set(want["supers"]) and set(map(tuple, g["sources"].collect())) == set(want["sources"])
+    assert seen["calls"] == ["callee_class", "source"] and seen["method_strings"] == ["source"] and "methods" in seen and seen["methods"] == ["source"]
