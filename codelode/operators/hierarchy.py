@@ -106,13 +106,25 @@ def _within(labels: DataFrame, seeds: DataFrame, keys: list[str], down: bool) ->
 
 def related(labels: DataFrame, loose: DataFrame, seeds: DataFrame, down: bool, *keys: str) -> DataFrame:
     """(*keys, id): all that is below (down) or above the seeds(*keys, id), for each combination of keys, as `reached` gives it: seeds
-    themselves only where a cycle leads back to them. One join where no edge is loose, else one a round of loose edges."""
-    columns, spark = [*keys, "id"], seeds.sparkSession
+    themselves only where a cycle leads back to them. One join where no edge is loose, else one a round of loose edges: of the seeds, or,
+    where these are more, of the loose edges' ends, as what lies beyond an end is the same for all seeds."""
     seeds = seeds.select(*(F.col(k) for k in keys), F.col("id").cast("long").alias("id")).distinct()
     if loose.isEmpty():
         return _within(labels, seeds, list(keys), down)
     tip, end = ("parent", "child") if down else ("child", "parent")
     hops = loose.select(F.col(tip).alias("__tip"), F.col(end).alias("id"))
+    ends, many, _ = written(hops.select(F.col("id").alias("__end"), "id").distinct(), "ends")
+    if seeds.count() <= many:
+        return _followed(labels, hops, seeds, down, *keys)
+    beyond = _followed(labels, hops, ends, down, "__end").unionByName(ends)
+    inside, _, _ = written(_within(labels, seeds, list(keys), down), "related")
+    first = seeds.unionByName(inside).withColumnRenamed("id", "__tip").join(hops, "__tip").select(*keys, F.col("id").alias("__end")).distinct()
+    return inside.unionByName(first.join(beyond, "__end").select(*keys, "id")).distinct()
+
+
+def _followed(labels: DataFrame, hops: DataFrame, seeds: DataFrame, down: bool, *keys: str) -> DataFrame:
+    """related() by rounds: loose edges hops(__tip, id) from all that is reached, and all that is below or above their ends."""
+    columns, spark = [*keys, "id"], seeds.sparkSession
     front, files = seeds, []
 
     def fresh(rows: DataFrame, what: str) -> tuple[DataFrame, int]:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codelode.operators import hierarchy as L
 
@@ -51,3 +52,25 @@ def test_empty(spark):
     labels, loose = L.interval_labels(spark.createDataFrame([], "p long, c long"), "p", "c")
     assert labels.count() == loose.count() == 0
     assert L.related(labels, loose, spark.createDataFrame([(1,)], "id long"), True).count() == 0
+
+
+def test_rounds_go_by_loose_ends(spark, monkeypatch):
+    """Where seeds are more than the loose edges' ends, rounds are of these: results aren't written round by round for every seed."""
+    edges = [(i // 2, i) for i in range(1, 200)] + [(i // 2 + 1, i) for i in range(5, 200, 40)] + [(150, 3), (7, 7)]
+    labels, loose = L.interval_labels(spark.createDataFrame(edges, "parent long, child long"), "parent", "child")
+    above, total = closure([(c, p) for p, c in edges], range(200)), {}
+    seeds = spark.range(200).select(F.col("id").alias("root"), "id")
+    write = L.written
+
+    def counting(df, what="step", counted=None):
+        out = write(df, what, counted)
+        total[what] = total.get(what, 0) + out[1]
+        return out
+
+    monkeypatch.setattr(L, "written", counting)
+    for down in (False, True):
+        total.clear()
+        rows = {tuple(r) for r in L.related(labels, loose, seeds, down, "root").select("root", "id").collect()}
+        assert rows == {(i, x) if not down else (x, i) for i, found in above.items() for x in found}
+        ends = loose.select("child" if down else "parent").distinct().count()
+        assert ends < 200 and total["related"] < len(rows)
