@@ -20,23 +20,37 @@ def _id(package: Column | str, key: Column | str) -> Column:
 def _doubled(rows: DataFrame, plain: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(id, end) of rows(id, to, end, open) that come to an end, where every open row's pointer is replaced by its target's, until none is
     open or every chain without a cycle must have ended: the rounds grow with the logarithm of the longest chain. A round writes the rows
-    that were open alone. Then the rows (id, to) that are open still, and how many."""
+    that were open alone. Then the rows (id, to) that are open still, and how many.
+
+    An entry that no open row points at is pointed at in no later round either, as pointers move to targets of targets. So entries that
+    have ended are looked through for such in the first two rounds, in which most references end, and left out of what follows."""
     rows, left, _ = written(rows, "references", F.col("open"))
     done = rows.where("not open").select("id", "end")
-    ended = plain.select(F.col("id").alias("to"), F.lit(None).cast("binary").alias("__to"), F.col("id").alias("__end"), F.lit(False).alias("__open"))
+    ended = plain.select("id", F.col("id").alias("end")).unionByName(done)
     steps, most = 1, left
     while left and steps <= most:
-        nodes = rows.where("open").select(F.col("id").alias("to"), F.col("to").alias("__to"), F.lit(None).cast("binary").alias("__end"), F.lit(True).alias("__open")).unionByName(ended)
-        nodes = nodes.unionByName(done.select(F.col("id").alias("to"), F.lit(None).cast("binary").alias("__to"), F.col("end").alias("__end"), F.lit(False).alias("__open")))
-        moved = rows.where("open").join(nodes, "to").select("id", F.col("__to").alias("to"), F.col("__end").alias("end"), F.col("__open").alias("open"))
+        open_ = rows.where("open")
+        if steps <= 2:
+            ended, _, _ = written(ended.join(open_.select(F.col("to").alias("id")), "id", "left_semi"), "ended")
+        nodes = open_.select(F.col("id").alias("to"), F.col("to").alias("__to"), F.lit(None).cast("binary").alias("__end"), F.lit(True).alias("__open"))
+        nodes = nodes.unionByName(ended.select(F.col("id").alias("to"), F.lit(None).cast("binary").alias("__to"), F.col("end").alias("__end"), F.lit(False).alias("__open")))
+        moved = open_.join(nodes, "to").select("id", F.col("__to").alias("to"), F.col("__end").alias("end"), F.col("__open").alias("open"))
         rows, left, _ = written(moved, "references", F.col("open"))
-        done = done.unionByName(rows.where("not open").select("id", "end"))
+        new = rows.where("not open").select("id", "end")
+        done, ended = done.unionByName(new), ended.unionByName(new)
         steps *= 2
     return done, rows.where("open").select("id", "to"), left
 
 
 def close_resources(resources: DataFrame) -> DataFrame:
-    """(package, key, text) of every entry of resources(package, kind, name, value); key: kind/name, text: what it stands for in the end.
+    """(package, key, text) of every entry of resources(package, kind, name, value); key: kind/name, text as _closed() gives it."""
+    plain, refers, found = _closed(resources)
+    return plain.select("package", "key", F.col("value").alias("text")).unionByName(refers.select("package", "key", "id").join(found, "id").select("package", "key", "text"))
+
+
+def _closed(resources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The entries (package, key, value, id) of resources(package, kind, name, value) that are texts, those that are references, and (id,
+    text) of these: what each stands for in the end.
 
     A value @kind/name stands for that entry of its package. Text is null where the last entry is missing or has no text; the reference
     itself stays as text where the package has no entry of its kind at all (@android:... too), where it has no slash, and where a chain
@@ -46,22 +60,22 @@ def close_resources(resources: DataFrame) -> DataFrame:
     entries, _, _ = written(entries.withColumn("id", _id("package", "key")), "resources")
     refers = F.coalesce(F.col("value").rlike(_IS_REFERENCE), F.lit(False))
     plain = entries.where(~refers)
-    first = entries.where(refers).select("package", "key", "id", F.expr("substring(value, 2)").alias("target"))
-    kinds = entries.select("package", F.substring_index("key", "/", 1).alias("__kind"), F.lit(True).alias("__has")).distinct()
+    links = entries.where(refers).select("id", _id("package", F.expr("substring(value, 2)")).alias("to"))
     there = entries.select(F.col("id").alias("to"), F.lit(True).alias("__found"))
-    first = first.withColumns({"__kind": F.substring_index("target", "/", 1), "to": _id("package", "target")}).join(kinds, ["package", "__kind"], "left").join(there, "to", "left")
-    # the text of a reference that a chain ends with: itself, or none where an entry of a kind that the package has is missing
-    itself = F.when(F.col("__has").isNull() | F.col("__found").isNotNull(), F.concat(F.lit("@"), "target"))
-    first, _, _ = written(first.select("package", "key", "id", "to", itself.alias("text"), F.col("__found").isNotNull().alias("open")), "references")
+    first, _, _ = written(links.join(there, "to", "left").select("id", "to", F.col("__found").isNotNull().alias("open")), "references")
+    # the text of a chain that ends at a missing entry: the reference itself, or none where the package has others of its kind
+    kinds = entries.select("package", F.substring_index("key", "/", 1).alias("__kind"), F.lit(True).alias("__has")).distinct()
+    named = entries.where(refers).select("id", "package", "value", F.substring_index(F.expr("substring(value, 2)"), "/", 1).alias("__kind"))
+    last = named.join(first.where("not open").select("id"), "id").join(kinds, ["package", "__kind"], "left")
+    texts = plain.select(F.col("id").alias("end"), F.col("value").alias("text")).unionByName(last.select(F.col("id").alias("end"), F.when(F.col("__has").isNull(), F.col("value")).alias("text")))
     done, still, left = _doubled(first.select("id", "to", F.when(~F.col("open"), F.col("id")).alias("end"), "open"), plain)
     if left:  # after so many steps every open pointer has come to lie on a cycle, and together they lie on all of it
         cycles = still.select("to").distinct().withColumn("__cycle", F.lit(True))
         again = still.select("id").join(first.select("id", "to"), "id").join(cycles, "to", "left")
         again = again.select("id", "to", F.when(F.col("__cycle"), F.col("id")).alias("end"), F.col("__cycle").isNull().alias("open"))
         done = done.unionByName(_doubled(again, plain)[0])
-    texts = plain.select(F.col("id").alias("end"), F.col("value").alias("text")).unionByName(first.select(F.col("id").alias("end"), "text"))
-    found = done.join(texts, "end").select("id", "text")
-    return plain.select("package", "key", F.col("value").alias("text")).unionByName(first.select("package", "key", "id").join(found, "id").select("package", "key", "text"))
+        texts = texts.unionByName(entries.where(refers).join(again.where("not open").select("id"), "id").select(F.col("id").alias("end"), F.col("value").alias("text")))
+    return plain, entries.where(refers), done.join(texts, "end").select("id", "text")
 
 
 def _texts() -> Column:
@@ -80,9 +94,10 @@ def with_references(manifests: DataFrame, resources: DataFrame) -> DataFrame:
     """manifests with refs, a map from each reference that a manifest holds to the text it stands for; those that can't be resolved aren't in it.
 
     resources(package, kind, name, value) are closed once for all manifests. A manifest's map is no larger than the manifest."""
-    closed = close_resources(resources).where("text is not null").select(F.col("package").alias("_package"), F.concat(F.lit("@"), "key").alias("__ref"), "text")
+    plain, _, found = _closed(resources)
+    closed = plain.select("id", F.col("value").alias("text")).unionByName(found).where("text is not null")
     used = manifests.where("_package is not null").select("file", "_package", F.explode(_texts()).alias("__ref")).distinct()
-    maps = used.join(closed, ["_package", "__ref"]).groupBy("file", "_package").agg(F.map_from_entries(F.collect_set(F.struct("__ref", "text"))).alias("refs"))
+    maps = used.withColumn("id", _id("_package", F.expr("substring(__ref, 2)"))).join(closed, "id").groupBy("file", "_package").agg(F.map_from_entries(F.collect_set(F.struct("__ref", "text"))).alias("refs"))
     return manifests.join(maps, ["file", "_package"], "left")
 
 

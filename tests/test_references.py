@@ -98,3 +98,21 @@ def test_read_resources(spark, tmp_path):
     found = sorted((r.base.endswith("/app"), r.kind, r.name, r.value) for r in S.read_resources(spark, str(tmp_path)).collect())
     assert [f for f in found if f[2] != "e"] == [(True, "bool", "yes", "true"), (True, "string", "a", "@string/b"), (True, "string", "b", "B & c")]
     assert all(f[3] is None for f in found if f[2] == "e")
+
+
+def test_rounds_leave_out_what_nothing_points_at(spark, monkeypatch):
+    """The rounds carry ids alone, and of entries that have ended only those that an open one points at."""
+    rows = [("p", "string", f"plain{i}", "x") for i in range(50)]
+    rows += [("p", "string", f"c{i}", f"@string/c{i + 1}") for i in range(9)] + [("p", "string", "c9", "end"), ("p", "string", "lost", "@string/none"), ("p", "string", "other", "@dimen/none"), ("p", "string", "self", "@string/self")]
+    seen, write = [], R.written
+
+    def noting(df, what="step", counted=None):
+        out = write(df, what, counted)
+        seen.append((what, df.columns, out[0].count()))
+        return out
+
+    monkeypatch.setattr(R, "written", noting)
+    found = {x.key: x.text for x in R.close_resources(spark.createDataFrame(rows, RESOURCES)).collect()}
+    assert found == {f"string/plain{i}": "x" for i in range(50)} | {f"string/c{i}": "end" for i in range(10)} | {"string/lost": None, "string/other": "@dimen/none", "string/self": "@string/self"}
+    assert all("package" not in columns and "text" not in columns for what, columns, _ in seen if what != "resources")
+    assert {n for what, _, n in seen if what == "ended"} <= {0, 1, 2}
