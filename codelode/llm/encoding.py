@@ -33,6 +33,8 @@ _PLAIN = bytes([9, 10, 13, *range(32, 127), *(c for c in range(0xC0, 0x100) if c
 #: White space that the byte-level pattern joins or splits by its neighbours.
 _UNEVEN_BLANKS = re.compile("[\\t\\r]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\Z")
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: The same pattern for lower-cased plain text without blanks.
+_PLAIN_WORD_PATTERN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 #: Marks the key of a text's first word, before which there is no blank.
 _FIRST = "\0"
 
@@ -61,6 +63,10 @@ def _cut_with_blanks(text: str) -> list[str] | None:
     return (_FIRST + text.replace("\n", " \n")).split(" ")
 
 
+def _cut_at_blanks(text: str) -> list[str]:
+    return text.lower().split()
+
+
 #: The characters that stand for bytes in byte-level models: printable ones for themselves, the others from U+0100 on, in order.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _AS_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
@@ -92,7 +98,7 @@ def _cutter(path: str) -> tuple[Callable[[str], list[str] | None], Callable[[str
     steps = [x["type"] for x in (normal or {}).get("normalizers", [])]
     parts = before.get("pretokenizers", [])
     if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": _WORD_PATTERN} and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]:
-        return (lambda text: text.lower().split()), (lambda key: key), " \x01 "
+        return _cut_at_blanks, (lambda key: key), " \x01 "
     return None
 
 
@@ -101,7 +107,7 @@ class Encoder:
 
     def __init__(self, path: str, kind: str) -> None:
         self.remembered = REMEMBERED
-        self.kind, self.of_ids = kind, _ids_as_bytes if kind == "ids" else _count
+        self.kind, self.of_ids, self.joined = (kind, _ids_as_bytes, b"".join) if kind == "ids" else (kind, _count, sum)
         self.known, self.before, self.size = {}, {}, 0
         self.cut, self.text_of, self.between = _cutter(path) or (None, None, None)
         if _library(path) == "sentencepiece":
@@ -110,33 +116,33 @@ class Encoder:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.ids = lambda texts: model.encode(texts, num_threads=1)
         else:
-            from tokenizers import Tokenizer, pre_tokenizers
+            from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
             self.ids = lambda texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            if self.between:  # the same model for keys that are one piece of letters: the library's normaliser and cutter would leave them as they are
-                bare = Tokenizer(tokenizer.model)
-                bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-                self.bare_ids = lambda texts: bare.encode_batch_fast(texts, add_special_tokens=False)
+            self.tokenize = tokenizer.model.tokenize  # for single pieces: the library's normaliser and cutter would leave them as they are
         mark = self.ids([self.between])[0].ids if self.between else []
         self.mark = mark[0] if len(mark) == 1 else None
         known = [self.text_of(k) for k in ("plain", "größe", "ándale", "zq", "x")] if self.between else []
-        self.bare = self.mark is not None and self._encoded(known, bare=True) == list(map(self.of_ids, self.ids(known)))
+        self.bare = self.mark is not None and self._of_pieces(known) == list(map(self.of_ids, self.ids(known)))
+        # in files with the word pattern any other key is cut to such pieces as well
+        known = [("don't!!", ["don", "'t", "!!"]), ("é.'s_12", ["é", ".'", "s", "_", "1", "2"])]
+        self.cuts_words = self.bare and self.cut is _cut_at_blanks and all(_PLAIN_WORD_PATTERN.findall(k) == x and self.joined(self._of_pieces(x)) == self.of_ids(self.ids([k])[0]) for k, x in known)
 
     def forget(self) -> None:
         self.known, self.before, self.size = {}, {}, 0
 
-    def _encoded(self, texts: list[str], bare: bool = False) -> list:
-        """What each text comes to; many are one text for the library, which is cut again where the mark between them is. bare: each is one
-        piece of letters, perhaps after a blank."""
+    def _of_pieces(self, pieces: list[str]) -> list:
+        """What each piece, as the library would cut it, comes to by the library's model."""
+        tokenize, of_ids = self.tokenize, self.of_ids
+        return [of_ids([t.id for t in tokenize(_shown(p))]) for p in pieces]
+
+    def _encoded(self, texts: list[str]) -> list:
+        """What each text comes to; many are one text for the library, which is cut again where the mark between them is."""
         if self.mark is not None and len(texts) > 1:
-            if bare:
-                found = self.bare_ids([f" {_shown(self.between.strip(' '))} ".join(map(_shown, texts))])
-            else:
-                found = self.ids([self.between.join(texts)])
-            ids = np.array(found[0].ids, "<u4")
+            ids = np.array(self.ids([self.between.join(texts)])[0].ids, "<u4")
             cut = np.flatnonzero(ids == self.mark)
             if cut.size == len(texts) - 1:
                 start, end = np.r_[0, cut + 1], np.r_[cut, ids.size]
@@ -160,10 +166,18 @@ class Encoder:
         plain = keys.difference(marked)
         plain.update(k for k in [k[:-1] for k in marked] if k not in known and k not in found)
         letters = [k for k in plain if k.isalpha()] if self.bare else []
-        for keys, bare in ((letters, True), (list(plain.difference(letters)), False)):
-            for at in range(0, len(keys), _TOGETHER):
-                part = keys[at : at + _TOGETHER]
-                found.update(zip(part, self._encoded([self.text_of(k) for k in part], bare), strict=True))
+        found.update(zip(letters, self._of_pieces([self.text_of(k) for k in letters]), strict=True))
+        others = list(plain.difference(letters))
+        if self.cuts_words:
+            cut = [_PLAIN_WORD_PATTERN.findall(k) for k in others]
+            new = [p for p in {p for pieces in cut for p in pieces} if p not in known and p not in found]
+            found.update(zip(new, self._of_pieces(new), strict=True))
+            for k, pieces in zip(others, cut, strict=True):
+                found[k] = self.joined([known[p] if p in known else found[p] for p in pieces])
+        else:
+            for at in range(0, len(others), _TOGETHER):
+                part = others[at : at + _TOGETHER]
+                found.update(zip(part, self._encoded([self.text_of(k) for k in part]), strict=True))
         if marked:
             mark = dict(zip(",.", map(self.of_ids, self.ids([",", "."])), strict=True))
             for k in marked:
