@@ -95,17 +95,23 @@ def add_missing_callee_classes(classes: DataFrame, calls: DataFrame) -> DataFram
     return _added(classes, calls.select(F.col("callee_class").alias("name"), "source"), PUBLIC)
 
 
+def _merged(table: DataFrame) -> DataFrame:
+    """table for a merge join. Files of names are many times smaller than a hash table of them, so where Spark's size check looks at files it
+    broadcasts tables that grow with the input, and each task holds all of them."""
+    return table.hint("merge")
+
+
 def with_own_class(rows: DataFrame, classes: DataFrame, name: str, out: str) -> DataFrame:
     """rows whose class `name` is in their own source, with its id."""
     own = classes.select(F.col("name").alias(name), "source", F.col("id").alias(out))
-    return rows.join(own, [name, "source"])
+    return rows.join(_merged(own), [name, "source"])
 
 
 def with_preferred_class(rows: DataFrame, classes: DataFrame, name: str, out: str) -> DataFrame:
     """rows with the id of the class that `name` means; those without one are dropped."""
     own = classes.select(F.col("name").alias(name), "source", F.col("id").alias("__own"))
     framework = classes.where(F.col("source") == FRAMEWORK_ID).select(F.col("name").alias(name), F.col("id").alias("__framework"))
-    found = rows.join(own, [name, "source"], "left").join(framework, name, "left").withColumn(out, F.coalesce("__own", "__framework"))
+    found = rows.join(_merged(own), [name, "source"], "left").join(_merged(framework), name, "left").withColumn(out, F.coalesce("__own", "__framework"))
     return found.where(F.col(out).isNotNull()).drop("__own", "__framework")
 
 
@@ -148,11 +154,15 @@ def resolve_calls(calls: DataFrame, methods: DataFrame, classes: DataFrame) -> D
 
 
 def resolve_field_access(access: DataFrame, fields: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
-    rows = with_own_class(with_preferred_class(access, classes, "field_class", "f_class"), classes, "method_class", "m_class")
+    """Distinct (field, method, action). access is gone through twice, so it should be a file: its distinct field names are resolved by
+    themselves, and its rows meet each table once, on whole names, instead of going through every join for a class."""
     f = fields.select(F.col("class").alias("f_class"), F.col("name").alias("field_name"), F.col("ty").alias("field_ty"), F.col("id").alias("field"))
-    m = methods.select(F.col("class").alias("m_class"), F.col("name").alias("method_name"), F.col("args").alias("method_args"), F.col("id").alias("method"))
-    rows = rows.join(f, ["f_class", "field_name", "field_ty"]).join(m, ["m_class", "method_name", "method_args"])
-    return rows.select("field", "method", "action").dropDuplicates()
+    named = with_preferred_class(access.select("field_class", "field_name", "field_ty", "source").distinct(), classes, "field_class", "f_class")
+    named = named.join(_merged(f), ["f_class", "field_name", "field_ty"]).drop("f_class")
+    c = classes.select(F.col("id").alias("m_class"), F.col("name").alias("method_class"), "source")
+    m = methods.select(F.col("class").alias("m_class"), F.col("name").alias("method_name"), F.col("args").alias("method_args"), F.col("id").alias("method")).join(_merged(c), "m_class").drop("m_class")
+    rows = access.join(_merged(named), ["field_class", "field_name", "field_ty", "source"]).select("field", "method_class", "method_name", "method_args", "source", "action")
+    return rows.join(_merged(m), ["method_class", "method_name", "method_args", "source"]).select("field", "method", "action").dropDuplicates()
 
 
 def resolve_method_strings(uses: DataFrame, strings: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:

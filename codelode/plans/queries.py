@@ -435,7 +435,8 @@ def _(t):
 
 @query("build_field_access", f"{NAMED}, {PREF} SELECT DISTINCT f.id AS field, m.id AS method, n.action FROM naccess n JOIN pref r ON r.name = n.field_class AND r.source = n.source JOIN class_fields f ON f.class = r.id AND f.name = n.field_name AND f.ty = n.field_ty JOIN classes k ON k.name = n.method_class AND k.source = n.source JOIN methods m ON m.class = k.id AND m.name = n.method_name AND m.args = n.method_args")
 def _(t):
-    return B.resolve_field_access(derive.named_facts(t)["method_field_access"], t["class_fields"], t["methods"], t["classes"])
+    access = stored(derive.named_facts(t), "method_field_access")["method_field_access"]
+    return B.resolve_field_access(access, t["class_fields"], t["methods"], t["classes"])
 
 
 @query("build_method_strings", "SELECT DISTINCT u.string, u.method FROM method_strings u")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from codelode.operators import build as B
 from codelode.operators import lookups as C
 from codelode.operators import traversal as D
-from codelode.plans.storage import stored
+from codelode.plans.storage import stored, written
 from codelode.schema import GRAPH, INVENTORY
 
 
@@ -181,3 +181,15 @@ def test_shortest_paths_of_nothing(spark):
     calls = spark.createDataFrame([(1, 2)], "caller long, callee long")
     assert D.shortest_paths(calls.limit(0).select(F.col("caller").alias("id")), calls, "callee", "caller", 3).count() == 0
     assert list(D.walk_counts(calls.select(F.col("caller").alias("id")), calls, "callee", "caller", 3)) == []
+
+
+def test_field_access_broadcasts_no_table_of_names(spark, facts):
+    """Files of names look small to Spark's size check, yet a hash table of them in every task would grow with the input."""
+    g = B.build_graph(spark, facts)
+    f = {k: B.stage_named(df, g["sources"]) for k, df in facts.items()}
+    access = written(f["method_field_access"].unionByName(f["method_field_access"].withColumn("field_class", F.lit("LNone;"))), "access")[0]
+    fields, methods, classes = (written(g[k], k)[0] for k in ("class_fields", "methods", "classes"))
+    rows = B.resolve_field_access(access, fields, methods, classes)
+    found = rows.collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, g["method_field_access"].collect())) and len(found) == 1
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
