@@ -182,7 +182,7 @@ NEEDED = {
 }
 
 
-def _used(tables: Iterable[str]) -> tuple[set[str], set[str]]:
+def kinds_used(tables: Iterable[str]) -> tuple[set[str], set[str]]:
     """The kinds of facts that tables are made of whole, and those of which the classes need names alone."""
     whole, waiting = set(), list(tables)
     while waiting:
@@ -195,7 +195,7 @@ def _used(tables: Iterable[str]) -> tuple[set[str], set[str]]:
 
 
 #: The names that missing classes come from.
-_NAMES = {"supers": "parent", "interfaces": "interface", "calls": "callee_class"}
+NAMES = {"supers": "parent", "interfaces": "interface", "calls": "callee_class"}
 
 
 def build_graph(spark: SparkSession, facts: dict[str, DataFrame], deny: DataFrame | None = None, tables: Iterable[str] | None = None) -> dict[str, DataFrame]:
@@ -205,8 +205,8 @@ def build_graph(spark: SparkSession, facts: dict[str, DataFrame], deny: DataFram
     Facts are written once, as they are read for the sources, for what is missing, and for their own table. Of facts that no table asked for
     is made of, only the distinct sources (and the names that classes may be missing by) are."""
     tables = list(GRAPH) if tables is None else list(tables)
-    whole, names_of = _used(tables)
-    columns = {k: df.columns if k in whole else [_NAMES[k], "source"] if k in names_of else ["source"] for k, df in facts.items()}
+    whole, names_of = kinds_used(tables)
+    columns = {k: df.columns if k in whole else [NAMES[k], "source"] if k in names_of else ["source"] for k, df in facts.items()}
     facts = {k: df if k in whole else df.select(*columns[k]).distinct() for k, df in facts.items()}
     facts = {k: rows for k, (rows, _, _) in together(spark, {k: partial(written, df, k) for k, df in facts.items()}).items()}
     names = reduce(DataFrame.unionByName, (df.select(F.col("source").alias("name")).distinct() for df in facts.values())).distinct()

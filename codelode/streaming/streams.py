@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codelode.functions.expr import file_path
-from codelode.operators.incremental import load_sources
-from codelode.schema import FACTS
+from codelode.operators.build import kinds_used
+from codelode.operators.incremental import load_sources, loaded_names
+from codelode.schema import FACTS, GRAPH
 from codelode.sources.facts import read_fact_csv
 
 # Log levels, from the least severe.
@@ -95,19 +97,22 @@ def ingest_sources_stream(spark: SparkSession, path: str, kind: str, out: str, c
 ARRIVED = "_arrived"
 
 
-def keep_graph_stream(spark: SparkSession, path: str, out: str, checkpoint: str, files: int | None = None) -> StreamingQuery:
+def keep_graph_stream(spark: SparkSession, path: str, out: str, checkpoint: str, files: int | None = None, tables: Iterable[str] | None = None) -> StreamingQuery:
     """Keep the graph at `out` up to date as sources arrive: <path>/<source>/<kind>.csv, and then a text file in <path>/_arrived that names
     them, one a line. A micro-batch takes `files` of these, or all that are there, and adds the sources that they name, whole.
 
-    A batch that failed is tried again under its number and finds what it had finished; a source that is there is left as it is."""
+    A batch that failed is tried again under its number and finds what it had finished; a source that is there is left as it is, and its
+    files aren't read. tables: those of the graph that are kept; only files of facts that they are made of are read."""
+    tables = list(GRAPH) if tables is None else list(tables)
+    kinds = [k for k in FACTS if k in set().union(*kinds_used(tables))] or list(FACTS)
     options = {} if files is None else {"maxFilesPerTrigger": str(files)}
     stream = spark.readStream.schema("value string").options(**options).text(f"{path}/{ARRIVED}")
 
     def load(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        names = [r[0] for r in batch.where("value <> ''").distinct().collect()]
+        names = [r[0] for r in batch.where("value <> ''").select(F.col("value").alias("name")).distinct().join(loaded_names(session, out), "name", "left_anti").collect()]
         if names:
-            facts = {kind: reduce(DataFrame.unionByName, (read_fact_csv(session, f"{path}/{n}", kind).withColumn("source", F.lit(n)) for n in names)) for kind in FACTS}
-            load_sources(session, out, facts, number)
+            facts = {kind: reduce(DataFrame.unionByName, (read_fact_csv(session, f"{path}/{n}", kind).withColumn("source", F.lit(n)) for n in names)) for kind in kinds}
+            load_sources(session, out, facts, number, tables)
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

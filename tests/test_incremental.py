@@ -1,12 +1,13 @@
 """A graph kept up to date as sources arrive equals the one built at once."""
 
 import random
+import shutil
 
 import pytest
 
 from codelode.operators import build as B
 from codelode.operators import incremental as N
-from codelode.plans.storage import new_path
+from codelode.plans.storage import exists, new_path, written
 from codelode.schema import FACTS, GRAPH
 
 SOURCES = ("framework", "app1", "app2")
@@ -76,3 +77,51 @@ def test_nothing(spark):
     assert not N.load_sources(spark, path, frames(spark, random_facts(0), ()), 0)
     g = N.open_graph(spark, path)
     assert [r.name for r in g["sources"].collect()] == ["framework"] and g["calls"].count() == 0
+
+
+def test_some_tables_alone(spark):
+    """A graph of some tables has their rows, in whatever order sources arrive, needs no other facts and keeps none; it stays one of these tables."""
+    facts, path = random_facts(2), new_path(spark, "graph")
+    tables = ("sources", "classes", "methods", "calls")
+    want = B.build_graph(spark, frames(spark, facts, SOURCES[:2]), tables=tables)
+    of = lambda s: {k: df for k, df in frames(spark, facts, (s,)).items() if k in ("classes", "supers", "interfaces", "methods", "calls")}
+    for n, s in enumerate(("app1", "framework")):
+        assert N.load_sources(spark, path, of(s), n, tables)
+    g = N.open_graph(spark, path)
+    assert set(g) == set(tables)
+    assert all(sorted(g[k].collect()) == sorted(want[k].collect()) for k in tables)
+    assert not any(exists(spark, f"{path}/{k}") for k in ("named_supers", "named_access", "named_fields", "texts", "met_access"))
+    with pytest.raises(ValueError, match="other tables"):
+        N.load_sources(spark, path, frames(spark, facts, ("app2",)), 2)
+
+
+def test_a_batch_reads_its_facts_once_and_moves_few(spark, tmp_path, monkeypatch):
+    """Facts aren't read again once they are written, and edges that were there before are looked for by what can have moved them, not by all
+    that a batch brings for its own source."""
+    seen = []
+
+    def removing(df, what="step", counted=None):
+        out = written(df, what, counted)
+        if what in FACTS and (tmp_path / what).exists():
+            shutil.rmtree(tmp_path / what)
+        seen.append((what, out[1]))
+        return out
+
+    monkeypatch.setattr(N, "written", removing)
+    path, schema = new_path(spark, "graph"), lambda k: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FACTS[k]) + ", source string"
+    cls = [f"Lc{i};" for i in range(30)]
+    tables = ("sources", "classes", "methods", "calls")
+
+    def load(source, n):
+        facts = {"classes": [(c, 2, source) for c in cls], "supers": [], "interfaces": [], "methods": [(c, "m", "", "V", 2, source) for c in cls]}
+        facts["calls"] = [(c, "m", "", "Lgone;", "m", "", source) for c in cls] + [(c, "m", "", d, "m", "", source) for c, d in zip(cls, cls[1:])]
+        for k, r in facts.items():
+            spark.createDataFrame(r, schema(k)).write.parquet(str(tmp_path / k))
+        assert N.load_sources(spark, path, {k: spark.read.schema(schema(k)).parquet(str(tmp_path / k)) for k in facts}, n, tables)
+
+    load("app1", 0)
+    seen.clear()
+    load("app2", 1)
+    assert dict(seen)["changed"] == 1  # the method of the missing class, at most: app2's own methods can't be those that app1 means
+    g = N.open_graph(spark, path)
+    assert g["calls"].count() == 2 * (30 + 29) and g["classes"].count() == 61 and g["methods"].count() == 61
