@@ -205,7 +205,7 @@ def _touching(rows: DataFrame, changed: dict[str, DataFrame]) -> DataFrame:
 def _remet(b: _Batch, table: str, facts: str, new: DataFrame, changed: dict[str, DataFrame], meet: Callable[[DataFrame], DataFrame], own: DataFrame) -> None:
     """Bring a table of resolved edges up to date: facts of new sources and facts that touch what has changed are met anew, in the
     partitions of their sources alone; the other edges of those partitions are kept. own: the new sources."""
-    again = _touching(b.before(facts), changed)
+    again = _touching(b.before(facts).select(*new.columns), changed)
     again, moved, _ = written(again, "moved")
     sources = written(again.select("source").distinct(), "sources")[0] if moved else again.select("source").limit(0)
     kept = b.before(table).join(sources, "source", "left_semi")
@@ -298,7 +298,7 @@ def _add_edges(b: _Batch, now: dict[str, DataFrame], real: DataFrame, valid: Dat
 
     def met_calls(rows: DataFrame) -> DataFrame:
         a, c = (under.select(F.col("key").alias(f"{x}_key"), F.col("id").alias(x)) for x in ("caller", "callee"))
-        return rows.select("caller_key", "callee_key", "source").join(a, "caller_key").join(c, "callee_key").where("caller <> callee").select("caller", "callee", "caller_key", "callee_key", "source")
+        return rows.join(a, "caller_key").join(c, "callee_key").where("caller <> callee").select("caller", "callee", "caller_key", "callee_key", "source")
 
     m = under.select(F.col("key").alias("method_key"), F.col("id").alias("method"))
 
@@ -306,12 +306,13 @@ def _add_edges(b: _Batch, now: dict[str, DataFrame], real: DataFrame, valid: Dat
         fields = existing("named_fields").select(F.col("id").alias("field"))
         return rows.join(m, "method_key").join(fields, "field", "left_semi").select("field", "method", "action", "method_key", "source")
 
+    met = {"named_calls": ("caller_key", "callee_key", "source"), "named_access": ("field", "method_key", "action", "source"), "named_method_strings": ("string", "method_key", "source")}
     edges = {
         "calls": ("met_calls", "named_calls", lambda: {"caller_key": changed, "callee_key": changed}, met_calls),
         "method_field_access": ("met_access", "named_access", lambda: {"method_key": changed, "field": brought("named_fields").select(F.col("id").alias("value")).distinct()}, met_access),
         "method_strings": ("met_method_strings", "named_method_strings", lambda: {"method_key": changed}, lambda rows: rows.join(m, "method_key").select("string", "method", "method_key", "source")),
     }
-    jobs = {k: partial(_remet, b, table, of, now[of], moved(), meet, own) for k, (table, of, moved, meet) in edges.items() if k in tables}
+    jobs = {k: partial(_remet, b, table, of, now[of].select(*met[of]), moved(), meet, own) for k, (table, of, moved, meet) in edges.items() if k in tables}
     if jobs:
         together(b.spark, jobs)
 

@@ -9,6 +9,8 @@ from codelode.operators import build as B
 from codelode.operators import incremental as N
 from codelode.plans.storage import exists, new_path, written
 from codelode.schema import FACTS, GRAPH
+from codelode.sources import facts as A
+from codelode.streaming import streams
 
 SOURCES = ("framework", "app1", "app2")
 
@@ -125,3 +127,23 @@ def test_a_batch_reads_its_facts_once_and_moves_few(spark, tmp_path, monkeypatch
     assert dict(seen)["changed"] == 1  # the method of the missing class, at most: app2's own methods can't be those that app1 means
     g = N.open_graph(spark, path)
     assert g["calls"].count() == 2 * (30 + 29) and g["classes"].count() == 61 and g["methods"].count() == 61
+
+
+def test_files_of_a_source_that_is_there_are_not_read(spark, tmp_path):
+    """A stream that is told of a source again needs none of its files, and of a graph of some tables only those that they are made of."""
+    facts, tables = random_facts(2), ("sources", "classes")
+    folder, out, done = (f"{tmp_path}/{x}" for x in ("facts", "graph", "done"))
+    for s in ("app1", "framework"):
+        for k, df in frames(spark, facts, (s,)).items():
+            if k in ("classes", "supers", "interfaces", "calls"):
+                A.write_fact_csv(df, f"{folder}/{s}", k)
+
+    def arrive(*names):
+        spark.createDataFrame([(x,) for x in names], "value string").coalesce(1).write.mode("append").text(f"{folder}/{streams.ARRIVED}")
+        streams.keep_graph_stream(spark, folder, out, done, tables=tables).awaitTermination()
+
+    arrive("app1")
+    shutil.rmtree(f"{folder}/app1")
+    arrive("framework", "app1")
+    want = B.build_graph(spark, frames(spark, facts, ("app1", "framework")), tables=tables)
+    assert sorted(N.open_graph(spark, out)["classes"].collect()) == sorted(want["classes"].collect())
