@@ -56,9 +56,16 @@ _BROUGHT = {
 
 
 def _kept(tables: Iterable[str]) -> set[str]:
-    """What is kept for tables of the graph."""
+    """What is kept for tables of the graph: all, where all facts are."""
     whole, _ = kinds_used(tables)
-    return {"loaded", *(x for k in whole for x in _BROUGHT[k]), *(_MAIN[k] for k in tables)}
+    kept = {"loaded", *(x for k in whole for x in _BROUGHT[k]), *(_MAIN[k] for k in tables)}
+    return set(_TABLES) if kept >= set(_FACTS) else kept
+
+
+def _tables_of(live: DataFrame) -> set[str]:
+    """The tables that a graph keeps. One of all facts keeps all: edges of a kind that no source has may not be listed."""
+    found = {r[0] for r in live.select("table").distinct().collect()}
+    return set(_TABLES) if found >= set(_FACTS) else found
 
 
 def _key(of: Column, name: str, args: str) -> Column:
@@ -116,7 +123,7 @@ class _Batch:
 
     def check(self, tables: set[str]) -> None:
         """A graph keeps the same tables from its first batch on."""
-        found = tables if self.live is None else {r[0] for r in self.live.select("table").distinct().collect()}
+        found = tables if self.live is None else _tables_of(self.live)
         if found != tables:
             raise ValueError(f"{self.path} is a graph of other tables: {', '.join(sorted(found ^ tables))}")
 
@@ -239,10 +246,11 @@ def load_sources(spark: SparkSession, path: str, facts: dict[str, DataFrame], ba
     call (a stream's own is one). tables: those of the graph that are kept, the same in each call; only facts that they are made of are
     kept, and `facts` need not have other kinds, by which sources are registered if they are given. Facts are written once, as all that is
     made of them reads them. The work grows with what the batch brings and what it moves, apart from looking for that by key."""
-    tables = list(GRAPH) if tables is None else list(tables)
+    kept = _kept(GRAPH if tables is None else list(tables))
+    tables = [k for k in GRAPH if _MAIN[k] in kept]
     whole, names_of = kinds_used(tables)
     b = _Batch(spark, path, batch)
-    b.check(_kept(tables))
+    b.check(kept)
     loaded = b.before("loaded")
     there = loaded.select(F.col("name").alias("source"))
     facts = {k: df.join(there, "source", "left_anti") for k, df in facts.items()}
@@ -320,7 +328,7 @@ def _add_edges(b: _Batch, now: dict[str, DataFrame], real: DataFrame, valid: Dat
 def open_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The graph's tables as they are after the last whole batch, of those that it keeps."""
     live = _live(spark, path)
-    there = set(_TABLES) if live is None else {r[0] for r in live.select("table").distinct().collect()}
+    there = set(_TABLES) if live is None else _tables_of(live)
     t = {k: _table(spark, path, k, live) for k in _TABLES}
     framework = F.col("source") == FRAMEWORK_ID
     classes = t["real_classes"].unionByName(t["added_classes"])

@@ -147,3 +147,11 @@ def test_files_of_a_source_that_is_there_are_not_read(spark, tmp_path):
     arrive("framework", "app1")
     want = B.build_graph(spark, frames(spark, facts, ("app1", "framework")), tables=tables)
     assert sorted(N.open_graph(spark, out)["classes"].collect()) == sorted(want["classes"].collect())
+
+
+def test_a_graph_of_all_facts_keeps_all(spark):
+    """Graphs that list no edges of a kind, as no source had any, are whole ones; none can be of all facts without some edges."""
+    everything, few = N._kept(GRAPH), N._kept(("sources", "classes"))
+    live = lambda tables: spark.createDataFrame([(k, 1, 0) for k in tables], "table string, source long, batch long")
+    assert N._tables_of(live(everything - {"met_calls", "met_method_strings"})) == everything == N._kept([k for k in GRAPH if k != "calls"])
+    assert N._tables_of(live(few)) == few == {"loaded", "real_classes", "foreign", "added_classes"}
